@@ -17,11 +17,11 @@ def link_metrics(net: DataFrame) -> DataFrame:
     """Four-hour volumes and miles, volume-weighted V/C and speed, peak V/C, congested share, utilisation, keys."""
     total = lambda sfx: sum((F.col(h + sfx) for h in PEAK_HOURS[1:]), F.col(PEAK_HOURS[0] + sfx))
     mean = lambda sfx: sum((F.col(h + sfx) * F.col(h + "V") for h in PEAK_HOURS[1:]), F.col(PEAK_HOURS[0] + sfx) * F.col(PEAK_HOURS[0] + "V"))
-    text = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     v4 = F.col("V4h")
     per_volume = lambda sfx: F.when(v4 != 0, F.try_divide(mean(sfx), v4)).otherwise(F.lit(0.0))
     out = net.withColumns({
-        "A_B": S.text_key("A", "B"), "pjt_id": F.concat(text("SACTRAK"), F.lit("__"), text("PHASE2")),
+        "A_B": S.text_key("A", "B"), "pjt_id": F.trim(F.concat(text("SACTRAK"), F.lit("__"), text("PHASE2"))),
         "V4h": total("V"), "VMT4h": total("VMT"), "CVMT4h": total("CVMT"),
         "congmapvc": F.when(F.col("A3VC") >= F.col("P3VC"), F.col("A3VC")).otherwise(F.col("P3VC")),
         "cvmt_p": F.when(F.col("DAYVMT") > 0, F.try_divide("DAYCVMT", "DAYVMT")).otherwise(F.lit(0.0)),
@@ -45,7 +45,7 @@ def change_flags(df: DataFrame) -> DataFrame:
         "fybydyv_p": ratio("DYV"), "fybylanes": ratio("LANES"),
         "newroad": S.first_match([((fy < off) & (by == off), F.lit(1)), ((fy == off) & (by < off), F.lit(2))], F.lit(0)),
         "delta_lanes": diff("LANES"), "delta_day": diff("DYV"), "delta_dvmt": diff("DAYVMT"), "delta_dcvmt": diff("DAYCVMT"),
-        "proj": F.when((F.col("SACTRAK") != " ") | (F.col("PHASE2") != " "), 1).otherwise(0)})
+        "proj": F.when(F.col("SACTRAK").eqNullSafe(" ") & F.col("PHASE2").eqNullSafe(" "), 0).otherwise(1)})
     return df.withColumn("proj_IN", F.when((F.col("delta_lanes") > 0) | (fy != by), 1).otherwise(0))
 
 
