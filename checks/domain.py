@@ -83,9 +83,9 @@ VIEWS["land_use"] = ("part", {"PARCELID": "CASE WHEN p_partkey % 17 = 0 THEN -1
 VIEWS["epochs"] = ("events", {"tmc_code": "concat('T', user_id)", "measurement_tstamp": "ts", "speed": "value",
                               "travel_time_seconds": "value * 3 + 1"})
 VIEWS["segments"] = ("customer", {"tmc": "concat('T', c_custkey)", "road": "c_mktsegment", "route_numb": "c_nationkey",
-                                  "f_system": "c_nationkey % 5 + 1", "nhs": "c_nationkey % 2", "miles": "c_acctbal / 1000 + 2",
+                                  "f_system": "c_nationkey % 5 + 1", "nhs": "c_nationkey % 2", "miles": "c_acctbal / 997 + 2",
                                   "cmp_tag": "c_custkey % 2", "direction": "CASE WHEN c_custkey % 2 = 0 THEN 'N' ELSE 'S' END"})
-VIEWS["segments_new"] = ("customer", {"tmc": "concat('T', c_custkey + 10)", "miles": "c_acctbal / 900 + 2"})
+VIEWS["segments_new"] = ("customer", {"tmc": "concat('T', c_custkey + 10)", "miles": "c_acctbal / 907 + 2"})
 
 PERIOD_HOURS = ["H07", "H08", "H16", "H17"]
 
@@ -145,7 +145,7 @@ VIEWS["links_geo"] = ("orders", {
     "link_id": "o_orderkey", "capc": "o_orderkey % 8", "x1": _d("(o_orderkey * 7919) % 20011"), "y1": _d("(o_orderkey * 104729) % 20021"),
     "x2": _d("(o_orderkey * 7919) % 20011 + o_orderkey % 201 - 100"), "y2": _d("(o_orderkey * 104729) % 20021 + o_custkey % 201 - 99")})
 VIEWS["segs_geo"] = ("customer", {
-    "seg_id": "c_custkey", "fwytag": "c_custkey % 3", "miles": "c_acctbal / 1000 + 2", "roadname": "c_mktsegment",
+    "seg_id": "c_custkey", "fwytag": "c_custkey % 3", "miles": "c_acctbal / 997 + 2", "roadname": "c_mktsegment",
     "x1": _d("(c_custkey * 6151) % 20011"), "y1": _d("(c_custkey * 12289) % 20021"),
     "x2": _d("(c_custkey * 6151) % 20011 + (c_custkey % 31 - 15) * 20"), "y2": _d("(c_custkey * 12289) % 20021 + (c_custkey % 37 - 18) * 20 + 1"),
     "x3": _d("(c_custkey * 6151) % 20011 + (c_custkey % 31 - 15) * 45"), "y3": _d("(c_custkey * 12289) % 20021 + (c_custkey % 37 - 18) * 38 + 2")})

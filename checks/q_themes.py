@@ -88,7 +88,7 @@ def factor_sql(s):
 MODES = {"SOV": "3", "HOV": "4, 5", "TRN": "6", "BIK": "2", "WLK": "1", "SCB": "8", "TNC": "9"}
 
 
-def triptour_sql(rule, strict=True):
+def triptour_sql(rule, strict=True, raw=False):
     codes = "1, 3" if rule == "dorp_av" else "1"
     veh = f"mode IN (3, 4, 5, 9) AND dorp IN ({codes})"
     cnt = lambda p, n: f"count(*) FILTER (WHERE {p}) AS {n}"
@@ -124,6 +124,7 @@ def triptour_sql(rule, strict=True):
     cols += [f"{r('hm.' + n)} AS {n}" for n in ("II_VMT_RES", "II_CVMT_RES", "PHR_TOT_RES", "VHR_TOT_RES")]
     cols += [f"{r(zero_if_none(n))} AS {n}" for n in ("VMT_WRK_RES", "CVMT_WRK_RES", "PHR_WRK_RES", "VHR_WRK_RES", "GMI_TOT_RES")]
     cols += [f"{r('q.emptot_p * w.extWkrfraxn')} AS JOB_ExWorker"] + end_cols
+    cols += ["hm.II_VMT_RES AS exact_VMT", "hm.II_CVMT_RES AS exact_CVMT"] if raw else []
     return f"""
       t0 AS (SELECT t.*, o.pdpurp, o.parent, o.topcl, o.tdpcl, h.hhparcel AS home, (o.pdpurp = 1 OR o.parent > 0) AS work, {SPEED_SQL} AS spd
              FROM raw_trip t JOIN raw_tour o ON t.tour_id = o.id JOIN raw_person p ON o.person_id = p.id JOIN raw_hh h ON p.hhno = h.hhno),
@@ -187,9 +188,10 @@ def cv_sql():
         FROM gen g JOIN raw_cveh c ON c.I = g.taz_p JOIN (SELECT taz_p, sum(g2) AS s2, sum(g3) AS s3 FROM gen GROUP BY taz_p) z ON z.taz_p = g.taz_p)"""
 
 
-def ix_sql():
+def ix_sql(raw=False):
     share = "(HHS / (1 + HHS + 1.1 * (EMPTOT - FOOD - RET - 0.25 * SVC)))"
     ms = T.CV_MEASURES
+    exact = "".join(f", CASE WHEN u.pop > 0 THEN u.pop * rr_{m} ELSE 0 END AS exact_{m}" for m in ("VMT", "CVMT")) if raw else ""
     return f"""
       u AS (SELECT q.parcelid, q.taz_p, tr.RAD, q.emptot_p, coalesce(q.emptot_p - q.empfoo_p - q.empret_p - 0.25 * q.empsvc_p, 0) AS jobs,
               coalesce(h.n, 0) AS pop
@@ -201,7 +203,7 @@ def ix_sql():
                 FROM acts a LEFT JOIN (SELECT RAD, sum(pop) AS pop, sum(jobs) AS jobs FROM u GROUP BY RAD) b ON b.RAD = a.RAD),
       theme_ix AS (SELECT u.parcelid, u.RAD, {r('u.pop')} AS pcl_pop, {r('u.jobs')} AS pcl_emp_nretail, {r('u.emptot_p + u.pop')} AS pcl_tot_user,
           {', '.join(r(f"CASE WHEN u.pop > 0 THEN u.pop * rr_{m} ELSE 0 END") + f" AS IX_{m}_RES" for m in ms)},
-          {', '.join(r(f"CASE WHEN u.pop > 0 THEN u.pop * rr_{m} ELSE 0 END + CASE WHEN u.emptot_p + u.pop > 0 THEN u.jobs * nr_{m} ELSE 0 END") + f" AS IX_{m}" for m in ms)}
+          {', '.join(r(f"CASE WHEN u.pop > 0 THEN u.pop * rr_{m} ELSE 0 END + CASE WHEN u.emptot_p + u.pop > 0 THEN u.jobs * nr_{m} ELSE 0 END") + f" AS IX_{m}" for m in ms)}{exact}
         FROM u LEFT JOIN rates ON rates.RAD = u.RAD)"""
 
 
@@ -283,7 +285,7 @@ COMBINED_VIEWS = ("master", "land_use", "population", "raw_hh", "raw_person", "r
 
 
 def combined_sql():
-    themes = ",".join([household_sql(False), person_sql(), triptour_sql("constants"), cv_sql(), ix_sql(), telework_sql("raw_person", "raw_personday")])
+    themes = ",".join([household_sql(False), person_sql(), triptour_sql("constants", raw=True), cv_sql(), ix_sql(True), telework_sql("raw_person", "raw_personday")])
     z = lambda a, cs: [f"coalesce({a}.{c}, 0) AS {c}" for c in cs]
     cols = ["e.PARCELID"] + [f"m.{c}" for c in ("XCOORD", "YCOORD", "RAD_07", "TAZ_07", "TPA_20")] + [f"{r('m.GISAc')} AS GISAc"]
     cols += [f"e.{c}" for c in ("COUNTY", "JURIS", "TAZ_21", "DU", "LU")]
@@ -294,7 +296,7 @@ def combined_sql():
     cols += z("h", T.HOUSEHOLD_COLUMNS) + z("p", T.PERSON_COLUMNS) + z("t", [c for c in T.TRIPTOUR_COLUMNS if c != "GMI_TOT_RES"])
     cols += z("x", [c for c in C.EXTERNAL_KEPT]) + z("w", T.TELEWORK_COLUMNS)
     cols += [f"{r(f'coalesce(t.{a}, 0) + coalesce(x.{b}, 0)')} AS {n}" for n, a, b in (
-        ("VMT_TOT_RES", "II_VMT_RES", "IX_VMT_RES"), ("CVMT_TOT_RES", "II_CVMT_RES", "IX_CVMT_RES"))]
+        ("VMT_TOT_RES", "exact_VMT", "exact_VMT"), ("CVMT_TOT_RES", "exact_CVMT", "exact_CVMT"))]
     return f"""WITH {themes}, xc AS (SELECT theme_ix.*, theme_cv.* EXCLUDE (parcelid) FROM theme_ix JOIN theme_cv ON theme_cv.parcelid = theme_ix.parcelid)
       SELECT {', '.join(cols)} FROM master m LEFT JOIN land_use e ON e.PARCELID = m.PARCELID
       LEFT JOIN {mixdens_sql()} q ON q.parcelid = e.PARCELID LEFT JOIN theme_hh h ON h.parcelid = e.PARCELID

@@ -9,7 +9,7 @@ from parcelflow import constants as K
 from parcelflow.functions import geometry as G
 from parcelflow.functions import scalars as S
 from parcelflow.operators.aggregates import match_rate
-from parcelflow.operators.spatial import nearest_line
+from parcelflow.operators.spatial import Search, nearest_line
 
 
 def _road_class(col, freeways, arterials) -> Column:
@@ -21,7 +21,7 @@ def _radius(radii: dict[str, float]) -> Column:
 
 
 def conflate(links: DataFrame, segments: DataFrame, link_class: str = "capc", seg_class: str = "fwytag",
-             radii=K.MATCH_RADIUS_FT, wide_radii=K.WIDE_MATCH_RADIUS_FT, levels: int = 3) -> DataFrame:
+             radii=K.MATCH_RADIUS_FT, wide_radii=K.WIDE_MATCH_RADIUS_FT, dense: int = 50_000) -> DataFrame:
     """Every link with the segment it lies on, how far away that is, and which search found it.
 
     ``links``: link_id, points and a class; ``segments``: seg_id, points, miles, a class and optionally a
@@ -38,12 +38,10 @@ def conflate(links: DataFrame, segments: DataFrame, link_class: str = "capc", se
     s = s.withColumn("dir", signed)
     taggable = l.where(F.col("cls").isNotNull()).select("link_id", "cls", "dir", "x", "y", "angle")
     shapes = s.select("seg_id", "cls", "dir", "miles", "points", "angle")
-    found = nearest_line(taggable, shapes, _radius(radii), ["cls", "dir"], levels=levels)
-    found = found.withColumn("search", F.lit(1))
-    for step, r in ((2, radii), (3, wide_radii)):
-        left = taggable.join(found.select("link_id"), "link_id", "left_anti")
-        more = nearest_line(left, shapes, _radius(r), ["cls"], angle_tolerance=K.ANGLE_TOLERANCE_DEG, levels=levels)
-        found = found.unionByName(more.withColumn("search", F.lit(step)))
+    found = nearest_line(taggable, shapes, ["cls"], [
+        Search(_radius(radii), same=("dir",)),
+        Search(_radius(radii), angle_tolerance=K.ANGLE_TOLERANCE_DEG),
+        Search(_radius(wide_radii), angle_tolerance=K.ANGLE_TOLERANCE_DEG)], dense=dense)
     used = F.when(F.col("search") == 3, _radius(wide_radii)).otherwise(_radius(radii))
     out = l.drop("x", "y").join(found, "link_id", "left")
     out = out.withColumn("search_dist_ft", F.when(F.col("cls").isNotNull(), used))
