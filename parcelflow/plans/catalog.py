@@ -14,7 +14,7 @@ NEVER_STARTED, NEVER_ENDED = 0, 2000000000
 
 def run_times(files: DataFrame) -> DataFrame:
     """Start and end second per run folder from its marker files."""
-    sec = F.col("modified").cast("double")
+    sec = F.col("modified").cast("timestamp").cast("double")
     full = F.concat("name", "ext")
     low = lambda names: F.floor(F.min(F.when(full.isin(names), sec))).cast("bigint")
     return files.groupBy("folder").agg(F.coalesce(low(K.RUN_START_FILES), F.lit(NEVER_STARTED)).alias("started"),
@@ -24,7 +24,7 @@ def run_times(files: DataFrame) -> DataFrame:
 def run_inputs(files: DataFrame, outputs_to_keep: list[str] = ()) -> DataFrame:
     """Files changed before the run began, and wanted outputs written after it ended."""
     f = files.join(run_times(files), "folder")
-    sec = F.col("modified").cast("double")
+    sec = F.col("modified").cast("timestamp").cast("double")
     wanted = F.lit(False)
     for o in outputs_to_keep:
         stem, ext = o.split(".")[0], "." + o.split(".")[-1]

@@ -43,16 +43,16 @@ def header_names(spark: SparkSession, path: str, sep: str | None = None) -> list
     return repair_header(line[0].split(sep))
 
 
-def malformed_report(spark: SparkSession, path: str, names: list[str], sep: str | None = None) -> DataFrame:
-    """One row: data rows, rows whose number of fields differs from the header, an example, the longest row."""
+def malformed_report(spark: SparkSession, path: str, names: list[str], sep: str | None = None,
+                     header: bool = True) -> DataFrame:
+    """One row: data rows, rows whose number of fields differs from the header, an and an example."""
     sep = sep or SEPARATORS.get(_extension(path), ",")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(CORRUPT, T.StringType())])
-    rows = spark.read.schema(schema).csv(path, sep=sep, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
-    bad = F.col(CORRUPT).isNotNull()
+    rows = spark.read.schema(schema).csv(path, sep=sep, header=header, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     # every field is used, as the parser checks only rows it parses in full
+    bad = F.col(CORRUPT).isNotNull() & (F.length(F.concat_ws("", *names)) >= 0)
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(bad, 1)).alias("n_malformed"),
-                    F.min(F.when(bad, F.col(CORRUPT))).alias("example"),
-                    F.max(F.length(F.concat_ws(sep, *names))).alias("longest_row"))
+                    F.min(F.when(bad, F.col(CORRUPT))).alias("example"))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
