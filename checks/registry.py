@@ -19,8 +19,13 @@ def r(expr: str) -> str:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles rounded as in the checks."""
-    return df.select(*[(F.round(F.col(f"`{f.name}`").cast("double"), DECIMALS) + F.lit(0.0)).alias(f.name)
+    """Doubles rounded as in the checks: half away from zero on the binary value, no negative zero."""
+    scale = float(10 ** DECIMALS)
+
+    def near(c):
+        return F.floor(F.abs(c) * scale + F.lit(0.5)) / scale * F.signum(c) + F.lit(0.0)
+
+    return df.select(*[near(F.col(f"`{f.name}`").cast("double")).alias(f.name)
                        if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow import constants as K
 from parcelflow.functions import scalars as S
 from parcelflow.operators.spatial import polyline_miles
+from parcelflow.session import materialize
 
 
 def trip_times(stop_times: DataFrame) -> DataFrame:
@@ -30,7 +31,8 @@ def weekday_trips(routes: DataFrame, trips: DataFrame, stop_times: DataFrame, ca
          .join(routes.select("agency", "agency_id", "route_id", "route_long_name"), ["agency", "route_id"])
          .join(trip_times(stop_times), ["agency", "trip_id"], "left"))
     name = F.concat(F.col("agency"), F.col("route_id").cast("string"), F.lit("_"), S.direction_tag("direction_id"))
-    t = t.withColumns({"uniq_rte_name": name, "n_stops": F.coalesce("n_stops", F.lit(0))})
+    # trips are read several times below; stop times must not be reduced to them again
+    t = materialize(t.withColumns({"uniq_rte_name": name, "n_stops": F.coalesce("n_stops", F.lit(0))}), "gtfs-trips")
     longest = t.groupBy("uniq_rte_name").agg(F.max("n_stops").alias("max_stops"))
     return t.join(longest, "uniq_rte_name")
 

@@ -1,7 +1,7 @@
 """DBF files as a Spark data source: ``spark.read.format("dbf").load(path)``.
 
 Records have a fixed length, so a file is read in record ranges, one per task. A task reads its range in
-blocks, turns each block into columns with numpy and returns Arrow batches.
+blocks, turns each block into whole columns and returns Arrow batches.
 
 Options: ``path`` (file, folder or glob on storage all executors see), ``encoding`` (default ascii),
 ``columns`` (comma-separated, only these are decoded), ``records_per_partition``.
@@ -88,35 +88,47 @@ def field_type(kind: str, decimals: int, version: int = 3) -> T.DataType:
 
 
 def decode_column(kind: str, decimals: int, cells, encoding: str = "ascii"):
-    """One column: ``cells`` is a 2-d byte array with a row per record."""
-    import datetime as dt
-    from decimal import Decimal
-
+    """One column as an Arrow array: ``cells`` is a 2-d byte array with a row per record."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     n, width = cells.shape
     cells = np.ascontiguousarray(cells)
-
-    def words():
-        return [bytes(r) for r in cells]
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(cells)])
 
     if kind in "CV":
-        return pa.array([w.rstrip(b"\0 ").decode(encoding) for w in words()], pa.string())
+        if encoding in ("ascii", "utf-8"):
+            if encoding == "ascii" and (cells > 127).any():
+                raise ValueError("text is not ascii; give the file's encoding")
+            text = raw.cast(pa.binary()).cast(pa.string())
+        else:
+            text = pa.array([w.decode(encoding) for w in raw.to_pylist()], pa.string())
+        return pc.utf8_rtrim(text, "\0 ")
     if kind in "NF":
-        def number(w):
-            w = w.strip().strip(b"*").strip()
-            return None if not w else (w.replace(b",", b".") if kind == "N" else w)
-        found = [number(w) for w in words()]
-        if kind == "N" and not decimals:
-            return pa.array([None if w is None else int(float(w)) if b"." in w else int(w) for w in found], pa.int64())
-        return pa.array([None if w is None else float(w) for w in found], pa.float64())
+        text = pc.utf8_trim(raw.cast(pa.binary()).cast(pa.string()), " *\0\t")
+        text = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+        if kind == "N":
+            text = pc.replace_substring(text, ",", ".")
+        if kind == "F" or decimals:
+            return pc.cast(text, pa.float64())
+        try:
+            return pc.cast(text, pa.int64())
+        except pa.ArrowInvalid:
+            real = pc.cast(text, pa.float64())
+            if not pc.all(pc.equal(pc.floor(real), real)).as_py():
+                raise ValueError("a field declared without decimals holds decimals") from None
+            return pc.cast(real, pa.int64())
     if kind in "I+":
         return pa.array(cells.view("<i4").reshape(n), pa.int32())
     if kind in "OB":
         return pa.array(cells.view("<f8").reshape(n), pa.float64())
     if kind == "Y":
-        return pa.array([Decimal(int(v)).scaleb(-4) for v in cells.view("<i8").reshape(n)], pa.decimal128(19, 4))
+        # the unscaled value of a decimal with four places is the stored integer
+        wide = np.empty((n, 2), "<i8")
+        wide[:, 0] = cells.view("<i8").reshape(n)
+        wide[:, 1] = wide[:, 0] >> 63
+        return pa.Decimal128Array.from_buffers(pa.decimal128(19, 4), n, [None, pa.py_buffer(wide)])
     if kind == "L":
         flags = cells.reshape(n)
         yes, no, unknown = (np.isin(flags, list(s)) for s in (b"TtYy", b"FfNn", b"? "))
@@ -124,21 +136,23 @@ def decode_column(kind: str, decimals: int, cells, encoding: str = "ascii"):
             raise ValueError(f"illegal logical value {bytes(flags[~(yes | no | unknown)][:1])!r}")
         return pa.array(yes, pa.bool_(), mask=unknown)
     if kind == "D":
-        def day(w):
-            if w.strip(b" 0\0") == b"":
-                return None
-            try:
-                return dt.date(int(w[:4]), int(w[4:6]), int(w[6:8]))
-            except ValueError:
-                raise ValueError(f"invalid date {w!r}") from None
-        return pa.array([day(w) for w in words()], pa.date32())
+        blank = np.isin(cells, [0x20, 0x30, 0]).all(axis=1)
+        digits = np.where(blank[:, None], np.frombuffer(b"19700101", np.uint8), cells[:, :8]).astype("int64") - 48
+        y, m, d = (digits[:, a:b] @ (10 ** np.arange(b - a)[::-1]) for a, b in ((0, 4), (4, 6), (6, 8)))
+        good = ((digits >= 0) & (digits <= 9)).all(axis=1) & (y > 0) & (m >= 1) & (m <= 12) & (d >= 1)
+        month = ((np.where(good, y, 1970) - 1970) * 12 + np.where(good, m, 1) - 1).astype("datetime64[M]")
+        day = month.astype("datetime64[D]") + (np.where(good, d, 1) - 1)
+        good &= day.astype("datetime64[M]") == month
+        if not good.all():
+            raise ValueError(f"invalid date {bytes(cells[~good][0])!r}")
+        return pa.array(day, pa.date32(), mask=blank)
     if kind in "T@":
         parts = cells.view("<u4").reshape(n, 2).astype("int64")
-        none = np.array([not w.strip() for w in words()]) | (parts[:, 0] == 0)
+        none = np.isin(cells, list(b" \t\r\n\x0b\x0c")).all(axis=1) | (parts[:, 0] == 0)
         micros = (parts[:, 0] - 2440588) * 86_400_000_000 + parts[:, 1] * 1000  # Julian day of 1970-01-01
         return pa.array(micros, pa.timestamp("us"), mask=none)
     if kind == "0":
-        return pa.array(words(), pa.binary())
+        return raw.cast(pa.binary())
     # memo contents live in a second file that is not read
     return pa.nulls(n, pa.string() if kind == "M" else pa.binary())
 
