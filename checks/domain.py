@@ -160,7 +160,7 @@ VIEWS["zone_boxes"] = ("supplier", {
 # views that need an aggregate or a distinct over a view above
 DERIVED = {
     "g_routes": "SELECT DISTINCT agency, agency_id, route_id, route_long_name FROM g_routes_raw",
-    "g_calendar": "SELECT a.agency, c.service_id, c.monday, c.saturday, c.sunday FROM g_calendar_raw c CROSS JOIN (SELECT DISTINCT agency FROM g_routes_raw) a",
+    "g_calendar": "SELECT DISTINCT t.agency, c.service_id, c.monday, c.saturday, c.sunday FROM g_trips t JOIN g_calendar_raw c ON c.service_id = t.service_id",
     "g_stop_times": """
         SELECT agency, trip_id, stop_sequence, stop_id, CASE WHEN stop_id % 29 = 0 THEN NULL ELSE
                concat(lpad(CAST(CAST(floor(m / 60) AS BIGINT) AS VARCHAR(9)), 2, '0'), ':', lpad(CAST(m % 60 AS VARCHAR(9)), 2, '0'), ':00') END AS departure_time
@@ -170,7 +170,7 @@ DERIVED = {
               GROUP BY t.agency, s.trip_id, s.stop_sequence) q""",
     "t_node_xy": "SELECT DISTINCT N, X, Y FROM (SELECT N, max(X) AS X, max(Y) AS Y FROM t_coords GROUP BY N) q",
 }
-DERIVED_NEEDS = {"g_routes": ["g_routes_raw"], "g_calendar": ["g_calendar_raw", "g_routes_raw"], "g_stop_times": ["g_stops_raw", "g_trips"],
+DERIVED_NEEDS = {"g_routes": ["g_routes_raw"], "g_calendar": ["g_calendar_raw", "g_trips"], "g_stop_times": ["g_stops_raw", "g_trips"],
                  "t_node_xy": ["t_coords"]}
 
 

@@ -165,8 +165,9 @@ def reconcile_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for name, df in tables.items():
         one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("check_name"), "n_rows")
         counts = one if counts is None else counts.unionByName(one)
-    spread = counts.agg((F.max("n_rows") != F.min("n_rows")).alias("mismatch"))
-    return counts.crossJoin(F.broadcast(spread))  # one row by construction
+    # one row per table
+    all_rows = counts.agg(F.collect_list(F.struct("check_name", "n_rows")).alias("c"), (F.max("n_rows") != F.min("n_rows")).alias("mismatch"))
+    return all_rows.select(F.inline("c"), "mismatch")
 
 
 def match_rate(links: DataFrame, link_class: str, matched: str, taggable: list) -> DataFrame:

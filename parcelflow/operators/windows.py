@@ -84,17 +84,30 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: s
     return filled.withColumn(out, value_out).drop("__run", "__seed")
 
 
-def cumulative_stddev(df: DataFrame, order: str, value: str, out: str, partition_by: list[str] = ()) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: str, totals: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """Sums up to and including the row along a numeric order, for groups of any size.
+
+    Inside a run of ``chunk`` order numbers a window adds up; the totals of earlier runs are joined in.
+    """
+    df = df.withColumn("__run", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
+    inside = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
+    runs = df.groupBy(*keys, "__run").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = runs.select(*keys, "__run", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in totals])
+    out = out.join(seeds, [*keys, "__run"])
+    return out.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in totals}).drop("__run", *[f"__b_{n}" for n in totals])
+
+
+def cumulative_stddev(df: DataFrame, order: str, value: str, out: str, partition_by: list[str] = (), chunk: int = CHUNK) -> DataFrame:
     """Sample standard deviation of all values up to and including each order value (peers together).
 
-    Only the moments per order value are ordered; a run of that many rows is short even for large tables.
+    The values are reduced to their moments per order value, and only those are added up in order.
     """
-    keys = [*partition_by, order]
-    v = F.col(value).cast("double")
-    m = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), F.avg(v).alias("avg"), F.count(v).alias("__n"),
-                              F.sum(v).alias("__s"), F.sum(v * v).alias("__q"))
-    w = Window.partitionBy(*partition_by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    n, s, q = (F.sum(c).over(w) for c in ("__n", "__s", "__q"))
+    keys, v = list(partition_by), F.col(value).cast("double")
+    m = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("cnt"), F.avg(v).alias("avg"), F.count(v).alias("__n"),
+                                     F.sum(v).alias("__s"), F.sum(v * v).alias("__q"))
+    m = running_total(m, keys, order, {"__cn": "__n", "__cs": "__s", "__cq": "__q"}, chunk)
+    n, s, q = F.col("__cn"), F.col("__cs"), F.col("__cq")
     var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
-    return m.select(*keys, "cnt", "avg", F.sqrt(F.greatest(var, F.lit(0.0))).alias("__sd"), n.alias("__cn")).withColumn(
-        out, F.when(F.col("__cn") > 1, F.col("__sd"))).drop("__sd", "__cn")
+    return m.select(*keys, order, "cnt", "avg", F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelflow import constants as K
 from parcelflow.functions import scalars as S
 from parcelflow.operators.aggregates import reconcile_counts
+from parcelflow.operators.joins import union_all
 from parcelflow.plans import themes as T
 
 MASTER_COLUMNS = ["GISAc", "XCOORD", "YCOORD", "Block_20", "BG_20", "BG_10", "TRACT_20", "GEOID_20", "RAD_07", "TAZ_07",
@@ -100,7 +101,7 @@ def topline_summary(trips: DataFrame, hh: DataFrame, person: DataFrame, links: D
     parts = [pop, hhpop, t, vmt, roadway_totals(links, spark)]
     if transit is not None:
         parts.append(transit.agg(F.coalesce(F.sum(revenue_hours), F.lit(0.0)).alias(f"TRN_{revenue_hours}")))
-    out = parts[0]
-    for p in parts[1:]:  # every part is one row by construction
-        out = out.crossJoin(F.broadcast(p))
-    return out.withColumn("tot_resvmt_percap", F.try_divide("tot_vmt_ii", "tot_pop"))
+    types = {f.name: f.dataType for p in parts for f in p.schema.fields}
+    long = union_all([p.select(*[F.col(c).cast("double").alias(c) for c in p.columns]).unpivot([], p.columns, "name", "value") for p in parts])
+    wide = long.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).cast(t).alias(n) for n, t in types.items()])
+    return wide.withColumn("tot_resvmt_percap", F.try_divide("tot_vmt_ii", "tot_pop"))

@@ -14,6 +14,7 @@ from parcelflow import constants as K
 from parcelflow.functions import scalars as S
 from parcelflow.operators.aggregates import congested_mile_share, harmonic_mean
 from parcelflow.operators.percentiles import grouped_percentiles
+from parcelflow.session import materialize
 
 OVERNIGHT = (20, 6)
 LATE_NIGHT = (22, 4)
@@ -77,32 +78,38 @@ def period_percentile_bands(segments: DataFrame, epochs: DataFrame, period: str,
     return segments.select("tmc").join(pct.withColumnRenamed("tmc_code", "tmc"), "tmc", "left")
 
 
-def hourly_weekday_speeds(epochs: DataFrame, days=K.WORKING_DAYS) -> DataFrame:
-    """Per segment and hour of working days: epochs, reciprocal speed sum, travel time sum (additive parts)."""
-    picked = epochs.where(S.weekday_filter("measurement_tstamp", days))
-    return picked.groupBy("tmc_code", F.hour("measurement_tstamp").alias("hour_of_day")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.try_divide(F.lit(1.0), F.col("speed"))).alias("recip"),
-        F.avg("travel_time_seconds").alias("avg_tt_sec"))
+def hourly_speeds(epochs: DataFrame, days=K.WORKING_DAYS) -> DataFrame:
+    """Per segment and hour: additive parts over working days (epochs, reciprocal speeds, travel time) and epochs of all days."""
+    working = S.weekday_filter("measurement_tstamp", days)
+    return epochs.groupBy("tmc_code", F.hour("measurement_tstamp").alias("hour_of_day")).agg(
+        F.count(F.when(working, 1)).alias("n"), F.sum(F.when(working, F.try_divide(F.lit(1.0), F.col("speed")))).alias("recip"),
+        F.avg(F.when(working, F.col("travel_time_seconds"))).alias("avg_tt_sec"), F.count(F.lit(1)).alias("n_all_days"))
 
 
-def ranked_hours(segments: DataFrame, epochs: DataFrame, min_epochs: int = 100) -> DataFrame:
-    """Hours of each segment ranked by speed relative to free flow; ties share a rank, thin hours are dropped."""
-    ff = segments.select("tmc", "f_system").join(free_flow_by_class(epochs).withColumnRenamed("tmc_code", "tmc"), "tmc")
-    ff = ff.select(F.col("tmc").alias("tmc_code"), by_class().alias("ff_speed"))
-    hours = hourly_weekday_speeds(epochs).where(F.col("n") >= min_epochs).join(ff, "tmc_code")
-    speed = F.try_divide(F.col("n"), F.col("recip"))
-    hours = hours.withColumn("havg_spd", speed).withColumn("cong_ratio", F.try_divide("havg_spd", "ff_speed"))
+def _rank_hours(segments: DataFrame, hours: DataFrame, pct: DataFrame, min_epochs: int) -> DataFrame:
+    ff = segments.select(F.col("tmc").alias("tmc_code"), "f_system").join(pct, "tmc_code")
+    ff = ff.select("tmc_code", by_class().alias("ff_speed"))
+    h = hours.where(F.col("n") >= min_epochs).join(ff, "tmc_code").withColumn("havg_spd", F.try_divide("n", "recip"))
+    h = h.withColumn("cong_ratio", F.try_divide("havg_spd", "ff_speed")).drop("n_all_days")
     # at most 24 rows per segment
-    return hours.withColumn("hour_rank", F.rank().over(Window.partitionBy("tmc_code").orderBy("cong_ratio")))
+    return h.withColumn("hour_rank", F.rank().over(Window.partitionBy("tmc_code").orderBy("cong_ratio")))
+
+
+def ranked_hours(segments: DataFrame, epochs: DataFrame, min_epochs: int = 100) -> DataFrame:
+    """Working-day hours of each segment ranked by speed relative to free flow; ties share a rank, thin hours are dropped."""
+    return _rank_hours(segments, hourly_speeds(epochs), free_flow_by_class(epochs), max(min_epochs, 1))
 
 
 def congestion_intensity(segments: DataFrame, epochs: DataFrame, min_epochs: int = 100, worst: int = 4) -> DataFrame:
     """Free-flow speed, speed in the worst hours and the slowest hour per segment; -1 where unknown.
 
-    The worst-hours speed adds up the hourly counts and reciprocal sums, so the epochs are read once for it.
-    Of several equally slow hours the earliest is shown.
+    The epochs are read for the percentiles and once more for everything else: the worst-hours speed adds up
+    hourly counts and reciprocal sums. Both per-segment results are written once and used twice. Of several
+    equally slow hours the earliest is shown.
     """
-    h = ranked_hours(segments, epochs, min_epochs).where(F.col("hour_rank") <= worst)
+    pct = materialize(free_flow_by_class(epochs), "free-flow")
+    hours = materialize(hourly_speeds(epochs), "hourly-speeds")
+    h = _rank_hours(segments, hours, pct, max(min_epochs, 1)).where(F.col("hour_rank") <= worst)
     first = F.col("hour_rank") == 1
     slow = F.struct(F.col("havg_spd").alias("spd"), F.col("hour_of_day").alias("hr"), F.col("n").alias("n"))
     per = h.groupBy("tmc_code").agg(
@@ -110,10 +117,11 @@ def congestion_intensity(segments: DataFrame, epochs: DataFrame, min_epochs: int
         F.min(F.when(first, slow)).alias("slow")).select(
         F.col("tmc_code").alias("tmc"), "epochs_worst4hrs", "havg_spd_worst4hrs",
         F.col("slow.hr").alias("slowest_hr"), F.col("slow.spd").alias("slowest_hr_speed"), F.col("slow.n").alias("epochs_slowest_hr"))
-    night = (epochs.where(S.hour_window("measurement_tstamp", *OVERNIGHT)).groupBy(F.col("tmc_code").alias("tmc"))
-             .agg(F.count(F.lit(1)).alias("epochs_night")))
-    pct = free_flow_by_class(epochs).withColumnRenamed("tmc_code", "tmc")
-    out = segments.join(pct, "tmc", "left").join(per, "tmc", "left").join(night, "tmc", "left").withColumn("ff", by_class())
+    start, end = OVERNIGHT
+    dark = (F.col("hour_of_day") >= start) | (F.col("hour_of_day") < end)
+    night = hours.where(dark).groupBy(F.col("tmc_code").alias("tmc")).agg(F.sum("n_all_days").alias("epochs_night"))
+    out = segments.join(pct.withColumnRenamed("tmc_code", "tmc"), "tmc", "left").join(per, "tmc", "left").join(night, "tmc", "left")
+    out = out.withColumn("ff", by_class())
     worst_ratio, slow_ratio = F.try_divide("havg_spd_worst4hrs", "ff"), F.try_divide("slowest_hr_speed", "ff")
     or_minus = lambda c: F.coalesce(c, F.lit(-1))
     return out.select(

@@ -100,11 +100,14 @@ def trip_measures(trip: DataFrame, rule: str = "constants") -> DataFrame:
 
 
 def tour_rows(trip: DataFrame, tour: DataFrame, person: DataFrame, hh: DataFrame, rule: str = "constants") -> DataFrame:
-    """One row per tour with trips: tour attributes, home parcel and trip measures."""
-    t = tour.select("id", "person_id", "pdpurp", "parent", "topcl", "tdpcl").withColumnRenamed("id", "tour_id")
+    """One row per tour with trips: tour attributes, home parcel and trip measures.
+
+    The narrow tour, person and household keys are joined first, so the wide trip sums move once, by tour.
+    """
+    t = tour.select(F.col("id").alias("tour_id"), "person_id", "pdpurp", "parent", "topcl", "tdpcl")
     p = person.select(F.col("id").alias("person_id"), "hhno")
     h = hh.select("hhno", F.col("hhparcel").alias("home"))
-    return trip_measures(trip, rule).join(t, "tour_id").join(p, "person_id").join(h, "hhno")
+    return trip_measures(trip, rule).join(t.join(p, "person_id").join(h, "hhno"), "tour_id")
 
 
 def _on_work() -> Column:

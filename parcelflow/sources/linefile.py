@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.constants import LINE_FILE_ITEMS_PER_ROW
-from parcelflow.operators.windows import carry_forward, mark_changes
+from parcelflow.operators.windows import carry_forward, mark_changes, running_total
 from parcelflow.sources.sinks import write_text_parts
 
 # --- fixed values: attribute names of the line file, in output order ------------------------------
@@ -101,10 +101,9 @@ def line_file_rows(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
     known = nodes.join(lines.select("line_name"), "line_name", "left_semi")
     marked = mark_changes(known, ["line_name"], "seq", "tf", "new_tf", "0")
-    w = Window.partitionBy("line_name").orderBy("seq")
-    marked = marked.withColumns({"first": F.row_number().over(w) == 1,
-                                 "width": F.when(F.col("new_tf").isNull(), 1).otherwise(2)})
-    marked = marked.withColumn("before", F.sum("width").over(w) - F.col("width"))
+    marked = marked.withColumns({"one": F.lit(1), "width": F.when(F.col("new_tf").isNull(), 1).otherwise(2)})
+    marked = running_total(marked, ["line_name"], "seq", {"number": "one", "upto": "width"})
+    marked = marked.withColumns({"first": F.col("number") == 1, "before": F.col("upto") - F.col("width")})
     sign = F.when(F.col("stop") == "N", F.lit("-")).otherwise(F.lit(""))
     node, tf = F.concat(F.lit("N="), sign, F.col("node").cast("string")), F.concat(F.lit("TF="), F.col("new_tf"))
     items = F.when(F.col("new_tf").isNull(), F.array(node)).when(F.col("first"), F.array(node, tf)).otherwise(F.array(tf, node))

@@ -89,8 +89,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_text_parts(df: DataFrame, group: list[str], order: list[str], text: str, path: str) -> None:
     """Ordered text: groups stay whole in one part, parts are in group order."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, *group).sortWithinPartitions(*group, *order)
+    (df.repartitionByRange(*group).sortWithinPartitions(*group, *order)
      .select(F.col(text).alias("value")).write.mode("overwrite").text(path))
 
 
