@@ -84,7 +84,7 @@ def _tables(spark, sf):
 
 # ------------------------------------------------------------------ GTFS
 
-MILES = """2 * 3958.7613 * asin(least(1, sqrt(power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2))))"""
+MILES = """CASE WHEN plat IS NULL THEN 0 ELSE 2 * 3958.7613 * asin(least(1, sqrt(power(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * power(sin(radians(lon - plon) / 2), 2)))) END"""
 SHAPES = f"""sh AS (SELECT agency, shape_id, coalesce(sum({MILES}), 0) AS mi FROM (SELECT agency, shape_id, shape_pt_lon AS lon, shape_pt_lat AS lat,
      lag(shape_pt_lon) OVER w AS plon, lag(shape_pt_lat) OVER w AS plat FROM g_shapes WINDOW w AS (PARTITION BY agency, shape_id ORDER BY shape_pt_sequence)) q GROUP BY 1, 2)"""
 
