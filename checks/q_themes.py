@@ -386,7 +386,7 @@ def _gateways(spark, sf):
     return view(spark, sf, "net_base").groupBy(S.is_gateway("A", "B").alias("gateway")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("coalesce_defaults", with_views("""SELECT parcelid, coalesce(dist_lbus, -1) AS DIST_BUS, coalesce(stugrd_p, 0) AS ENR FROM raw_parcel""", "raw_parcel"))
+@query("coalesce_defaults", with_views("""SELECT parcelid, """ + r("coalesce(dist_lbus, -1)") + " AS DIST_BUS, " + r("coalesce(stugrd_p, 0)") + " AS ENR FROM raw_parcel", "raw_parcel"))
 def _defaults(spark, sf):
     return J.coalesce_defaults(view(spark, sf, "raw_parcel"), {"dist_lbus": -1.0, "stugrd_p": 0.0}, {"dist_lbus": "DIST_BUS", "stugrd_p": "ENR"}, ["parcelid"])
 
