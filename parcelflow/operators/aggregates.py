@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import constants as K
 from parcelflow.functions.scalars import as_col, display_number, vehicle_share
+from parcelflow.session import materialize
 
 
 def count_if(predicate: Column) -> Column:
@@ -45,10 +46,10 @@ def allocate_share(parts: DataFrame, totals: DataFrame, key: str, weights: dict[
 
     ``weights`` maps a weight column of ``parts`` to (name of its zone sum, measures of ``totals`` it splits).
     A zone whose weights sum to 0 gives 0. The zone sums come from a map-side combined aggregate that is
-    joined back, not from a window, so a zone with a large part of all rows stays spread over tasks.
+    written and joined back, not from a window, so a zone with a large part of all rows stays spread over tasks.
     """
     sums = parts.groupBy(key).agg(*[F.sum(w).alias(s) for w, (s, _) in weights.items()])
-    zones = totals.join(sums, key)
+    zones = materialize(totals.join(sums, key), "zone-totals")
     out = parts.join(zones, key)
     shares = {}
     for w, (s, measures) in weights.items():
@@ -58,8 +59,8 @@ def allocate_share(parts: DataFrame, totals: DataFrame, key: str, weights: dict[
 
 
 def share_of_total(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Each row's share of its group total, through an aggregate and a join."""
-    total = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
+    """Each row's share of its group total, through a written aggregate and a join."""
+    total = materialize(df.groupBy(*keys).agg(F.sum(value).alias("__total")), "group-totals")
     return df.join(total, keys).withColumn(out, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.session import materialize
+
 BUCKETS_PER_DOUBLING = 512
 
 
@@ -47,7 +49,8 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: str, targets: dic
         lo, hi, _ = _ranks(F.col("__total"), p, method)
         wanted += [lo, hi]
     holds = reduce(lambda a, b: a | b, [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")) for r in wanted])
-    chosen = hist.where(holds).drop("__n")
+    # written, so that its true size is known: when it is small the second pass filters rows without a shuffle
+    chosen = materialize(hist.where(holds).drop("__n"), "percentile-buckets")
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     near = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, on + [F.col("r.__b") == F.col("c.__b")]))
     near = near.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.__b").alias("__b"), "__v", "__before", "__total"

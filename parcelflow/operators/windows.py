@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.session import materialize
+
 CHUNK = 100_000
 
 
@@ -34,8 +36,11 @@ def first_two(df: DataFrame, keys: list[str], value: str, first: str, second: st
 
 
 def group_stats(df: DataFrame, keys: list[str], stats: dict) -> DataFrame:
-    """Rows with statistics of their group, through an aggregate and a join instead of a window."""
-    return df.join(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), keys)
+    """Rows with statistics of their group, through a written aggregate and a join instead of a window.
+
+    With few groups the join is a broadcast, and the rows of a hot group are not shuffled at all.
+    """
+    return df.join(materialize(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), "group-stats"), keys)
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: dict[str, str], chunk: int = CHUNK) -> DataFrame:
