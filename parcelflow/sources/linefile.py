@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.constants import LINE_FILE_ITEMS_PER_ROW
-from parcelflow.operators.windows import carry_forward, mark_changes, running_total
+from parcelflow.operators.windows import mark_changes, running_total
 from parcelflow.sources.sinks import write_text_parts
 
 # --- fixed values: attribute names of the line file, in output order ------------------------------
@@ -72,8 +72,10 @@ def read_line_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     is_tf = F.col("t.k").isin(TIME_FACTOR_NAMES)
     is_node = (F.col("t.k").isNull() | F.col("t.k").isin(NODE_LIST_NAMES)) & F.col("t.v").rlike(r"^-?\d+$")
     tok = tok.where(is_tf | is_node).withColumn("new_tf", F.when(is_tf, F.col("t.v")))
-    tok = carry_forward(tok, ["file", "line_name"], "i", "new_tf", "tf", default="0")
+    # the items of a line come from one row, so a window over them is no larger than that row
     w = Window.partitionBy("file", "line_name").orderBy("i")
+    sofar = F.last("new_tf", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    tok = tok.withColumn("tf", F.coalesce(sofar, F.lit("0")))
     n = tok.where(F.col("new_tf").isNull()).withColumn("seq", F.row_number().over(w) - 1)
     nodes = n.select("line_name", F.abs(F.col("t.v").cast("bigint")).cast("string").alias("node"), "seq",
                      F.when(F.col("t.v").startswith("-"), "N").otherwise("Y").alias("stop"), "tf")
@@ -118,7 +120,7 @@ def line_file_rows(lines: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def write_line_file(lines: DataFrame, nodes: DataFrame, path: str) -> None:
-    """A folder of text parts; every line lies whole in one part, parts follow each other by line name."""
+    """A folder of text parts; every line lies whole in one part."""
     rows = line_file_rows(lines, nodes)
     write_text_parts(rows, ["line_name"], ["section", "row"], "text", path)
 

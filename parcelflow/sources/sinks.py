@@ -88,8 +88,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_text_parts(df: DataFrame, group: list[str], order: list[str], text: str, path: str) -> None:
-    """Ordered text: groups stay whole in one part, parts are in group order."""
-    (df.repartitionByRange(*group).sortWithinPartitions(*group, *order)
+    """Ordered text: a group stays whole in one part, and its rows are in order."""
+    (df.repartition(*group).sortWithinPartitions(*group, *order)
      .select(F.col(text).alias("value")).write.mode("overwrite").text(path))
 
 
