@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parcelflow import constants as K
 from parcelflow.functions.scalars import as_col, display_number, vehicle_share
+from parcelflow.operators.joins import join_same
 from parcelflow.session import materialize
 
 
@@ -61,7 +62,7 @@ def allocate_share(parts: DataFrame, totals: DataFrame, key: str, weights: dict[
 def share_of_total(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Each row's share of its group total, through a written aggregate and a join."""
     total = materialize(df.groupBy(*keys).agg(F.sum(value).alias("__total")), "group-totals")
-    return df.join(total, keys).withColumn(out, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
+    return join_same(df, total, keys).withColumn(out, F.try_divide(F.col(value), F.col("__total"))).drop("__total")
 
 
 def rate_then_apply(units: DataFrame, activity: DataFrame, group: str, rates: dict[str, tuple[str, str]]) -> DataFrame:

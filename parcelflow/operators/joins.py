@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,13 @@ def keep_all(dimension: DataFrame, summary: DataFrame, key: str, summary_key: st
     return (out.withColumns(fill) if fill else out).drop("__hit")
 
 
+def join_same(df: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys where NULL equals NULL, as in a grouping; the keys of ``df`` are kept."""
+    o = other.withColumnsRenamed({k: f"__same_{k}" for k in keys})
+    on = [df[k].eqNullSafe(o[f"__same_{k}"]) for k in keys]
+    return df.join(o, reduce(lambda a, b: a & b, on), how).drop(*[f"__same_{k}" for k in keys])
+
+
 def coalesce_defaults(df: DataFrame, defaults: dict[str, object], rename: dict[str, str] | None = None,
                       keep: list[str] = ()) -> DataFrame:
     """``keep`` columns and the listed ones with NULL replaced, under new names where given."""

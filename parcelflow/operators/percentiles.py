@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.operators.joins import join_same
 from parcelflow.session import materialize
 
 BUCKETS_PER_DOUBLING = 512
@@ -75,4 +76,4 @@ def approximate_percentiles(df: DataFrame, keys: list[str], value: str, targets:
 
 def percentile_over(df: DataFrame, keys: list[str], value: str, out: str, p: float) -> DataFrame:
     """The analytic form: every row carries its group's percentile."""
-    return df.join(grouped_percentiles(df, keys, value, {out: (p, "cont")}), keys, "left")
+    return join_same(df, grouped_percentiles(df, keys, value, {out: (p, "cont")}), keys, "left")

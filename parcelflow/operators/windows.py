@@ -1,10 +1,11 @@
-"""Order-dependent operators."""
+"""Order-dependent operators. Keys of the operators that cut groups into runs must not be NULL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.operators.joins import join_same
 from parcelflow.session import materialize
 
 CHUNK = 100_000
@@ -40,7 +41,7 @@ def group_stats(df: DataFrame, keys: list[str], stats: dict) -> DataFrame:
 
     With few groups the join is a broadcast, and the rows of a hot group are not shuffled at all.
     """
-    return df.join(materialize(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), "group-stats"), keys)
+    return join_same(df, materialize(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), "group-stats"), keys)
 
 
 def with_previous(df: DataFrame, keys: list[str], order: str, cols: dict[str, str], chunk: int = CHUNK) -> DataFrame:
@@ -100,8 +101,8 @@ def running_total(df: DataFrame, keys: list[str], order: str, totals: dict[str,
     runs = df.groupBy(*keys, "__run").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()])
     earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
     seeds = runs.select(*keys, "__run", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in totals])
-    out = out.join(seeds, [*keys, "__run"])
-    return out.withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in totals}).drop("__run", *[f"__b_{n}" for n in totals])
+    out = out.join(seeds, [*keys, "__run"], "left")
+    return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"__b_{n}"), F.lit(0)) for n in totals}).drop("__run", *[f"__b_{n}" for n in totals])
 
 
 def cumulative_stddev(df: DataFrame, order: str, value: str, out: str, partition_by: list[str] = (), chunk: int = CHUNK) -> DataFrame:
