@@ -1,29 +1,25 @@
 """Session helpers: where shared scratch data lives and how to cut lineage."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only when that setting is absent (local tests) is a fresh temporary folder chosen and set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        named = tempfile.mkdtemp(prefix="parcelflow-")
-        sc.setCheckpointDir(named)
-    elif sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
+    """The folder that ``spark.checkpoint.dir`` names. It must be one that the driver and all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share; reduced results are written there.")
     return named.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; it is removed when the session's JVM ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -7,10 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[8]").appName("parcelflow-tests")
          .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("scratch")))
          .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s

@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from checks import compare
+from checks import compare, registry
 
 SF = "/root/testdata/sf0.001"
 SHORT = ["theme_household", "theme_person", "theme_telework", "theme_external_travel", "mix_density", "qa_reconcile", "topline_summary",
@@ -14,11 +14,11 @@ SHORT = ["theme_household", "theme_person", "theme_telework", "theme_external_tr
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(entry.queries()) if os.environ.get("PARCELFLOW_ALL") else SHORT)
+@pytest.mark.parametrize("name", sorted(registry.QUERIES) if os.environ.get("PARCELFLOW_ALL") else SHORT)
 def test_query(spark, name):
     out, _, _ = compare.compare(spark, compare.connect(SF), SF, name, entry.queries()[name], entry.oracle_sql()[name])
     assert out.startswith("ok") and "TYPES" not in out, out
