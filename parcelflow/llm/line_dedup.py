@@ -47,7 +47,7 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
                 site_col: str = "source") -> DataFrame:
-    """(doc_id, text, n_lines, n_removed, n_left, site): every row, its text without lines that are boilerplate across sites.
+    """(doc_id, key, text, n_lines, n_removed, n_left, site): every row, ``key`` the hash of its whole text, ``text`` the rest without lines that are boilerplate across sites.
 
     ``n_left`` counts such lines that stay since they make up more than ``max_share`` of the document's words. Lines of fewer than
     ``min_words`` words tell nothing and stay. A null text has no line and stays null; an empty text has one empty line, which stays;
@@ -65,12 +65,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_sha
     by_doc = materialize(gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("gone"), F.sum("n_words").alias("gone_words")), "line-gone")
 
     whole = attach(keyed, by_doc, ("doc_id", "key"))
-    lines_of = whole.select("doc_id", "site", "text", "gone", "gone_words", split_lines(F.col("text")).alias("lines"),
+    lines_of = whole.select("doc_id", "key", "site", "text", "gone", "gone_words", split_lines(F.col("text")).alias("lines"),
                             F.size(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANK + "\n")), r"[ \t\r\n\x0B\f]+")).alias("words"))
     strip = F.col("gone").isNotNull() & (F.col("gone_words") <= F.col("words") * F.lit(max_share))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
     count = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
-    return lines_of.select("doc_id", F.when(strip, rest).otherwise(F.col("text")).alias("text"),
+    return lines_of.select("doc_id", "key", F.when(strip, rest).otherwise(F.col("text")).alias("text"),
                            F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).alias("n_lines"),
                            F.when(strip, count).otherwise(F.lit(0)).alias("n_removed"), F.when(strip, F.lit(0)).otherwise(count).alias("n_left"), "site")
