@@ -50,7 +50,7 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", conv_col: str =
 
 def read_turns(formatted: Column) -> Column:
     """array<struct<role,text>> of the turns that a formatted conversation holds."""
-    blocks = F.slice(F.split(formatted, r"<\|im_start\|>", -1), 2, 2 ** 31 - 1)
+    blocks = F.filter(F.split(formatted, r"<\|im_start\|>", -1), lambda _, i: i > 0)
 
     def turns(block: Column) -> Column:
         parts = F.split(F.substring_index(block, END, 1), r"<\|im_sep\|>", -1)

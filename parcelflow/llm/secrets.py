@@ -56,9 +56,12 @@ def candidates(text: Column) -> list[Column]:
         matches(text, HEX),
         F.filter(matches(text, OPAQUE), lambda m: m["match"].rlike("[0-9]") & m["match"].rlike("[a-z]") & m["match"].rlike("[A-Z]")),
     ]
-    secret = [value, lambda m: m, lambda m: m, lambda m: m]
-    return [F.transform(x, lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
-                                                   F.xxhash64(secret[k](m["match"])).alias("value")).cast(FINDING)) for k, x in enumerate(found)]
+    return [_findings(x, k, value if k == 0 else lambda m: m) for k, x in enumerate(found)]
+
+
+def _findings(spans: Column, kind: int, secret) -> Column:
+    return F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
+                                                 F.xxhash64(secret(m["match"])).alias("value")).cast(FINDING))
 
 
 def ownership(findings: DataFrame) -> DataFrame:

@@ -1,18 +1,22 @@
 """Toxicity by a classifier chain: linear models predict one category after another.
 
 Each model's features are hashed words and the probabilities of the categories before it. While fitting, these come from models that
-haven't seen the document (out of fold), so a later model learns how far an earlier one can be trusted on new documents.
+haven't seen the document (out of fold), so a later model learns how far an earlier one can be trusted on new documents. The models of a
+category, one for each fold and one for all rows, are fitted side by side, a task each, on a bounded number of labelled documents; scoring
+runs over all documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import materialize
 from .rows import core
@@ -20,50 +24,99 @@ from .rows import core
 DIMENSIONS = 1 << 17
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def features(text: Column, dimensions: int) -> Column:
+    """Distinct hashed words of a text in lower case, as array<int>; an empty array for null."""
+    found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_distinct(F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int")))
 
 
-def _features(df: DataFrame, dimensions: int) -> DataFrame:
-    return HashingTF(inputCol="_words", outputCol="_features", numFeatures=dimensions, binary=True).transform(
-        df.withColumn("_words", words(F.col("text")))).drop("_words")
+def margins(values: np.ndarray, offsets: np.ndarray, before: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Linear scores of documents: their words' weights, those of the categories before, and a constant (the last weight)."""
+    n = before.shape[1]
+    sums = np.concatenate([[0.0], np.cumsum(weights[values])])
+    return sums[offsets[1:]] - sums[offsets[:-1]] + before @ weights[len(weights) - 1 - n:-1] + weights[-1]
+
+
+def logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+
+def fit_weights(words: list[np.ndarray], before: np.ndarray, wanted: np.ndarray, dimensions: int, epochs: int = 12, rate: float = 0.3,
+                decay: float = 1e-6, batch: int = 64) -> np.ndarray:
+    """Weights of a logistic regression, fitted by AdaGrad in small batches; the same rows give the same weights."""
+    n = before.shape[1]
+    weights, seen = np.zeros(dimensions + n + 1), np.full(dimensions + n + 1, 1e-6)
+    order = np.random.default_rng(17)
+    for _ in range(epochs):
+        mixed = order.permutation(len(words))
+        for i in range(0, len(words), batch):
+            at = mixed[i:i + batch]
+            rows = [words[k] for k in at]
+            lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+            values, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum(lengths)])
+            error = logistic(margins(values, offsets, before[at], weights)) - wanted[at]
+            index, place = np.unique(values, return_inverse=True)
+            slope = np.bincount(place, weights=np.repeat(error, lengths), minlength=len(index))
+            index = np.concatenate([index, np.arange(dimensions, dimensions + n + 1)])
+            slope = np.concatenate([slope, error @ before[at], [error.sum()]]) / len(at) + decay * weights[index]
+            seen[index] += slope * slope
+            weights[index] -= rate * slope / np.sqrt(seen[index])
+    return weights
 
 
 @dataclass
 class Chain:
-    """A fitted chain: the categories in order, their models (None where no label was given), and the last one's threshold."""
+    """A fitted chain: the categories in order, their weights (None where no label was given), and the last one's threshold."""
     categories: list[str]
-    models: list[LogisticRegressionModel | None]
+    weights: list[np.ndarray | None]
     dimensions: int
     threshold: float
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, text, p_<category>.., rejected), one row per row; a null or empty text is one without words."""
-        df = _features(core(docs, doc_id=id_col, text=text_col), self.dimensions)
-        for k, name in enumerate(self.categories):
-            df = _predict(df, self.models[k], self.categories[:k], f"p_{name}")
-        return df.drop("_features").withColumn("rejected", F.col(f"p_{self.categories[-1]}") >= self.threshold)
-
-
-def _inputs(df: DataFrame, before: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=["_features", *[f"p_{c}" for c in before]], outputCol="_inputs").transform(df)
-
-
-def _fit(df: DataFrame, name: str, before: list[str], regularisation: float, iterations: int) -> LogisticRegressionModel | None:
-    if df.isEmpty():
-        return None
-    return LogisticRegression(featuresCol="_inputs", labelCol=f"y_{name}", regParam=regularisation, maxIter=iterations, standardization=False).fit(_inputs(df, before))
-
-
-def _predict(df: DataFrame, model: LogisticRegressionModel | None, before: list[str], to: str) -> DataFrame:
-    if model is None:
-        return df.withColumn(to, F.lit(0.0))
-    model.setFeaturesCol("_inputs").setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
-    return model.transform(_inputs(df, before)).withColumn(to, vector_to_array("_p")[1]).drop("_p", "_inputs")
+        """(doc_id, text, p_<category>.., rejected), one row per row; a null or empty text is one without words.
+
+        ``rejected`` is the last category's probability against the threshold. Repeated rows stay, other columns are left out.
+        """
+        rows = core(docs, doc_id=id_col, text=text_col).withColumn("_words", features(F.col("text"), self.dimensions))
+        chain = [w if w is None else w.astype(np.float32) for w in self.weights]
+        scored = _scored(rows, [f"p_{c}" for c in self.categories], 0, lambda k, _: chain[k])
+        return scored.drop("_words").withColumn("rejected", F.col(f"p_{self.categories[-1]}") >= self.threshold)
+
+
+def _scored(rows: DataFrame, names: list[str], first: int, weights_of) -> DataFrame:
+    """``rows`` with the probabilities ``names[first:]``; ``weights_of(k, fold)`` has the weights of category k."""
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names[first:]]])
+    folded = "_fold" in rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(batch.schema.get_field_index("_words"))
+            values, offsets = words.flatten().to_numpy(), words.offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            folds = batch.column(batch.schema.get_field_index("_fold")).to_numpy() if folded else np.zeros(batch.num_rows, dtype=int)
+            known = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names[:first]]
+            for k in range(first, len(names)):
+                before = np.column_stack([*known, np.empty((batch.num_rows, 0))])
+                p = np.zeros(batch.num_rows)
+                for fold in np.unique(folds):
+                    if (w := weights_of(k, fold)) is not None:
+                        at = folds == fold
+                        p[at] = logistic(margins(values, offsets, before, w))[at]
+                known.append(p)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p) for p in known[first:]]], names=[*batch.schema.names, *names[first:]])
+    return rows.mapInArrow(run, schema)
+
+
+def _fitter(before: list[str], wanted: str, dimensions: int):
+    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_order", kind="stable")
+        earlier = rows[before].to_numpy(dtype=float).reshape(len(rows), len(before))
+        return pd.DataFrame({"model": [key[0]], "weights": [fit_weights(list(rows["_words"]), earlier, rows[wanted].to_numpy(), dimensions)]})
+    return fit
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_labelled: int = 20_000, folds: int = 3, dimensions: int = DIMENSIONS,
-              regularisation: float = 1e-5, iterations: int = 60, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+              id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on at most ``max_labelled`` labelled documents, those whose ids have the smallest hashes.
 
     ``labels`` has ``id_col`` and a 0/1 column for each category, in the order of the chain; the last is the one that rejects. Rows with a
@@ -72,23 +125,21 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_lab
     """
     marks = labels.select(labels[id_col].alias("doc_id"), *[labels[c].cast("double").alias(f"y_{c}") for c in categories]).dropna()
     marks = marks.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    text = core(docs, doc_id=id_col, text=text_col)
-    known = text.join(F.broadcast(marks), "doc_id")  # at most max_labelled rows of a few numbers
-    data = materialize(_features(known, dimensions).drop("text").withColumn("_fold", F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(folds)).cast("int")), "labelled")
-    models = []
+    known = core(docs, doc_id=id_col, text=text_col).join(F.broadcast(marks), "doc_id")  # at most max_labelled rows of a few numbers
+    fold = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(folds)).cast("int")
+    data = materialize(known.select(features(F.col("text"), dimensions).alias("_words"), fold.alias("_fold"), F.xxhash64("doc_id").alias("_order"),
+                                    *[f"y_{c}" for c in categories]), "labelled")
+    names = [f"p_{c}" for c in categories]
+    chain = []
     for k, name in enumerate(categories):
-        before = categories[:k]
-        models.append(None)
-        parts = []
-        for f in range(folds):
-            model = _fit(data.where(F.col("_fold") != f), name, before, regularisation, iterations)
-            parts.append(_predict(data.where(F.col("_fold") == f), model, before, f"p_{name}"))
-        models[k] = _fit(data, name, before, regularisation, iterations)
-        joined = parts[0]
-        for part in parts[1:]:
-            joined = joined.unionByName(part)
-        data = materialize(joined, "labelled")
-    return Chain(list(categories), models, dimensions, _best_threshold(data, categories[-1]))
+        # model m leaves out fold m; the last one leaves out none
+        uses = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("_fold"))
+        fitted = data.withColumn("model", F.explode(uses)).groupBy("model").applyInPandas(
+            _fitter(names[:k], f"y_{name}", dimensions), "model int, weights array<double>")
+        models = {r["model"]: np.asarray(r["weights"]) for r in fitted.collect()}
+        chain.append(models.get(folds))
+        data = materialize(_scored(data, names[:k + 1], k, lambda _, fold, models=models: models.get(int(fold))), "labelled")
+    return Chain(list(categories), chain, dimensions, _best_threshold(data, categories[-1]))
 
 
 def _best_threshold(data: DataFrame, name: str, steps: int = 100) -> float:
