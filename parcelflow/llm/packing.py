@@ -8,9 +8,11 @@ that most documents share is no hot group.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,47 +23,76 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .rows import core
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+BLOCK_CHARACTERS = 4_000_000
 
 
 class WordTokenizer:
     """Token ids of whole texts, as the bytes of little-endian unsigned 32-bit ids.
 
     A byte-level BPE vocabulary never merges across a space that stands between two other characters, and the token before such a space
-    doesn't depend on what follows. So a text is cut there, and what lies between is encoded once and remembered.
+    doesn't depend on what follows. So a text is cut there, and what lies between is encoded once and remembered. New words are encoded
+    together, as one text, and told apart by their number of bytes.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.unusual = regex.compile(r"\s |^ ")  # then not every space is a place to cut
-        self.cut = regex.compile(r"(?<=\S)(?= \S)")
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
+        self.unusual = re.compile(r"\s ")  # then not every space is a place to cut
+        self.cut = re.compile(r"(?<=\S)(?= \S)")
         self.words: dict[str, bytes] = {}
 
-    def encode(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _remembered(self, parts: list[str]) -> bytes:
-        words = self.words
-        if len(words) > CACHED_WORDS:
-            words.clear()
-        out = []
-        for part in parts:
-            ids = words.get(part)
-            if ids is None:
-                ids = words[part] = self.encode(part)
-            out.append(ids)
-        return b"".join(out)
-
-    def __call__(self, text: str) -> bytes:
+    def parts(self, text: str) -> list[str]:
         if not text:
-            return b""
+            return []
         if self.unusual.search(text):
-            return self._remembered(self.cut.split(text))
+            return self.cut.split(text)
         first, *rest = text.split(" ")
-        return self._remembered([first, *[" " + part for part in rest]])
+        return [first, *[" " + part for part in rest]]
+
+    def learn(self, parts: set[str]) -> None:
+        """Remember the ids of ``parts``."""
+        words = self.words
+        if len(words) > CACHED_WORDS:
+            words.clear()
+        marked = {}  # a letter or digit and then one mark: the mark is a token of its own
+        new = parts.difference(words)
+        for part in new:
+            if len(part) > 2 and part[-1] in ".,;:!?" and part[-2].isalnum():
+                marked[part] = (part[:-1], part[-1])
+        new = new.difference(marked).union(*marked.values()).difference(words) if marked else new
+        inner = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
+        for part in new.difference(inner):
+            words[part] = self.encode(part).tobytes()
+        if inner:
+            ids = self.encode("".join(inner))
+            ends = np.cumsum([len(p.encode()) for p in inner])
+            cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()]
+            data = ids.tobytes()
+            for part, a, b in zip(inner, cuts, cuts[1:]):
+                words[part] = data[a:b]
+        for part, (word, mark) in marked.items():
+            words[part] = words[word] + words[mark]
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; a block of texts at a time."""
+        i = 0
+        while i < len(texts):
+            block, size = [], 0
+            while i < len(texts) and size < BLOCK_CHARACTERS:
+                block.append(self.parts(texts[i]))
+                size += len(texts[i] or "")
+                i += 1
+            self.learn(set(chain.from_iterable(block)))
+            for parts in block:
+                yield b"".join(map(self.words.__getitem__, parts))
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
@@ -87,8 +118,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
         encode = tokenizer(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = encode(text or "") + end
+            for doc_id, ids in zip(batch["doc_id"].array, encode(list(batch["text"].array)), strict=True):
+                ids += end
                 n = len(ids) // 4
                 head = n % capacity or min(n, capacity)
                 bounds = [0, *range(head, n + 1, capacity)]
