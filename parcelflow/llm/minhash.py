@@ -3,8 +3,8 @@
 One permutation spreads the shingles over 2**32 places; a second one, shifted round by 0, 1, 2, .. places, gives all coordinates of the
 signature. Documents with equal shingle sets form one class, and everything after works on classes. Classes that share a band meet in a
 bucket. There each is first compared with the bucket's hub, the member that shares most with others; groups of copies of one text are
-connected by that alone, in steps that grow with their number. What a bucket still holds in several components is compared in blocks,
-without the pairs whose components are known to be one. Every link is confirmed on full shingle sets.
+connected by that alone, in steps that grow with their number. What a group of
+buckets that share members still holds in several components is compared in blocks, but for pairs whose components are known to be one. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -127,33 +127,37 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def _across(rows_in_band: int, coordinates: int, threshold: float, block: int):
-    """Compares two blocks of a bucket: pairs of different components whose signatures and sizes allow a link."""
-    slack = threshold - 5 * math.sqrt(threshold * (1 - threshold) / coordinates)
+def _across(coordinates: int, percent: int):
+    """Compares two blocks of a group: the links between different components, confirmed on full sets.
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        (i, j) = key[1], key[2]
-        sides = [rows[rows["block"] == i], rows[rows["block"] == j]]
+    Sizes and signatures rule most pairs out; what a signature rules out is five standard errors below the threshold.
+    """
+    t = percent / 100
+    slack = t - 5 * math.sqrt(t * (1 - t) / coordinates)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sides = [rows[rows["block"] == key[1]], rows[rows["block"] == key[2]]]
         grids = [np.frombuffer(b"".join(s["signature"]), dtype=np.uint32).reshape(len(s), coordinates) for s in sides]
         sizes = [s["n_shingles"].to_numpy() for s in sides]
-        roots = pd.factorize(pd.concat([s["root"] for s in sides]))[0]
-        roots = [roots[:len(sides[0])], roots[len(sides[0]):]]
-        classes = [s["class"].to_numpy() for s in sides]
+        codes = pd.factorize(pd.concat([s["root"] for s in sides]))[0]
+        roots = [codes[:len(sides[0])], codes[len(sides[0]):]]
+        classes, hashes = [s["class"].to_numpy() for s in sides], [s["hashes"].to_numpy() for s in sides]
         found = []
         for x in range(len(sides[0])):
-            ok = (roots[1] != roots[0][x]) & (np.minimum(sizes[1], sizes[0][x]) >= threshold * np.maximum(sizes[1], sizes[0][x]))
-            if i == j:
+            ok = (roots[1] != roots[0][x]) & (100 * np.minimum(sizes[1], sizes[0][x]) >= percent * np.maximum(sizes[1], sizes[0][x]))
+            if key[1] == key[2]:
                 ok[:x + 1] = False
             at = np.flatnonzero(ok)
             if len(at):
-                alike = (grids[1][at] == grids[0][x]).mean(axis=1) >= slack
-                found += [(classes[0][x], classes[1][y]) for y in at[alike]]
-        pairs = [(min(a, b), max(a, b)) for a, b in found]
-        return pd.DataFrame(pairs, columns=["a", "b"])
+                for y in at[(grids[1][at] == grids[0][x]).mean(axis=1) >= slack]:
+                    common = len(np.intersect1d(hashes[0][x], hashes[1][y], assume_unique=True))
+                    if 100 * common >= percent * (sizes[0][x] + sizes[1][y] - common):
+                        found.append((classes[0][x], classes[1][y]))
+        return pd.DataFrame(found, columns=["a", "b"])
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 128, rows: int = 4, block: int = 2048,
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinates: int = 128, rows: int = 4, block: int = 1024,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component, component_id), one row per row of ``docs``.
 
@@ -177,25 +181,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     hubs = members.join(shared, "class").groupBy("bucket").agg(F.max(F.struct("shared", "class")).alias("hub")).select("bucket", F.col("hub.class").alias("hub"))
     stars = members.join(hubs, "bucket").where("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
     stars = materialize(stars, "stars")
-    links = verified(stars, classes, text, size, percent)
+    sets = shingle_sets(stars, classes, text, size)
+    links = verified(stars, sets, percent)
     found = materialize(components(links), "components")
 
-    # buckets that hold several components: blocks against blocks, other pairs than before
-    rooted = attach(members.withColumnRenamed("class", "node"), found, ("node",)).select(
-        F.col("node").alias("class"), "bucket", "members", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = rooted.join(mixed, "bucket", "left_semi").join(classes.select("class", "n_shingles", "signature"), "class")
+    # groups that hold several components: blocks against blocks
+    groups = materialize(components(stars), "groups").withColumnRenamed("root", "group")
+    rooted = groups.join(found, "node", "left").select(F.col("node").alias("class"), "group", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    rest = rooted.join(mixed.select("group", "members"), "group").join(classes.select("class", "n_shingles", "signature"), "class").join(sets, "class")
     n_blocks = F.ceil(F.col("members") / block).cast("int")
     dealt = rest.withColumn("block", F.pmod(F.xxhash64("class"), n_blocks).cast("int"))
     others = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    tasks = dealt.select("*", F.explode(others).alias("t")).select("bucket", "t.i", "t.j", "block", "class", "root", "n_shingles", "signature")
-    across = tasks.groupBy("bucket", "i", "j").applyInPandas(_across(rows, coordinates, percent / 100, block), "a binary, b binary")
-    across = materialize(across.distinct().join(stars, ["a", "b"], "left_anti"), "across")
-    more = verified(across, classes, text, size, percent)
+    tasks = dealt.select("*", F.explode(others).alias("t")).select("group", "t.i", "t.j", "block", "class", "root", "n_shingles", "signature", "hashes")
+    more = materialize(tasks.groupBy("group", "i", "j").applyInPandas(_across(coordinates, percent), "a binary, b binary"), "across")
     if not more.isEmpty():
-        roots = found.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(found, "node", "left_anti").select(
-            "node", F.col("node").alias("root")))
-        found = materialize(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "components")
+        found = materialize(components(links.unionByName(more)), "components")
 
     rooted = classes.join(found, classes["class"] == found["node"], "left").select(
         classes["class"], "doc_id", F.coalesce("root", classes["class"]).alias("root"))
@@ -208,8 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
                         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are alike enough, written to the shared folder."""
+def shingle_sets(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: int) -> DataFrame:
+    """(class, hashes) of the classes in ``pairs``, from the text of one of their documents, written to the shared folder."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = materialize(wanted.join(classes.select("class", "doc_id", "key"), "class"), "wanted")
 
@@ -218,12 +219,17 @@ def verified(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: int, p
             yield pd.DataFrame({"class": batch["class"], "hashes": [shingles(t, size).view(np.int64) for t in batch["text"].array]})
     texts = text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["key"] == wanted["key"])).select(
         "class", F.col("text").cast("binary").alias("text"))
-    whole = materialize(texts.mapInPandas(sets, "class binary, hashes array<long>").dropDuplicates(["class"]), "sets")
-    both = pairs.join(whole.select(F.col("class").alias("a"), F.col("hashes").alias("x")), "a").join(
-        whole.select(F.col("class").alias("b"), F.col("hashes").alias("y")), "b")
+    return materialize(texts.dropDuplicates(["class"]).mapInPandas(sets, "class binary, hashes array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are alike enough, written to the shared folder."""
+    first = sets.select(F.col("class").alias("a"), F.col("hashes").alias("x"))
+    second = sets.select(F.col("class").alias("b"), F.col("hashes").alias("y"))
+    both = pairs.join(first, "a").join(second, "b")
     common = F.size(F.array_intersect("x", "y"))
     alike = 100 * common >= percent * (F.size("x") + F.size("y") - common)
-    return materialize(both.where(F.least(F.size("x"), F.size("y")) * 100 >= percent * F.greatest(F.size("x"), F.size("y"))).where(alike).select("a", "b"), "links")
+    return materialize(both.where(alike).select("a", "b"), "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
