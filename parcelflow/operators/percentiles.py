@@ -2,7 +2,9 @@
 
 Pass 1 counts rows per group and value bucket (a monotone, roughly relative-width bucket), which combines
 on the map side. The bucket counts tell which buckets hold the wanted ranks. Pass 2 keeps the rows of those
-buckets only, counts equal values, and reads the exact order statistics.
+buckets only and counts equal values. Between the least and the greatest value that a bucket really holds these are
+counted by even steps, and only the steps with a wanted rank are put in order: values that share a bucket, such as
+times of one day or small fractions, are no large group either.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from parcelflow.operators.joins import join_same
 from parcelflow.session import materialize
 
 BUCKETS_PER_DOUBLING = 512
+STEPS = 4096
+INFINITE, NAN = 1 << 40, 1 << 41
 
 
 def value_bucket(v: Column, per_doubling: int = BUCKETS_PER_DOUBLING) -> Column:
-    """Monotone integer bucket of a number: equal steps of log2(1 + |v|)."""
-    mag = F.floor(F.lit(float(per_doubling)) * F.log2(F.abs(v) + F.lit(1.0)))
-    return F.when(v < 0, -mag).otherwise(mag).cast("bigint")
+    """Monotone integer bucket of a number: equal steps of log2(1 + |v|); NaN comes last, as in Spark's order."""
+    mag = F.least(F.floor(F.lit(float(per_doubling)) * F.log2(F.abs(v) + F.lit(1.0))), F.lit(INFINITE))
+    return F.when(F.isnan(v), F.lit(NAN)).when(v < 0, -mag).otherwise(mag).cast("bigint")
 
 
 def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
@@ -39,11 +43,11 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: str, targets: dic
     """One row per group; ``targets`` maps an output to (fraction, 'cont' or 'disc'). NULL values are ignored."""
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     rows = rows.withColumn("__b", value_bucket(F.col("__v"), per_doubling))
-    hist = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    hist = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     # a group has as many rows here as it has buckets, whatever its size
     group = Window.partitionBy(*keys)
     before = F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    hist = hist.select(*keys, "__b", "__n", F.coalesce(before, F.lit(0)).alias("__before"),
+    hist = hist.select(*keys, "__b", "__n", "__low", "__high", F.coalesce(before, F.lit(0)).alias("__before"),
                        F.sum("__n").over(group).alias("__total"))
     wanted = []
     for p, method in targets.values():
@@ -54,17 +58,26 @@ def grouped_percentiles(df: DataFrame, keys: list[str], value: str, targets: dic
     chosen = materialize(hist.where(holds).drop("__n"), "percentile-buckets")
     on = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
     near = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, on + [F.col("r.__b") == F.col("c.__b")]))
-    near = near.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.__b").alias("__b"), "__v", "__before", "__total"
-                        ).agg(F.count(F.lit(1)).alias("__n"))
-    in_bucket = Window.partitionBy(*keys, "__b").orderBy("__v")
-    upto = F.col("__before") + F.sum("__n").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0))
+    step = F.when(F.col("c.__high") > F.col("c.__low"), F.floor((F.col("r.__v") - F.col("c.__low")) / (F.col("c.__high") - F.col("c.__low")) * STEPS))
+    near = near.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.__b").alias("__b"), F.coalesce(step, F.lit(0)).alias("__step"),
+                        "__v", "__before", "__total").agg(F.count(F.lit(1)).alias("__n"))
+    near = materialize(near, "percentile-values")
+    steps = near.groupBy(*keys, "__b", "__step", "__before", "__total").agg(F.sum("__n").alias("__n"))
+    in_bucket = Window.partitionBy(*keys, "__b").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(in_bucket), F.lit(0)))
+    steps = steps.where(holds).select(*keys, "__b", "__step", F.col("__before").alias("__start"))
+    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__b", "__step"]]
+    near = near.alias("v").join(steps.alias("s"), reduce(lambda a, b: a & b, same)).select("v.*", "s.__start")
+    in_step = Window.partitionBy(*keys, "__b", "__step").orderBy("__v")
+    upto = F.col("__start") + F.sum("__n").over(in_step.rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__n"))
     aggs, finals = [], []
     for out, (p, method) in targets.items():
         lo, hi, w = _ranks(F.col("__total"), p, method)
         at = lambda r: F.max(F.when((r >= F.col("__from")) & (r < F.col("__to")), F.col("__v")))
         aggs += [at(lo).alias(f"__lo_{out}"), at(hi).alias(f"__hi_{out}"), F.max(w).alias(f"__w_{out}")]
-        finals.append((F.col(f"__lo_{out}") + (F.col(f"__hi_{out}") - F.col(f"__lo_{out}")) * F.col(f"__w_{out}")).alias(out))
+        between = F.col(f"__lo_{out}") + (F.col(f"__hi_{out}") - F.col(f"__lo_{out}")) * F.col(f"__w_{out}")
+        finals.append(F.when((F.col(f"__lo_{out}") == F.col(f"__hi_{out}")) | (F.col(f"__w_{out}") == 0), F.col(f"__lo_{out}")).otherwise(between).alias(out))
     return near.groupBy(*keys).agg(*aggs).select(*keys, *finals)
 
 

@@ -69,7 +69,7 @@ def read_header(path: str, encoding: str = "ascii") -> dict:
             offset += length
         size = f.size()
     if record_length:
-        n = min(n, max(0, (size - data_at) // record_length)) if n else max(0, (size - data_at) // record_length)
+        n = max(0, (size - data_at) // record_length)  # the header's count is often stale
     return {"records": n, "length": record_length, "data_at": data_at, "version": head[0], "fields": fields}
 
 
@@ -117,7 +117,7 @@ def decode_column(kind: str, decimals: int, cells, encoding: str = "ascii"):
         except pa.ArrowInvalid:
             real = pc.cast(text, pa.float64())
             if not pc.all(pc.equal(pc.floor(real), real)).as_py():
-                raise ValueError("a field declared without decimals holds decimals") from None
+                raise ValueError("a field declared without decimals holds decimals: read it with the option real_fields") from None
             return pc.cast(real, pa.int64())
     if kind in "I+":
         return pa.array(cells.view("<i4").reshape(n), pa.int32())
@@ -157,18 +157,44 @@ def decode_column(kind: str, decimals: int, cells, encoding: str = "ascii"):
     return pa.nulls(n, pa.string() if kind == "M" else pa.binary())
 
 
+def _real_fields(options: dict) -> set[str]:
+    """Names in the option ``real_fields``: whole-number fields by their declaration that hold decimals."""
+    return {c.strip() for c in options.get("real_fields", "").split(",") if c.strip()}
+
+
+def records_before_mark(path: str, header: dict) -> int:
+    """How many records stand before the first end mark (0x1A in the place of the deletion flag), or all of them."""
+    system, p = _filesystem(path)
+    size = header["length"]
+    with system.open_input_file(p) as f:
+        f.seek(header["data_at"])
+        for first in range(0, header["records"], BLOCK_RECORDS):
+            raw = f.read(min(BLOCK_RECORDS, header["records"] - first) * size)
+            at = raw[::size].find(b"\x1a")
+            if at >= 0:
+                return first + at
+    return header["records"]
+
+
 class DbfReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict, path: str):
         self.names = [f.name for f in schema.fields]
         self.path, self.encoding = path, options.get("encoding", "ascii")
-        self.per_task = int(options.get("records_per_partition", 1_000_000))
+        self.real = _real_fields(options)
+        self.per_task = int(options["records_per_partition"]) if "records_per_partition" in options else None
+        memo = [f.name for f in schema.fields if (f.metadata or {}).get("dbf_kind") in ("M", "G", "P")]
+        if memo and options.get("ignore_missing_memofile", "false").lower() != "true":
+            raise ValueError(f"memo files are not read: leave out {', '.join(memo)}, or set ignore_missing_memofile for NULLs")
 
     def partitions(self):
+        """A task per file, which reads to the end mark; with ``records_per_partition``, ranges up to the mark, which is looked for first."""
         out = []
         for f in _list_files(self.path):
             h = read_header(f, self.encoding)
-            for first in range(0, max(h["records"], 1), self.per_task):
-                out.append(RecordRange(f, first, max(0, min(self.per_task, h["records"] - first))))
+            n = h["records"] if self.per_task is None else records_before_mark(f, h)
+            step = self.per_task or max(n, 1)
+            for first in range(0, max(n, 1), step):
+                out.append(RecordRange(f, first, max(0, min(step, n - first))))
         return out
 
     def read(self, part):
@@ -192,7 +218,7 @@ class DbfReader(DataSourceReader):
                 cols = []
                 for name in self.names:
                     _, kind, length, decimals, at = fields[name]
-                    cols.append(decode_column(kind, decimals, rows[:, at:at + length], self.encoding))
+                    cols.append(decode_column(kind, decimals or int(kind == "N" and name in self.real), rows[:, at:at + length], self.encoding))
                 if len(rows):
                     yield pa.RecordBatch.from_arrays(cols, names=self.names)
                 if finished:
@@ -208,7 +234,9 @@ class DbfDataSource(DataSource):
     def schema(self):
         h = read_header(_list_files(self.options["path"])[0], self.options.get("encoding", "ascii"))
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
-        fields = [T.StructField(n, field_type(k, d, h["version"]), True) for n, k, _, d, _ in h["fields"]
+        real = _real_fields(self.options)
+        h["fields"] = [(n, k, w, d or int(k == "N" and n in real), at) for n, k, w, d, at in h["fields"]]
+        fields = [T.StructField(n, field_type(k, d, h["version"]), True, {"dbf_kind": k} if k in "MGP" else None) for n, k, _, d, _ in h["fields"]
                   if not wanted or n in wanted]
         return T.StructType(fields)
 

@@ -163,6 +163,24 @@ def test_percentiles_match_numpy(spark, kind):
         assert r.d25 == float(np.quantile(mine, .25, method="inverted_cdf"))
 
 
+@pytest.mark.parametrize("values", [[10.0, 20.0, 30.0, 40.0, float("nan")], [float("-inf"), 1.0, 2.0, float("inf"), float("inf")]])
+def test_percentiles_of_unusual_numbers(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for p in (0.0, 0.25, 0.5, 0.6, 1.0):
+        got = P.grouped_percentiles(df.selectExpr("1 AS k", "v"), ["k"], "v", {"x": (p, "cont")}).first().x
+        want = df.selectExpr(f"percentile(v, {p}) AS x").first().x
+        assert got == want or (math.isnan(got) and math.isnan(want))
+
+
+def test_percentiles_of_values_that_share_a_bucket(spark):
+    for v in ("id / 1e9", "1700000000 + id / 7"):
+        df = spark.range(20_000).selectExpr("1 AS k", f"CAST({v} AS DOUBLE) AS v")
+        assert df.select(P.value_bucket(F.col("v"))).distinct().count() <= 2
+        got = P.grouped_percentiles(df, ["k"], "v", {"x": (0.35, "cont"), "y": (0.9, "disc")}).first()
+        want = df.selectExpr("percentile(v, 0.35) AS x", "percentile_disc(0.9) WITHIN GROUP (ORDER BY v) AS y").first()
+        assert math.isclose(got.x, want.x, rel_tol=1e-12) and got.y == want.y
+
+
 def test_percentiles_null_key_and_coarse_buckets(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(101)] + [("a", 1.0)], "k string, v double")
     got = {r.k: r.m for r in P.grouped_percentiles(df, ["k"], "v", {"m": (0.5, "cont")}, per_doubling=1).collect()}
@@ -187,8 +205,8 @@ def test_chunked_operators_equal_plain_windows(spark):
 
 
 def test_cumulative_stddev_literals(spark):
-    vals = {"a": [1.54766099958642, 2.10534961528528, 7.0710262954377], "b": [7.89149405701111, 5.2773768028472, 9.76967307341783, 0.572985992723344],
-            "c": [0.749200608836912, 5.95249368117681, 7.52809314280502, 3.21007592196416, 8.4624110870191, 8.78718731826456]}
+    rng = np.random.default_rng(5)
+    vals = {k: rng.uniform(0, 50, n).tolist() for k, n in (("a", 4), ("b", 1), ("c", 9))}
     df = spark.createDataFrame([(ord(k), v) for k, vs in vals.items() for v in vs], "g int, v double")
     got = {chr(r.g): (r.cnt, r.sd) for r in W.cumulative_stddev(df, "g", "v", "sd").collect()}
     seen = []

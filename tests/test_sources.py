@@ -83,14 +83,48 @@ def write_dbf(path, fields, records, version=3, deleted=()):
         f.write(b"\x1a")
 
 
-def test_dbf_people(spark, tmp_path):
-    p = str(tmp_path / "people.dbf")
-    fields = [("NAME", "C", 16, 0), ("BIRTHDATE", "D", 8, 0), ("MEMO", "M", 10, 0)]
-    rec = lambda n, d: [n.ljust(16).encode(), d.encode(), b" " * 10]
-    write_dbf(p, fields, [rec("Alice", "19870301"), rec("Deleted Guy", "19791222"), rec("Bob", "19801112")], deleted=(1,))
+def test_dbf_memo_needs_the_option(spark, tmp_path):
+    p = str(tmp_path / "signs.dbf")
+    fields = [("SIGN", "C", 12, 0), ("PUT_UP", "D", 8, 0), ("NOTES", "M", 10, 0)]
+    rec = lambda n, d: [n.ljust(12).encode(), d.encode(), b" " * 10]
+    write_dbf(p, fields, [rec("stop", "20110405"), rec("removed", "20120607"), rec("yield", "20130809")], deleted=(1,))
     dbf.register_dbf(spark)
-    rows = spark.read.format("dbf").load(p).collect()
-    assert [(r.NAME, str(r.BIRTHDATE), r.MEMO) for r in rows] == [("Alice", "1987-03-01", None), ("Bob", "1980-11-12", None)]
+    with pytest.raises(Exception, match="ignore_missing_memofile"):
+        spark.read.format("dbf").load(p).collect()
+    rows = spark.read.format("dbf").option("ignore_missing_memofile", "true").load(p).collect()
+    assert [(r.SIGN, str(r.PUT_UP), r.NOTES) for r in rows] == [("stop", "2011-04-05", None), ("yield", "2013-08-09", None)]
+    assert spark.read.format("dbf").option("columns", "SIGN").load(p).count() == 2
+
+
+def test_dbf_count_in_the_header_is_not_trusted(spark, tmp_path):
+    p = tmp_path / "stale.dbf"
+    write_dbf(str(p), [("ID", "N", 4, 0)], [[str(i).rjust(4).encode()] for i in range(10)])
+    dbf.register_dbf(spark)
+    data = bytearray(p.read_bytes())
+    for count in (0, 3, 10, 99):
+        data[4:8] = struct.pack("<I", count)
+        p.write_bytes(bytes(data))
+        assert spark.read.format("dbf").load(str(p)).count() == 10
+
+
+@pytest.mark.parametrize("per", [None, 1, 2, 7])
+def test_dbf_ends_at_the_first_mark(spark, tmp_path, per):
+    p = tmp_path / "marked.dbf"
+    write_dbf(str(p), [("ID", "N", 4, 0)], [[str(i).rjust(4).encode()] for i in range(10)])
+    data = bytearray(p.read_bytes())
+    data[33 + 32 + 4 * 5] = 0x1A
+    p.write_bytes(bytes(data))
+    dbf.register_dbf(spark)
+    reader = spark.read.format("dbf")
+    reader = reader.option("records_per_partition", per) if per else reader
+    assert sorted(r.ID for r in reader.load(str(p)).collect()) == [0, 1, 2, 3]
+
+
+def test_dbf_decimals_in_a_whole_number_field(spark, tmp_path):
+    p = str(tmp_path / "n.dbf")
+    write_dbf(p, [("X", "N", 5, 0)], [[b" 2.75"], [b"    4"]])
+    dbf.register_dbf(spark)
+    assert [r.X for r in spark.read.format("dbf").option("real_fields", "X").load(p).collect()] == [2.75, 4.0]
 
 
 def test_dbf_types_and_splits(spark, tmp_path):
