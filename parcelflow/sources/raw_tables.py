@@ -8,50 +8,71 @@ from pyspark.sql import types as T
 
 from parcelflow.sources.delimited import read_dat, read_delimited
 
-_TYPES = {"i": T.IntegerType(), "s": T.ShortType(), "r": T.FloatType()}
-
-
-def _schema(spec: str) -> T.StructType:
-    """``type:name name ...`` groups; i int, s smallint, r real; every column nullable."""
-    fields = []
-    for group in spec.split("|"):
-        kind, names = group.strip().split(":")
-        fields += [T.StructField(n, _TYPES[kind], True) for n in names.split()]
-    return T.StructType(fields)
-
-
-def _parcel_spec() -> str:
-    """The parcel table repeats one block of measures for the parcel and two buffer distances."""
-    jobs = "stugrd stuhgh stuuni empedu empfoo empgov empind empmed empofc empret empsvc empoth emptot parkdy parkhr".split()
-    at_parcel = " ".join(["hh_p", *[f"{j}_p" for j in jobs], "ppricdyp", "pprichrp"])
-    buffer = lambda k: (" ".join(["hh_%d" % k, *[f"{j}_{k}" for j in jobs], f"ppricdy{k}", f"pprichr{k}",
-                                  *[f"{n}_{k}" for n in ("nodes1", "nodes3", "nodes4", "tstops", "nparks")]]))
-    rings = " ".join(f"Circ_{d}{k}" for d in "E NE N NW W SW S SE".split() for k in (1, 2, 3))
-    distances = " ".join(f"dist_{m}" for m in "lbus ebus crt fry lrt park".split())
-    return (f"i:parcelid xcoord_p ycoord_p sqft_p|s:taz_p lutype_p|r:{at_parcel}|r:{buffer(1)}|i:aparks_1|"
-            f"r:{buffer(2)}|i:aparks_2|r:{distances} {rings}")
-
-
 # --- fixed values: column names and types of the model-run files ---------------------------------
-RAW_SCHEMAS = {
-    "raw_parcel": _schema(_parcel_spec()),
-    "raw_hh": _schema("i:hhno|r:fraction_with_jobs_outside|i:hhsize hhvehs hhwkrs hhftw hhptw hhret hhoad hhuni hhhsc hh515 "
-                      "hhcu5 hhincome hownrent hrestype hhparcel zone_id hhtaz hhexpfac samptype"),
-    "raw_person": _schema("i:id hhno|s:pno pptyp pagey pgend pwtyp|i:pwpcl|s:pwtaz|r:pwautime pwaudist|s:pstyp|i:pspcl|s:pstaz|"
-                          "r:psautime psaudist|s:puwmode puwarrp puwdepp ptpass ppaidprk pdiary pproxy psexpfac"),
-    "raw_personday": _schema("i:id person_id household_day_id hhno|s:pno day beghom endhom hbtours wbtours uwtours wktours sctours "
-                             "estours pbtours shtours mltours sotours retours metours wkstops scstops esstops pbstops shstops "
-                             "mlstops sostops restops mestops wkathome pdexpfac"),
-    "raw_tour": _schema("i:id person_id person_day_id hhno|s:pno day tour jtindex parent subtrs pdpurp tlvorig tardest tlvdest "
-                        "tarorig toadtyp tdadtyp|i:topcl|s:totaz|i:tdpcl|s:tdtaz tmodetp tpathtp|r:tautotime tautocost tautodist|"
-                        "s:tripsh1 tripsh2 phtindx1 phtindx2 fhtindx1 fhtindx2 toexpfac"),
-    "raw_trip": _schema("i:id tour_id hhno|s:pno day tour half tseg tsvid opurp dpurp oadtyp dadtyp|i:opcl|s:otaz|i:dpcl|s:dtaz "
-                        "mode pathtype dorp deptm arrtm endacttm|r:travtime travcost travdist vot|s:trexpfac|r:timeau distau distcong"),
-    "raw_cveh": _schema("r:I C2_VT_I C3_VT_I C2_VHT_I C3_VHT_I C2_VMT_I C3_VMT_I C2_CVMT_I C3_CVMT_I"),
-    "raw_ixxi": _schema("r:I IX_VT_I IX_VT_J IX_VHT_I IX_VHT_J IX_VMT_I IX_VMT_J IX_CVMT_I IX_CVMT_J HHS EMPTOT FOOD RET SVC"),
-    "raw_ixworker": _schema("s:TAZ|r:IXWkrFraxn extWkrfraxn"),
+RAW_COLUMNS = {
+    "raw_parcel": """
+        parcelid INT, xcoord_p INT, ycoord_p INT, sqft_p INT, taz_p SMALLINT, lutype_p SMALLINT, hh_p FLOAT, stugrd_p FLOAT, stuhgh_p
+        FLOAT, stuuni_p FLOAT, empedu_p FLOAT, empfoo_p FLOAT, empgov_p FLOAT, empind_p FLOAT, empmed_p FLOAT, empofc_p FLOAT,
+        empret_p FLOAT, empsvc_p FLOAT, empoth_p FLOAT, emptot_p FLOAT, parkdy_p FLOAT, parkhr_p FLOAT, ppricdyp FLOAT, pprichrp
+        FLOAT, hh_1 FLOAT, stugrd_1 FLOAT, stuhgh_1 FLOAT, stuuni_1 FLOAT, empedu_1 FLOAT, empfoo_1 FLOAT, empgov_1 FLOAT, empind_1
+        FLOAT, empmed_1 FLOAT, empofc_1 FLOAT, empret_1 FLOAT, empsvc_1 FLOAT, empoth_1 FLOAT, emptot_1 FLOAT, parkdy_1 FLOAT,
+        parkhr_1 FLOAT, ppricdy1 FLOAT, pprichr1 FLOAT, nodes1_1 FLOAT, nodes3_1 FLOAT, nodes4_1 FLOAT, tstops_1 FLOAT, nparks_1
+        FLOAT, aparks_1 INT, hh_2 FLOAT, stugrd_2 FLOAT, stuhgh_2 FLOAT, stuuni_2 FLOAT, empedu_2 FLOAT, empfoo_2 FLOAT, empgov_2
+        FLOAT, empind_2 FLOAT, empmed_2 FLOAT, empofc_2 FLOAT, empret_2 FLOAT, empsvc_2 FLOAT, empoth_2 FLOAT, emptot_2 FLOAT,
+        parkdy_2 FLOAT, parkhr_2 FLOAT, ppricdy2 FLOAT, pprichr2 FLOAT, nodes1_2 FLOAT, nodes3_2 FLOAT, nodes4_2 FLOAT, tstops_2
+        FLOAT, nparks_2 FLOAT, aparks_2 INT, dist_lbus FLOAT, dist_ebus FLOAT, dist_crt FLOAT, dist_fry FLOAT, dist_lrt FLOAT,
+        dist_park FLOAT, Circ_E1 FLOAT, Circ_E2 FLOAT, Circ_E3 FLOAT, Circ_NE1 FLOAT, Circ_NE2 FLOAT, Circ_NE3 FLOAT, Circ_N1 FLOAT,
+        Circ_N2 FLOAT, Circ_N3 FLOAT, Circ_NW1 FLOAT, Circ_NW2 FLOAT, Circ_NW3 FLOAT, Circ_W1 FLOAT, Circ_W2 FLOAT, Circ_W3 FLOAT,
+        Circ_SW1 FLOAT, Circ_SW2 FLOAT, Circ_SW3 FLOAT, Circ_S1 FLOAT, Circ_S2 FLOAT, Circ_S3 FLOAT, Circ_SE1 FLOAT, Circ_SE2 FLOAT,
+        Circ_SE3 FLOAT
+    """,
+    "raw_hh": """
+        hhno INT, fraction_with_jobs_outside FLOAT, hhsize INT, hhvehs INT, hhwkrs INT, hhftw INT, hhptw INT, hhret INT, hhoad INT,
+        hhuni INT, hhhsc INT, hh515 INT, hhcu5 INT, hhincome INT, hownrent INT, hrestype INT, hhparcel INT, zone_id INT, hhtaz INT,
+        hhexpfac INT, samptype INT
+    """,
+    "raw_person": """
+        id INT, hhno INT, pno SMALLINT, pptyp SMALLINT, pagey SMALLINT, pgend SMALLINT, pwtyp SMALLINT, pwpcl INT, pwtaz SMALLINT,
+        pwautime FLOAT, pwaudist FLOAT, pstyp SMALLINT, pspcl INT, pstaz SMALLINT, psautime FLOAT, psaudist FLOAT, puwmode SMALLINT,
+        puwarrp SMALLINT, puwdepp SMALLINT, ptpass SMALLINT, ppaidprk SMALLINT, pdiary SMALLINT, pproxy SMALLINT, psexpfac SMALLINT
+    """,
+    "raw_personday": """
+        id INT, person_id INT, household_day_id INT, hhno INT, pno SMALLINT, day SMALLINT, beghom SMALLINT, endhom SMALLINT, hbtours
+        SMALLINT, wbtours SMALLINT, uwtours SMALLINT, wktours SMALLINT, sctours SMALLINT, estours SMALLINT, pbtours SMALLINT, shtours
+        SMALLINT, mltours SMALLINT, sotours SMALLINT, retours SMALLINT, metours SMALLINT, wkstops SMALLINT, scstops SMALLINT, esstops
+        SMALLINT, pbstops SMALLINT, shstops SMALLINT, mlstops SMALLINT, sostops SMALLINT, restops SMALLINT, mestops SMALLINT,
+        wkathome SMALLINT, pdexpfac SMALLINT
+    """,
+    "raw_tour": """
+        id INT, person_id INT, person_day_id INT, hhno INT, pno SMALLINT, day SMALLINT, tour SMALLINT, jtindex SMALLINT, parent
+        SMALLINT, subtrs SMALLINT, pdpurp SMALLINT, tlvorig SMALLINT, tardest SMALLINT, tlvdest SMALLINT, tarorig SMALLINT, toadtyp
+        SMALLINT, tdadtyp SMALLINT, topcl INT, totaz SMALLINT, tdpcl INT, tdtaz SMALLINT, tmodetp SMALLINT, tpathtp SMALLINT,
+        tautotime FLOAT, tautocost FLOAT, tautodist FLOAT, tripsh1 SMALLINT, tripsh2 SMALLINT, phtindx1 SMALLINT, phtindx2 SMALLINT,
+        fhtindx1 SMALLINT, fhtindx2 SMALLINT, toexpfac SMALLINT
+    """,
+    "raw_trip": """
+        id INT, tour_id INT, hhno INT, pno SMALLINT, day SMALLINT, tour SMALLINT, half SMALLINT, tseg SMALLINT, tsvid SMALLINT, opurp
+        SMALLINT, dpurp SMALLINT, oadtyp SMALLINT, dadtyp SMALLINT, opcl INT, otaz SMALLINT, dpcl INT, dtaz SMALLINT, mode SMALLINT,
+        pathtype SMALLINT, dorp SMALLINT, deptm SMALLINT, arrtm SMALLINT, endacttm SMALLINT, travtime FLOAT, travcost FLOAT, travdist
+        FLOAT, vot FLOAT, trexpfac SMALLINT, timeau FLOAT, distau FLOAT, distcong FLOAT
+    """,
+    "raw_cveh": """
+        I FLOAT, C2_VT_I FLOAT, C3_VT_I FLOAT, C2_VHT_I FLOAT, C3_VHT_I FLOAT, C2_VMT_I FLOAT, C3_VMT_I FLOAT, C2_CVMT_I FLOAT,
+        C3_CVMT_I FLOAT
+    """,
+    "raw_ixxi": """
+        I FLOAT, IX_VT_I FLOAT, IX_VT_J FLOAT, IX_VHT_I FLOAT, IX_VHT_J FLOAT, IX_VMT_I FLOAT, IX_VMT_J FLOAT, IX_CVMT_I FLOAT,
+        IX_CVMT_J FLOAT, HHS FLOAT, EMPTOT FLOAT, FOOD FLOAT, RET FLOAT, SVC FLOAT
+    """,
+    "raw_ixworker": """
+        TAZ SMALLINT, IXWkrFraxn FLOAT, extWkrfraxn FLOAT
+    """,
 }
 
+RAW_SCHEMAS = {kind: T.StructType([T.StructField(name, {"INT": T.IntegerType(), "SMALLINT": T.ShortType(), "FLOAT": T.FloatType()}[type_name], True)
+                                   for name, type_name in (column.split() for column in columns.split(","))])
+               for kind, columns in RAW_COLUMNS.items()}
+
 # --- fixed values: file names of a run folder ----------------------------------------------------
 RAW_FILES = {
     "raw_parcel": "{year}_raw_parcel.txt", "raw_hh": "_household.tsv", "raw_person": "_person.tsv",
