@@ -97,8 +97,8 @@ def quality_rules(docs: DataFrame, reach: float = 4.0, min_words: int = 50, max_
     base = 100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")
     counts = materialize(measured(core(docs, doc_id=id_col, text=text_col, **named)).drop("text").withColumn(
         "base_failed", (F.col("n_words") < min_words) | base), "measured")
-    ratio = {"symbol_share": F.col("n_symbols") / F.col("word_chars"), "word_length": F.col("word_chars") / F.col("n_words"),
-             "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"), "repeat_share": F.col("n_repeat_words") / F.col("n_words")}
+    ratio = {"symbol_share": F.try_divide("n_symbols", "word_chars"), "word_length": F.try_divide("word_chars", "n_words"),
+             "dup_line_share": F.try_divide("n_dup_lines", "n_lines"), "repeat_share": F.try_divide("n_repeat_words", "n_words")}
     groups = [F.coalesce(F.concat(F.lit("="), F.col(n).cast("string")), F.lit("")).alias(n) for n in named]
     rows = counts.select(*groups, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                          *[x.alias(m) for m, x in ratio.items()])

@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain: linear models predict one category after another.
 
-Each model's features are hashed words and the probabilities of the categories before it. While fitting, these come from models that
+Each model's features are hashed words, their beginnings, and the probabilities of the categories before it. While fitting, these come from models that
 haven't seen the document (out of fold), so a later model learns how far an earlier one can be trusted on new documents. The models of a
 category, one for each fold and one for all rows, are fitted side by side, a task each, on a bounded number of labelled documents; scoring
 runs over all documents.
@@ -22,11 +22,14 @@ from ..session import materialize
 from .rows import core
 
 DIMENSIONS = 1 << 17
+#: Letters of a word's beginning that are a feature too: words of one stem count together.
+PREFIX = 4
 
 
 def features(text: Column, dimensions: int) -> Column:
-    """Distinct hashed words of a text in lower case, as array<int>; an empty array for null."""
+    """Distinct hashed words of a text in lower case, and their beginnings, as array<int>; an empty array for null."""
     found = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    found = F.array_distinct(F.concat(found, F.transform(found, lambda w: F.concat(F.lit("<"), F.substring(w, 1, PREFIX)))))
     return F.array_distinct(F.transform(found, lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int")))
 
 
@@ -41,11 +44,22 @@ def logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_weights(words: list[np.ndarray], before: np.ndarray, wanted: np.ndarray, dimensions: int, epochs: int = 12, rate: float = 0.3,
-                decay: float = 1e-6, batch: int = 64) -> np.ndarray:
-    """Weights of a logistic regression, fitted by AdaGrad in small batches; the same rows give the same weights."""
+def fit_weights(words: list[np.ndarray], before: np.ndarray, wanted: np.ndarray, dimensions: int, epochs: int = 10, rate: float = 0.3,
+                decay: float = 1e-4, batch: int = 64, start: float = 1e-2, smooth: float = 3.0) -> np.ndarray:
+    """Weights of a logistic regression, fitted by AdaGrad in small batches; the same rows give the same weights.
+
+    A word's feature is its log ratio of occurrence in wanted and other documents, smoothed by ``smooth`` documents, so words that mark
+    a category outweigh the many that say nothing. The ratio is folded into the weights that are returned.
+    """
     n = before.shape[1]
-    weights, seen = np.zeros(dimensions + n + 1), np.full(dimensions + n + 1, 1e-6)
+    every = np.repeat(wanted > 0.5, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    values = np.concatenate(words).astype(np.int64)
+    yes, total = np.bincount(values[every], minlength=dimensions), np.bincount(values, minlength=dimensions)
+    base = (wanted.sum() + 1) / (len(wanted) + 2)
+    scale = np.log((yes + smooth * base) / (total - yes + smooth * (1 - base))) - np.log(base / (1 - base))
+    scale = np.concatenate([scale, np.ones(n + 1)])
+    weights, seen = np.zeros(dimensions + n + 1), np.full(dimensions + n + 1, start)
+    weights[-1] = np.log(base / (1 - base))
     order = np.random.default_rng(17)
     for _ in range(epochs):
         mixed = order.permutation(len(words))
@@ -53,15 +67,18 @@ def fit_weights(words: list[np.ndarray], before: np.ndarray, wanted: np.ndarray,
             at = mixed[i:i + batch]
             rows = [words[k] for k in at]
             lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-            values, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum(lengths)])
-            error = logistic(margins(values, offsets, before[at], weights)) - wanted[at]
+            values, offsets = np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum(lengths)])
+            # only the words at hand are scaled
+            sums = np.concatenate([[0.0], np.cumsum(weights[values] * scale[values])])
+            score = sums[offsets[1:]] - sums[offsets[:-1]] + before[at] @ weights[dimensions:dimensions + n] + weights[-1]
+            error = logistic(score) - wanted[at]
             index, place = np.unique(values, return_inverse=True)
-            slope = np.bincount(place, weights=np.repeat(error, lengths), minlength=len(index))
+            slope = np.bincount(place, weights=np.repeat(error, lengths), minlength=len(index)) * scale[index]
             index = np.concatenate([index, np.arange(dimensions, dimensions + n + 1)])
             slope = np.concatenate([slope, error @ before[at], [error.sum()]]) / len(at) + decay * weights[index]
             seen[index] += slope * slope
             weights[index] -= rate * slope / np.sqrt(seen[index])
-    return weights
+    return weights * scale
 
 
 @dataclass
