@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import attach, core
+from .rows import core, likely_in
 
 CACHED_WORDS = 400_000
 SIGNATURE_COLUMNS = 2048
@@ -217,6 +217,7 @@ def shingle_sets(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: in
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"class": batch["class"], "hashes": [shingles(t, size).view(np.int64) for t in batch["text"].array]})
+    text = likely_in(text, "key", wanted)  # few texts are wanted: the others needn't be shuffled
     texts = text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["key"] == wanted["key"])).select(
         "class", F.col("text").cast("binary").alias("text"))
     return materialize(texts.dropDuplicates(["class"]).mapInPandas(sets, "class binary, hashes array<long>"), "sets")

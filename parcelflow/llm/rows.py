@@ -22,6 +22,24 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+#: Bits of the map in ``likely_in``: 1 MB.
+MAP_BITS = 1 << 23
+
+
+def likely_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose ``key``, a long hash, is in the column of the same name of ``wanted``, and few others; to be joined afterwards.
+
+    A bitmap of the wanted keys, of ``MAP_BITS`` bits whatever their number, goes to the tasks, so most other rows need no shuffle. With far
+    more keys than bits it lets all rows pass.
+    """
+    place = F.pmod(F.col(key), F.lit(MAP_BITS))
+    word, bit = F.shiftright(place, 6).cast("int"), F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, 64) AS INT))")
+    zeros = rows.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = zeros.unionByName(wanted.select(word.alias("word"), bit.alias("bit"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bitmap"))
+    return rows.where(F.get(bitmap.scalar(), word).bitwiseAND(bit) != 0)
+
+
 def attach(left: DataFrame, right: DataFrame, keys: tuple, how: str = "left") -> DataFrame:
     """Null-safe join that keeps the left side's keys once."""
     return left.join(right, same(left, right, *keys), how).select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelflow.llm import chat, decontamination, line_dedup, minhash, packing, quality, secrets, sharding, toxicity, warc
 from parcelflow.llm.queries import vocabulary
+from parcelflow.llm.rows import likely_in
 from tests.llm import plain
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, a string, h long, words int, key string, site string"
@@ -186,3 +187,12 @@ def test_signature_is_a_shifted_permutation():
     one = minhash.signature(np.asarray([5], dtype=np.uint64), 4)
     place = minhash._permute(np.asarray([5], dtype=np.uint32), 0x7FEB352D, 0x846CA68B)
     assert [minhash._permute(place + np.uint32(k), 0x85EBCA6B, 0xC2B2AE35)[0] for k in range(4)] == one.tolist() and struct.calcsize("<I") == 4
+
+
+def test_likely_in_keeps_all_wanted_rows(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("key"))
+    wanted = rows.where("id % 50 = 0").select("key")
+    kept = likely_in(rows, "key", wanted)
+    assert kept.join(wanted, "key", "left_semi").count() == 400 and kept.count() < 450
+    assert likely_in(rows, "key", wanted.where("false")).count() == 0
+    assert likely_in(rows.where("false"), "key", wanted).count() == 0
