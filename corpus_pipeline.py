@@ -12,8 +12,7 @@ from parcelflow.session import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject. Equal texts are judged alike."""
     chain = toxicity.fit_chain(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), CHAIN)
-    scored = chain.score(docs.withColumn("_row", F.struct(*docs.columns)), id_col="_row")
-    return scored.where(~F.col("rejected")).select("doc_id.*")
+    return docs.where(~chain.rejects(docs["text"]))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,17 +10,16 @@ buckets that share members still holds in several components is compared in bloc
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import core, likely_in
+from .rows import core, likely_in, map_slices, own_cache
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 SIGNATURE_COLUMNS = 2048
 
 
@@ -83,15 +82,16 @@ def signature(hashes: np.ndarray, coordinates: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
     """(doc_id, key, n_shingles, class binary, signature binary) of rows (doc_id, key, text); class is 128 bits of the shingle set."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(part: pd.DataFrame) -> pd.DataFrame:
         import xxhash
-        for batch in batches:
-            sets = [shingles(t, size) for t in batch["text"].array]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "n_shingles": [len(s) for s in sets],
-                                "class": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                                "signature": [signature(s, coordinates).tobytes() if len(s) else b"" for s in sets]})
+        own_cache("shingles", _WORDS)
+        sets = [shingles(t, size) for t in part["text"].array]
+        return pd.DataFrame({"doc_id": part["doc_id"], "key": part["key"], "n_shingles": [len(s) for s in sets],
+                             "class": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
+                             "signature": [signature(s, coordinates).tobytes() if len(s) else b"" for s in sets]})
     plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "key", F.col("text").cast("binary").alias("text"))
-    return plain.mapInPandas(run, "doc_id string, key long, n_shingles long, class binary, signature binary").withColumn(
+    arrow = pa.schema([("doc_id", pa.string()), ("key", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("signature", pa.binary())])
+    return map_slices(plain, run, "doc_id string, key long, n_shingles long, class binary, signature binary", arrow).withColumn(
         "doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
@@ -214,13 +214,14 @@ def shingle_sets(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: in
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     wanted = materialize(wanted.join(classes.select("class", "doc_id", "key"), "class"), "wanted")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"class": batch["class"], "hashes": [shingles(t, size).view(np.int64) for t in batch["text"].array]})
+    def sets(part: pd.DataFrame) -> pd.DataFrame:
+        own_cache("shingles", _WORDS)
+        return pd.DataFrame({"class": part["class"], "hashes": [shingles(t, size).view(np.int64) for t in part["text"].array]})
+    arrow = pa.schema([("class", pa.binary()), ("hashes", pa.list_(pa.int64()))])
     text = likely_in(text, "key", wanted)  # few texts are wanted: the others needn't be shuffled
     texts = text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["key"] == wanted["key"])).select(
         "class", F.col("text").cast("binary").alias("text"))
-    return materialize(texts.dropDuplicates(["class"]).mapInPandas(sets, "class binary, hashes array<long>"), "sets")
+    return materialize(map_slices(texts.dropDuplicates(["class"]), sets, "class binary, hashes array<long>", arrow), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -16,14 +16,15 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import materialize
-from .rows import core
+from .rows import core, map_slices, own_cache
 
-CACHED_WORDS = 800_000
+CACHED_WORDS = 400_000
 BLOCK_CHARACTERS = 4_000_000
 
 
@@ -114,23 +115,25 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     end = np.asarray([end_id], dtype="<u4").tobytes()
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", tokens binary" * with_tokens
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(part: pd.DataFrame) -> pd.DataFrame:
         encode = tokenizer(vocabulary)
-        for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch["doc_id"].array, encode(list(batch["text"].array)), strict=True):
-                ids += end
-                n = len(ids) // 4
-                head = n % capacity or min(n, capacity)
-                bounds = [0, *range(head, n + 1, capacity)]
-                for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                    part = ids[4 * a:4 * b]
-                    rows.append((doc_id, k, a, b - a, zlib.crc32(part), *([part] if with_tokens else [])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["tokens"] * with_tokens])
-
+        own_cache("tokens", encode.words)
+        rows = []
+        for doc_id, ids in zip(part["doc_id"].array, encode(list(part["text"].array)), strict=True):
+            ids += end
+            n = len(ids) // 4
+            head = n % capacity or min(n, capacity)
+            bounds = [0, *range(head, n + 1, capacity)]
+            for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+                piece = ids[4 * a:4 * b]
+                rows.append((doc_id, k, a, b - a, zlib.crc32(piece), *([piece] if with_tokens else [])))
+        return pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["tokens"] * with_tokens])
+
+    arrow = pa.schema([("doc_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+                       *[("tokens", pa.binary())] * with_tokens])
     # the id travels as text, so that nulls and any type survive pandas
     plain = core(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return plain.mapInPandas(cut, schema).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return map_slices(plain, cut, schema, arrow).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

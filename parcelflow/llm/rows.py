@@ -1,7 +1,10 @@
 """What the operators share: keys of rows, and columns kept out of the way of the caller's."""
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,25 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+_CACHES: dict[str, dict] = {}
+
+
+def own_cache(name: str, cache: dict) -> None:
+    """Empty what other operators remember in this Python worker, which Spark uses again for one operator after another."""
+    for other in set(_CACHES) - {name}:
+        _CACHES.pop(other).clear()
+    _CACHES[name] = cache
+
+
+def map_slices(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, arrow: pa.Schema, rows: int = 512) -> DataFrame:
+    """``fn`` over at most ``rows`` rows at a time: whole Arrow batches of texts as Python objects would take much memory."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pandas(fn(batch.slice(i, rows).to_pandas()), schema=arrow, preserve_index=False)
+    return df.mapInArrow(run, schema)
+
+
 #: Bits of the map in ``likely_in``: 1 MB.
 MAP_BITS = 1 << 23
 

@@ -8,7 +8,6 @@ runs over all documents.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .rows import core
+from .rows import core, own_cache
 
 DIMENSIONS = 1 << 17
 #: Letters of a word's beginning that are a feature too: words of one stem count together.
@@ -52,9 +51,12 @@ def fit_weights(words: list[np.ndarray], before: np.ndarray, wanted: np.ndarray,
     a category outweigh the many that say nothing. The ratio is folded into the weights that are returned.
     """
     n = before.shape[1]
-    every = np.repeat(wanted > 0.5, np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
-    values = np.concatenate(words).astype(np.int64)
-    yes, total = np.bincount(values[every], minlength=dimensions), np.bincount(values, minlength=dimensions)
+    yes, total = np.zeros(dimensions, dtype=np.int64), np.zeros(dimensions, dtype=np.int64)
+    for i in range(0, len(words), 256):
+        values = np.concatenate(words[i:i + 256])
+        marked = np.repeat(wanted[i:i + 256] > 0.5, np.fromiter(map(len, words[i:i + 256]), dtype=np.int64))
+        total += np.bincount(values, minlength=dimensions)
+        yes += np.bincount(values[marked], minlength=dimensions)
     base = (wanted.sum() + 1) / (len(wanted) + 2)
     scale = np.log((yes + smooth * base) / (total - yes + smooth * (1 - base))) - np.log(base / (1 - base))
     scale = np.concatenate([scale, np.ones(n + 1)])
@@ -89,43 +91,54 @@ class Chain:
     dimensions: int
     threshold: float
 
+    def probabilities(self, text: Column) -> Column:
+        """struct<p_<category>..> of a text; a null or empty one has no words."""
+        chain = [w if w is None else w.astype(np.float32) for w in self.weights]
+        names = [f"p_{c}" for c in self.categories]
+        return _predicted(features(text, self.dimensions), F.lit(0), [], names, lambda k, _: chain[k])
+
+    def rejects(self, text: Column) -> Column:
+        """Whether the last category's probability is at the threshold or above."""
+        return self.probabilities(text)[f"p_{self.categories[-1]}"] >= self.threshold
+
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(doc_id, text, p_<category>.., rejected), one row per row; a null or empty text is one without words.
 
         ``rejected`` is the last category's probability against the threshold. Repeated rows stay, other columns are left out.
         """
-        rows = core(docs, doc_id=id_col, text=text_col).withColumn("_words", features(F.col("text"), self.dimensions))
-        chain = [w if w is None else w.astype(np.float32) for w in self.weights]
-        scored = _scored(rows, [f"p_{c}" for c in self.categories], 0, lambda k, _: chain[k])
-        return scored.drop("_words").withColumn("rejected", F.col(f"p_{self.categories[-1]}") >= self.threshold)
-
-
-def _scored(rows: DataFrame, names: list[str], first: int, weights_of) -> DataFrame:
-    """``rows`` with the probabilities ``names[first:]``; ``weights_of(k, fold)`` has the weights of category k."""
-    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names[first:]]])
-    folded = "_fold" in rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(batch.schema.get_field_index("_words"))
-            values, offsets = words.flatten().to_numpy(), words.offsets.to_numpy()
-            offsets = offsets - offsets[0]
-            folds = batch.column(batch.schema.get_field_index("_fold")).to_numpy() if folded else np.zeros(batch.num_rows, dtype=int)
-            known = [batch.column(batch.schema.get_field_index(n)).to_numpy() for n in names[:first]]
-            for k in range(first, len(names)):
-                before = np.column_stack([*known, np.empty((batch.num_rows, 0))])
-                p = np.zeros(batch.num_rows)
-                for fold in np.unique(folds):
-                    if (w := weights_of(k, fold)) is not None:
-                        at = folds == fold
-                        p[at] = logistic(margins(values, offsets, before, w))[at]
-                known.append(p)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p) for p in known[first:]]], names=[*batch.schema.names, *names[first:]])
-    return rows.mapInArrow(run, schema)
+        rows = core(docs, doc_id=id_col, text=text_col).withColumn("_p", self.probabilities(F.col("text")))
+        return rows.select("doc_id", "text", "_p.*").withColumn("rejected", F.col(f"p_{self.categories[-1]}") >= self.threshold)
+
+
+def _predicted(words: Column, fold: Column, known: list[Column], names: list[str], weights_of, rows: int = 1024) -> Column:
+    """struct of the probabilities ``names``, one category after another; ``weights_of(k, fold)`` has the weights of the k-th of them.
+
+    ``known`` has the probabilities of the categories before. Only features go to Python, ``rows`` documents at a time.
+    """
+    def part(words: pa.ListArray, folds: np.ndarray, known: list[np.ndarray]) -> list[np.ndarray]:
+        values, offsets = words.flatten().to_numpy(), words.offsets.to_numpy()
+        offsets, found = offsets - offsets[0], []
+        for k in range(len(names)):
+            before = np.column_stack([*known, *found, np.empty((len(words), 0))])
+            p = np.zeros(len(words))
+            for fold in np.unique(folds):
+                if (w := weights_of(k, fold)) is not None:
+                    at = folds == fold
+                    p[at] = logistic(margins(values, offsets, before, w))[at]
+            found.append(p)
+        return found
+
+    @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
+    def predict(words: pa.Array, fold: pa.Array, *known: pa.Array) -> pa.Array:
+        folds, known = fold.to_numpy(zero_copy_only=False), [x.to_numpy(zero_copy_only=False) for x in known]
+        parts = [part(words.slice(i, rows), folds[i:i + rows], [x[i:i + rows] for x in known]) for i in range(0, len(words), rows)]
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(names))], names=names)
+    return predict(words, fold, *known)
 
 
 def _fitter(before: list[str], wanted: str, dimensions: int):
     def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+        own_cache("chain", {})
         rows = rows.sort_values("_order", kind="stable")
         earlier = rows[before].to_numpy(dtype=float).reshape(len(rows), len(before))
         return pd.DataFrame({"model": [key[0]], "weights": [fit_weights(list(rows["_words"]), earlier, rows[wanted].to_numpy(), dimensions)]})
@@ -155,7 +168,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_lab
             _fitter(names[:k], f"y_{name}", dimensions), "model int, weights array<double>")
         models = {r["model"]: np.asarray(r["weights"]) for r in fitted.collect()}
         chain.append(models.get(folds))
-        data = materialize(_scored(data, names[:k + 1], k, lambda _, fold, models=models: models.get(int(fold))), "labelled")
+        predicted = _predicted(F.col("_words"), F.col("_fold"), [F.col(n) for n in names[:k]], [names[k]], lambda _, fold, models=models: models.get(int(fold)))
+        data = materialize(data.withColumn(names[k], predicted[names[k]]), "labelled")
     return Chain(list(categories), chain, dimensions, _best_threshold(data, categories[-1]))
 
 
