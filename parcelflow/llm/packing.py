@@ -133,7 +133,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                        *[("tokens", pa.binary())] * with_tokens])
     # the id travels as text, so that nulls and any type survive pandas
     plain = core(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
-    return map_slices(plain, cut, schema, arrow).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
+    return map_slices(plain, cut, schema, arrow, rows=2048).withColumn("doc_id", F.col("doc_id").cast(docs.schema[id_col].dataType))
 
 
 def plan_patterns(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
