@@ -9,6 +9,7 @@ that most documents share is no hot group.
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -24,16 +25,19 @@ from pyspark.sql.window import Window
 from ..session import materialize
 from .rows import core, map_slices, own_cache
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 BLOCK_CHARACTERS = 4_000_000
+MARKS = string.punctuation
 
 
 class WordTokenizer:
     """Token ids of whole texts, as the bytes of little-endian unsigned 32-bit ids.
 
-    A byte-level BPE vocabulary never merges across a space that stands between two other characters, and the token before such a space
+    A byte-level BPE vocabulary never merges across a space or a line end that stands between two other characters, and the token before
     doesn't depend on what follows. So a text is cut there, and what lies between is encoded once and remembered. New words are encoded
     together, as one text, and told apart by their number of bytes.
+
+    A part is named by its text without the space before it; ``"\\nword"`` is one after a line end, ``" word"`` one with nothing before it.
     """
 
     def __init__(self, path: str):
@@ -43,8 +47,9 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
-        self.unusual = re.compile(r"\s ")  # then not every space is a place to cut
-        self.cut = re.compile(r"(?<=\S)(?= \S)")
+        self.other_blank = re.compile(r"[^\S \n]")
+        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.line_end = self.encode("\n").tobytes()
         self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
@@ -53,34 +58,48 @@ class WordTokenizer:
     def parts(self, text: str) -> list[str]:
         if not text:
             return []
-        if self.unusual.search(text):
-            return self.cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + part for part in rest]]
+        unusual = ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
+                   or self.other_blank.search(text))  # then not every blank is a place to cut
+        found = self.cut.split(text) if unusual else text.replace("\n", " \n").split(" ")
+        found[0] = " " + found[0]
+        return found
 
     def learn(self, parts: set[str]) -> None:
         """Remember the ids of ``parts``."""
         words = self.words
         if len(words) > CACHED_WORDS:
             words.clear()
-        marked = {}  # a letter or digit and then one mark: the mark is a token of its own
-        new = parts.difference(words)
-        for part in new:
-            if len(part) > 2 and part[-1] in ".,;:!?" and part[-2].isalnum():
-                marked[part] = (part[:-1], part[-1])
-        new = new.difference(marked).union(*marked.values()).difference(words) if marked else new
-        inner = [p for p in new if len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace()]
-        for part in new.difference(inner):
-            words[part] = self.encode(part).tobytes()
+        composed = []  # (part, what comes first, what follows)
+        single = set()
+        for part in parts.difference(words):
+            whole = part
+            if part[0] == "\n":
+                part = " " + part[1:]
+                composed.append((whole, None, part))
+                if part in words:
+                    continue
+            stem = part.rstrip(MARKS)
+            if len(stem) < len(part) and stem and stem[-1].isalnum():  # a letter or digit, and then marks: they are apart
+                marks = " " + part[len(stem):]
+                composed.append((part, stem, marks))
+                single.add(stem)
+                single.add(marks)
+            else:
+                single.add(part)
+        single = single.difference(words)
+        inner = [p for p in single if not p[-1].isspace() and not p[:2].isspace()]
+        for part in single.difference(inner):
+            words[part] = self.encode(part[1:] if part[0] == " " else " " + part).tobytes()
         if inner:
-            ids = self.encode("".join(inner))
-            ends = np.cumsum([len(p.encode()) for p in inner])
+            ids = self.encode("".join(["\n" + p[1:] if p[0] == " " else " " + p for p in inner]))
+            ends = np.cumsum([len(p.encode()) + (p[0] != " ") for p in inner])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()]
             data = ids.tobytes()
+            skipped = len(self.line_end)
             for part, a, b in zip(inner, cuts, cuts[1:]):
-                words[part] = data[a:b]
-        for part, (word, mark) in marked.items():
-            words[part] = words[word] + words[mark]
+                words[part] = data[a + skipped:b] if part[0] == " " else data[a:b]
+        for part, stem, marks in reversed(composed):
+            words[part] = (self.line_end if stem is None else words[stem]) + words[marks]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; a block of texts at a time."""
