@@ -196,3 +196,15 @@ def test_likely_in_keeps_all_wanted_rows(spark):
     assert kept.join(wanted, "key", "left_semi").count() == 400 and kept.count() < 450
     assert likely_in(rows, "key", wanted.where("false")).count() == 0
     assert likely_in(rows.where("false"), "key", wanted).count() == 0
+
+
+def test_texts_cut_at_blanks_have_the_ids_of_whole_texts():
+    """Line ends, marks behind words, blanks in a row and other blanks, in 5000 texts; the words remembered from one serve the next."""
+    words = packing.WordTokenizer(vocabulary())
+    bits = ["a", "Was", "Erin", ".", "'", "'s", "é", "²", " ", " ", " ", "\n", "\n", "\t", "\r\n", "1", "***", "<|endoftext|>", "中", "_", "’", " ", "　"]
+    drawn = random.Random(3)
+    texts = ["", None, " ", "\n", "a\nb", "a.\nb", "\na", "a\n", "a \nb", "a.' b", *["".join(drawn.choices(bits, k=drawn.randint(1, 9))) for _ in range(5000)]]
+    for text, ids in zip(texts, words(texts), strict=True):
+        assert ids == words.encode(text or "").tobytes(), repr(text)
+    for text in texts[-500:]:
+        assert next(words([text])) == words.encode(text).tobytes(), repr(text)
