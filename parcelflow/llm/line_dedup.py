@@ -2,8 +2,8 @@
 
 A HyperLogLog sketch of the sites for each line's hash, merged by the aggregation, estimates that number. Lines whose estimate is too
 close to the threshold to tell get an exact distinct count. A line on enough sites is kept once in the corpus, in the document with the
-smallest id, and removed elsewhere. A document of which it is the larger part is no page with boilerplate but a copy of another document:
-it stays whole for near-duplicate detection, which keeps one of each group.
+smallest id, and removed elsewhere. Where such lines are the larger part of a document it may be no page with boilerplate but a copy of
+another document. A join decides: what is a copy stays whole for near-duplicate detection, which keeps one of each group.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import attach, core, text_key
+from . import minhash
+from .rows import attach, core, likely_in, same, text_key
 
 #: What a line's ends may have without being another line.
 BLANK = " \t\r\x0b\x0c"
@@ -45,11 +46,37 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 10) -> DataFrame:
     return materialize(sure.unionByName(counted.where(F.col("count") >= min_sites).select("line")), "boilerplate")
 
 
+def _copies(keyed: DataFrame, by_doc: DataFrame, min_words: int, max_share: float, copy_words: int, copy_percent: int) -> DataFrame:
+    """(doc_id, key, whole) of the documents that would lose over ``max_share`` of their words and are copies of another one.
+
+    Either another document is alike in its ``copy_words``-word shingles by ``copy_percent`` or more, and keeps its lines too, or all
+    lines of the document that count stand in one and the same other document.
+    """
+    held = likely_in(keyed.withColumn("a", F.col("key.a")), "a", by_doc.select(F.col("key.a").alias("a"))).select("doc_id", "key", "text")
+    held = attach(held, by_doc.toDF(*by_doc.columns), ("doc_id", "key"), "inner")  # under new names, as the bitmap is made of it too
+    n_words = F.size(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANK + "\n")), r"[ \t\r\n\x0B\f]+"))
+    counting = F.filter(F.transform(split_lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANK))),
+                        lambda x: (x != "") & (F.size(F.split(x, r"[ \t\r\x0B\f]+")) >= min_words))
+    held = held.withColumn("most", F.col("gone_words") > n_words * F.lit(max_share)).where(F.col("most") | (F.size("gone") == 0))
+    inside = F.col("most") & F.col("low").eqNullSafe(F.col("high")) & (F.size(counting) == F.size("gone"))
+    held = materialize(held.select("doc_id", "key", "text", "most", inside.alias("inside")), "line-copies")
+
+    # only documents that lose no line, or may stay whole, can be what near-duplicate detection sees a copy of
+    alike = minhash.near_duplicates(held, size=copy_words, percent=copy_percent).where("n_shingles > 0")
+    alike = materialize(alike.select("component", "doc_id", F.col("key").alias("a")).distinct(), "line-alike")
+    several = alike.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    alike = alike.join(several, "component").select("doc_id", "a")
+    most = held.where("most").select("doc_id", "key", "inside", F.col("key.a").alias("a")).distinct()
+    near = most.join(alike, same(most, alike, "doc_id", "a"), "left_semi").select("doc_id", "key")
+    return materialize(near.unionByName(most.where("inside").select("doc_id", "key")).distinct().withColumn("whole", F.lit(True)), "line-whole")
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_share: float = 0.5, id_col: str = "doc_id", text_col: str = "text",
-                site_col: str = "source") -> DataFrame:
+                site_col: str = "source", copy_words: int = 5, copy_percent: int = 80) -> DataFrame:
     """(doc_id, key, text, n_lines, n_removed, n_left, site): every row, ``key`` the hash of its whole text, ``text`` the rest without lines that are boilerplate across sites.
 
-    ``n_left`` counts such lines that stay since they make up more than ``max_share`` of the document's words. Lines of fewer than
+    ``n_left`` counts such lines that stay since they make up more than ``max_share`` of the words of a document that is a copy of another
+    one: one alike by ``copy_percent`` of the ``copy_words``-word shingles, or one that holds all its lines. Lines of fewer than
     ``min_words`` words tell nothing and stay. A null text has no line and stays null; an empty text has one empty line, which stays;
     repeated rows, and rows of one id with equal texts, are treated alike; a null id counts as the largest; other columns are left out.
     """
@@ -60,14 +87,17 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_sha
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key.a", "key.b", "at")
     hits = materialize(lines.join(common, "line", "left_semi").select("line", "doc_id", "key", "at", "n_words").distinct(), "line-hits")
     first = materialize(hits.groupBy("line").agg(F.min(order).alias("first")), "first-lines")
-    kept = hits.select("*", order.alias("place")).join(first, "line")
-    gone = kept.where(~F.col("place").eqNullSafe(F.col("first")))
-    by_doc = materialize(gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("at")).alias("gone"), F.sum("n_words").alias("gone_words")), "line-gone")
-
+    kept = hits.select("*", order.alias("place")).join(first, "line").withColumn("goes", ~F.col("place").eqNullSafe(F.col("first")))
+    goes, origin = F.col("goes"), F.struct("first.last", "first.doc_id", "first.a", "first.b")
+    by_doc = materialize(kept.groupBy("doc_id", "key").agg(
+        F.sort_array(F.collect_set(F.when(goes, F.col("at")))).alias("gone"), F.sum(F.when(goes, F.col("n_words")).otherwise(0)).alias("gone_words"),
+        F.min(F.when(goes, origin)).alias("low"), F.max(F.when(goes, origin)).alias("high")), "line-gone")
+    copies = _copies(keyed, by_doc, min_words, max_share, copy_words, copy_percent)
+
+    by_doc = attach(by_doc.where(F.size("gone") > 0).select("doc_id", "key", "gone"), copies, ("doc_id", "key"))
     whole = attach(keyed, by_doc, ("doc_id", "key"))
-    lines_of = whole.select("doc_id", "key", "site", "text", "gone", "gone_words", split_lines(F.col("text")).alias("lines"),
-                            F.size(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANK + "\n")), r"[ \t\r\n\x0B\f]+")).alias("words"))
-    strip = F.col("gone").isNotNull() & (F.col("gone_words") <= F.col("words") * F.lit(max_share))
+    lines_of = whole.select("doc_id", "key", "site", "text", "gone", "whole", split_lines(F.col("text")).alias("lines"))
+    strip = F.col("gone").isNotNull() & F.col("whole").isNull()
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     rest = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
     count = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone"))
