@@ -28,6 +28,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _key(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _positions(n: Column) -> Column:
     """0 .. n-1, or an empty array."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -64,14 +69,14 @@ def fingerprints(df: DataFrame, keys: list[str], window: int, gram: int, shorter
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, gram: int = 5, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, items array, hits array<struct<start,end>>): the words of each document that lie in benchmark windows.
+    """(doc_id, key, n_words, n_hit, items array, hits array<struct<start,end>>): the words of each document that lie in benchmark windows.
 
     A window is ``window`` successive words of an item, compared in ASCII lower case; a shorter item is one window, one without words none.
-    Null and empty texts have no words. Repeated rows get equal results each; a null id is an id; other columns are left out; an empty
+    ``key`` is the hash of a document's text. Null and empty texts have no words. Repeated rows get equal results each; a null id is an id; other columns are left out; an empty
     table gives no rows, an empty benchmark no hits.
     """
     text = core(docs, doc_id=id_col, text=text_col)
-    keyed = text.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), words(F.col("text")).alias("words"))
+    keyed = text.select("doc_id", _key(F.col("text")).alias("key"), words(F.col("text")).alias("words"))
     items = core(benchmark, item_id=item_col, text=item_text_col)
     items = items.select("item_id", words(ascii_lower(F.col("text"))).alias("words")).where(F.size("words") > 0)
 
@@ -116,14 +121,17 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     covered = F.aggregate("hits", zero, lambda acc, h: F.struct(
         (acc["n"] + F.greatest(h["end"] - F.greatest(h["start"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], h["end"]).alias("end")))["n"]
     return attach(near.select("doc_id", "key", "n_words"), held, ("doc_id", "key")).select(
-        "doc_id", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), covered), F.lit(0).cast("long")).alias("n_hit"),
+        "doc_id", "key", "n_words", F.coalesce(F.when(F.col("hits").isNotNull(), covered), F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast(held.schema["items"].dataType)).alias("items"),
         F.coalesce("hits", F.array().cast(held.schema["hits"].dataType)).alias("hits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0, **options) -> DataFrame:
-    """The rows of ``docs`` of whose words at most ``max_share`` lie in benchmark windows; all their columns, repeated rows included."""
-    id_col = options.get("id_col", "doc_id")
+    """The rows of ``docs`` of whose words at most ``max_share`` lie in benchmark windows; all their columns, repeated rows included.
+
+    A row is known by its id and its text: one that goes takes no other text of its id, and none without an id, with it.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     marked = contaminated_words(docs, benchmark, **options)
-    bad = marked.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]), "left_anti")
+    bad = marked.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (_key(docs[text_col]) == bad["_bad_key"]), "left_anti")

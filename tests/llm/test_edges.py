@@ -79,6 +79,17 @@ def test_decontamination(spark, docs, empty, texts):
     assert decontamination.contaminated_words(docs, bench.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_knows_rows_by_id_and_text(spark):
+    rng = random.Random(6)
+    item, clean = sentence(rng, 30), [sentence(rng, 40) for _ in range(4)]
+    bad = f"{clean[0]} {item}"
+    rows = [(None, bad), (None, clean[0]), (None, clean[1]), (None, None), (1, bad), (1, clean[2]), (1, clean[2]), (1, bad), (2, clean[3]), (3, bad)]
+    df = spark.createDataFrame(rows, "name long, body string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = decontamination.decontaminate(df, bench, id_col="name", text_col="body")
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r in rows if r[1] != bad) and kept.columns == df.columns
+
+
 def test_sharding(spark, docs, empty):
     many = docs.unionByName(docs.where("doc_id = 10").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("n"))
     got = sharding.shard(many, 2000).collect()
