@@ -72,10 +72,11 @@ def ownership(findings: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-                 repository_col: str = "doc_id") -> DataFrame:
+                 repository_col: str = "doc_id", example_repositories: int = 10) -> DataFrame:
     """(doc_id, findings): array<struct<kind,start,end,verdict,n_owners,n_repositories>> by start, then kind as listed in ``KINDS``.
 
-    A value with ``example_owners`` owners or more is an ``example``, one with a single owner ``live``, else ``shared``. All matches of
+    A value with ``example_owners`` owners or more, or in ``example_repositories`` repositories or more whoever owns them, is an
+    ``example``; another one is ``live`` with a single owner and ``shared`` with more. All matches of
     the first three kinds are findings whatever the verdict; an opaque token is one only if it is live and overlaps none of them. Null and
     empty texts have no findings; repeated rows have equal ones each and count once; other columns are left out.
     """
@@ -89,7 +90,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = 3, id_col: str = "doc_id
 
     each = found.where(F.size("found") > 0).select("doc_id", "key", "owner", "repository", F.inline("found"))
     owned = materialize(ownership(each), "ownership")
-    verdict = F.when(F.col("n_owners") >= example_owners, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
+    many = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
+    verdict = F.when(many, "example").when(F.col("n_owners") == 1, "live").otherwise("shared")
     judged = each.join(owned, "value").withColumn("verdict", verdict)
     judged = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     by_row = judged.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "kind", "end", "verdict", "n_owners", "n_repositories")).alias("all"))

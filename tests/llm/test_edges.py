@@ -142,6 +142,17 @@ def test_secrets(spark, empty, texts):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_of_one_hot_owner(spark):
+    """A token in many documents of one source is an example; one in a few of them is live, one of two sources is shared."""
+    hot, few, two = "aB3dE6gH9jK2mN5pQ8sT1", "zY9xW8vU7tS6rQ5pO4nM3", "qW1eR2tY3uI4oP5aS6dF7"
+    rows = [(i, f"tok: {hot} word{i}", "s0") for i in range(300)] + [(400 + i, f"tok: {few} key {i}", "s0") for i in range(4)]
+    rows += [(500 + i, f"tok: {two}", f"s{i}") for i in range(2)] + [(600, "0123456789abcdef0", "s0")] + [(700 + i, "fedcba9876543210f", "s0") for i in range(20)]
+    found = {r.doc_id: r.findings for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not any(found[i] for i in [*range(300), 500, 501]) and len(found) == len(rows)
+    assert all([(f.kind, f.verdict, f.n_owners, f.n_repositories) for f in found[400 + i]] == [("opaque", "live", 1, 4)] for i in range(4))
+    assert [f.verdict for f in found[600]] == ["live"] and {(f.kind, f.verdict, f.n_repositories) for f in found[705]} == {("hex", "example", 20)}
+
+
 def test_quality(spark, docs, empty, texts):
     got = {r.doc_id: tuple(r)[1:7] for r in quality.quality_rules(docs).collect()}
     assert {i: got[i] for i in range(len(texts))} == {i: plain.quality(t) for i, t in enumerate(texts)}
