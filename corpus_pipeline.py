@@ -44,7 +44,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: Not for SQL: a classifier, MinHash and a tokenizer. tests/llm holds the stages against plain versions.
+#: Not for SQL: a classifier, MinHash and a tokenizer. tests/llm holds the operators and the stage line_dedup against plain versions, not the whole run.
 ORACLE_SQL = None
 
 

@@ -247,3 +247,18 @@ def test_texts_cut_at_blanks_have_the_ids_of_whole_texts():
         assert ids == words.encode(text or "").tobytes(), repr(text)
     for text in texts[-500:]:
         assert next(words([text])) == words.encode(text).tobytes(), repr(text)
+
+
+def test_pipeline_line_stage_rewrites_texts(spark):
+    """The stage against the plain version: texts, their lengths, other columns, and documents of which nothing is left."""
+    import corpus_pipeline
+    rng = random.Random(12)
+    shared = [sentence(rng, 8) for _ in range(2)]
+    rows = [(i, "\n".join([shared[0], *(sentence(rng, 9) for _ in range(5)), shared[1]]), "en", f"s{i % 5}") for i in range(12)]
+    rows += [(50, sentence(rng, 30), "de", "s1"), (51, "", "en", "s2"), (52, shared[0] + "\n" + shared[1] + "\n" + sentence(rng, 9), "en", "s3")]
+    df = spark.createDataFrame([(d, t, g, s, len(t)) for d, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.drop_lines(spark, df, None)
+    want = plain.lines([(d, t, s) for d, t, _, s in rows], max_share=1.0)
+    assert got.schema == df.schema and want[52][1] == 2
+    assert {tuple(r) for r in got.collect()} == {(d, want[d][0], g, s, len(want[d][0])) for d, _, g, s in rows}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
