@@ -28,4 +28,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives executor loss, cuts lineage."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these; nothing that is still to be computed may read it."""
+    for df in written:
+        spark, path = df.sparkSession, getattr(df, "_scratch_path", None)
+        if path:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
