@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontamination, line_dedup, minhash, packing, quality, secrets, sharding, toxicity, warc
+from . import chat, decontamination, line_dedup, minhash, negatives, packing, personal, quality, repair, secrets, sharding, toxicity, warc
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +111,55 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+#: Every anchor against every row: fast on small tables only.
+OP11_SQL = """
+WITH fine AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id,
+    positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    usable = negatives.usable(F.col("embedding"))
+    numbers = F.when(usable, negatives.quantized(F.col("embedding")))
+    return negatives.mine_hard_negatives(vectors.select("vec_id", label.alias("label"), numbers.alias("embedding")), F.col("vec_id") % 50 == 0)
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    mended = repair.repair_conversations(repair.damaged(turns))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    zero = F.lit(0).cast("long")
+    return every.join(mended, every["id"].eqNullSafe(mended["conv_id"]), "left").select(
+        F.col("id").alias("conv_id"), *[F.coalesce(c, zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+@query("op13_personal_data")
+def op13(spark, sf_dir):
+    found = personal.find_personal_data(table(spark, sf_dir, "documents"))
+    shown = F.col("findings")
+    return found.select("doc_id", *[personal.count_of(shown, k).alias(f"n_{k}") for k in personal.KINDS],
+                        F.sha2(personal.listed(personal.base_findings(shown)), 256).alias("base_sha256"), personal.listed(shown).alias("spans"),
+                        personal.count_of(shown, personal.FOUND).alias("n_context"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     import corpus_pipeline

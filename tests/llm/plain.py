@@ -158,3 +158,97 @@ def lines(docs, min_sites=3, min_words=3, max_share=0.5):
         else:
             out[d] = ("\n".join(x for i, x in enumerate(all_lines) if i not in gone), len(gone))
     return out
+
+
+def negatives(rows, positives=5, count=3, low=50, high=95):
+    """[(anchor_id, positive_id, rank, negative_id, positive_score, negative_score)] of (id, label, vector) with whole numbers, every pair scored"""
+    out = []
+    for i, label, v in rows:
+        if i is None or i % 50:
+            continue
+        scored = sorted(((-sum(map(int.__mul__, v, w)), j, k) for j, k, w in rows if (j, k, w) != (i, label, v)), key=lambda r: r[:2])
+        for s, j, _ in [r for r in scored if r[2] == label][:positives]:
+            fit = [r for r in scored if r[2] != label and low * -s <= 100 * -r[0] <= high * -s][:count]
+            out += [(i, j, n, k, -s, -t) for n, (t, k, _) in enumerate(fit, 1)]
+    return out
+
+
+def damage(rows):
+    """(conv_id, turn, role, text) rows after the damage"""
+    told = lambda x: " " if x is None else x
+    out = []
+    for c, t, role, text in rows:
+        kind, role, text = zlib.crc32(f"{told(c)}:{told(t)}".encode()) % 20, told(role), told(text)
+        if kind:
+            text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+            out += [(c, t, "user" if kind == 4 else role, text)] * (2 if kind == 3 else 1)
+    return out
+
+
+STEPS = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+THEN = {"": ("u", "user"), "s": ("u", "user"), "u": ("a", "assistant"), "a": ("u", "user")}
+
+
+def repair(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, sha) of one conversation's (turn, role, text), in order; the best of all edits"""
+    marks, seen = [], set()
+    for _, role, text in rows:
+        visible = re.findall(r"[^\x20\x09-\x0D]", text)
+        marks.append("blank" if not visible else "duplicate" if (role, text) in seen else "truncated" if visible[-1] not in ".!?" else "")
+        seen.add((role, text))
+    best = {s: (0, "", ()) if s in ("", "a") else (99, "~", ()) for s in THEN}
+
+    def inserts(best):
+        for _ in range(4):
+            for s, (to, role) in THEN.items():
+                c, audit, told = best[to]
+                best[s] = min(best[s], (c + 2, "I" + audit, (f"{role}:", *told)))
+        return best
+    best = inserts(best)
+    for (_, role, text), mark in zip(reversed(rows), reversed(marks)):
+        now = {}
+        for s, (to, name) in THEN.items():
+            ways = [(best[s][0] + 3, "D" + best[s][1], best[s][2])]
+            if mark not in ("blank", "duplicate"):
+                late = mark == "truncated"
+                ways.append((best[to][0] + 2 + late, "R" + best[to][1], (f"{name}:{text}", *best[to][2])))
+                if (s, role[:1]) in STEPS:
+                    c, audit, told = best[STEPS[s, role[:1]]]
+                    ways.append((c + late, "K" + audit, (f"{role}:{text}", *told)))
+            now[s] = min(ways)
+        best = inserts(now)
+    turns = {t for t, _, _ in rows if t is not None}
+    wrong = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    cost, audit, told = best[""]
+    return (max(turns) - min(turns) + 1 - len(turns) if turns else 0, *[marks.count(m) for m in ("blank", "duplicate", "truncated")], wrong, cost, audit, sha("\n".join(told)))
+
+
+def repairs(rows):
+    """{conv_id: repair(...)} of undamaged (conv_id, turn, role, text)"""
+    by = {c: [] for c, *_ in rows}
+    for c, t, role, text in damage(rows):
+        by[c].append((t, role, text))
+    return {c: repair(sorted(r, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))) for c, r in by.items()}
+
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (2 if i % 2 else 1)
+        total += n - 9 if n > 9 else n
+    return total % 10 == 0
+
+
+def personal(text):
+    """[(start, kind number, kind, end)]"""
+    text = text or ""
+    n_digits = lambda x: len(re.sub("[^0-9]", "", x))
+    found = [(m.start(), 0, "email", m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, "card", m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text)
+              if 14 <= n_digits(m[0]) <= 19 and luhn(re.sub("[^0-9]", "", m[0]))]
+    found += [(m.start(), 3, "phone", m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= n_digits(m[0]) <= 15]
+    return sorted(found)
