@@ -378,3 +378,84 @@ def test_lines(spark):
     m = spark.createDataFrame([("s", i, -121.0 + i / 100, 38.0) for i in range(11)], "k string, o int, lon double, lat double")
     miles = spatial.polyline_miles(m, ["k"], "o").first().length_mi
     assert abs(miles - 5.445) < 0.01
+
+
+def sheared(ring, off=0.0):
+    """A ring under a map that keeps areas times 1.06 and makes upright and level edges slanted."""
+    return [(off + x + 0.3 * y, off - 0.2 * x + y) for x, y in ring]
+
+
+def box(x0, y0, x1, y1):
+    return [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+
+
+def polygons(spark, shapes):
+    return spark.createDataFrame([(i, [[pt(*q) for q in r] for r in rr]) for i, rr in shapes.items()], "id int, rings array<array<struct<x:double,y:double>>>")
+
+
+@pytest.mark.parametrize("off", [0.0, 2_000_000.0])
+def test_overlay_holes_and_parts(spark, off):
+    """Exact areas of polygons made of boxes, all of them slanted: a hole, an island in it, a second part, holes of the zone, rings either way round."""
+    rng = random.Random(6)
+    signed = {0: [(1, (0, 0, 40, 30)), (-1, (5, 5, 25, 25)), (1, (10, 10, 20, 20)), (1, (50, 2, 58, 28))], 1: [(1, (-7, -9, 3, 4))], 2: [(1, (100, 100, 101, 101))],
+              3: [(1, (30, 10, 55, 20)), (-1, (35, 12, 36, 13))]}
+    zoned = {0: [(1, (-20, -20, 70, 60)), (-1, (2, 2, 15, 12)), (-1, (52, 5, 56, 9))], 1: [(1, (8, 8, 22, 40))], 2: [(1, (40, 0, 50, 30))], 3: [(1, (2, 2, 15, 12))]}
+
+    def shape(spec):
+        return [sheared(box(*b)[::rng.choice([1, -1])], off) + ([] if rng.random() < 0.5 else sheared(box(*b), off)[:0]) for _, b in spec]
+    p = polygons(spark, {i: shape(s) for i, s in signed.items()}).withColumnsRenamed({"id": "parcelid", "rings": "part_ring"})
+    z = polygons(spark, {i: shape(s) for i, s in zoned.items()}).withColumnsRenamed({"id": "zone_id", "rings": "zone_ring"})
+
+    def common(a, b):
+        return max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+    want = {(i, j): 1.06 * sum(s * t * common(a, b) for s, a in pp for t, b in zz) for i, pp in signed.items() for j, zz in zoned.items()}
+    want = {k: v for k, v in want.items() if v > 1e-9}
+    for cell, crowded in ((3.0, 64), (1000.0, 4), (7.0, 2)):
+        got = {(r.parcelid, r.zone_id): r for r in spatial.overlay(p, z, cell, crowded=crowded).collect()}
+        assert set(got) == set(want), cell
+        assert all(math.isclose(got[k].piece_area, v, rel_tol=1e-7) for k, v in want.items())
+        assert all(math.isclose(got[i, j].part_area, 1.06 * sum(s * common(a, a) for s, a in signed[i]), rel_tol=1e-7) for i, j in got)
+    # zones that fill the plane between them: the pieces add up to the part, and pieces of a billionth of it are there
+    fine = [sheared(box(-30, -30, 20, 70), off), sheared(box(20, -30, 20 + 1e-6, 70), off), sheared(box(20 + 1e-6, -30, 120, 70), off)]
+    z = polygons(spark, {i: [r] for i, r in enumerate(fine)}).withColumnsRenamed({"id": "zone_id", "rings": "zone_ring"})
+    parts = [r for r in spatial.overlay(p.where("parcelid < 2"), z, 9.0).collect()]
+    for i in (0, 1):
+        own = [r for r in parts if r.parcelid == i]
+        assert math.isclose(sum(r.piece_area for r in own), own[0].part_area, rel_tol=1e-8 if off else 1e-12)
+    if not off:
+        assert any(0 < r.piece_area < 1e-4 for r in parts) and len(parts) == 4
+
+
+def test_overlay_strips_grow_with_the_border(spark):
+    """A zone's cells of strips: few strips a cell, inner cells one each."""
+    from parcelflow.operators import polygons as PG
+    z = polygons(spark, {0: [sheared(box(0, 0, 1000, 1000)), sheared(box(200, 200, 300, 300))]})
+    s = PG.cell_strips(PG.signed_edges(z, ["id"], "rings"), ["id"], F.lit(10.0)).groupBy("cx", "cy").agg(F.count("*").alias("n"), F.sum("s").alias("s")).toPandas()
+    assert s.n.max() <= 6 and (s.n == 1).sum() > 0.9 * len(s)
+
+
+def test_sum_within_holes_parts_and_runs(spark):
+    rng = np.random.default_rng(3)
+    shapes = {0: [sheared(box(0, 0, 60, 50)), sheared(box(10, 10, 40, 40)), sheared(box(20, 20, 30, 30)), sheared(box(80, 0, 90, 60))], 1: [sheared(box(-50, -50, 150, 150))],
+              2: [sheared(box(300, 300, 301, 301))]}
+    pts = [(float(x), float(y), 1.0) for x, y in rng.random((800, 2)) * 140 - 20] + [(15.0, 15.0, 5.0)] * 30
+    P_ = spark.createDataFrame(pts, "x double, y double, v double")
+    Z_ = polygons(spark, shapes).withColumnsRenamed({"id": "zone_id", "rings": "ring"})
+    for cell in (1.0, 2.0, 500.0):
+        got = {r.zone_id: r.v for r in spatial.sum_within(P_, Z_, 2.0, ["v"], cell=cell).collect()}
+        for z, rr in shapes.items():
+            sides = [e for ring in rr for e in zip(ring, ring[1:] + ring[:1])]
+
+            def near(x, y):
+                odd = sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in sides) % 2
+                return odd or min(edge_d(x, y, a, b) for a, b in sides) <= 2.0
+            assert math.isclose(got[z], sum(v for x, y, v in pts if near(x, y)), abs_tol=1e-9), (cell, z)
+
+
+def test_dyadic_blocks(spark):
+    from parcelflow.operators.polygons import dyadic_blocks
+    rows = [(a, a + n) for a in (-9, -1, 0, 3, 17) for n in (0, 1, 2, 5, 30, 1000)]
+    df = spark.createDataFrame(rows, "a long, b long")
+    for r in df.withColumn("out", dyadic_blocks(F.col("a"), F.col("b"))).collect():
+        cells = sorted(c for k in r.out for c in range(k.at << k.level, (k.at + 1) << k.level))
+        assert cells == list(range(r.a, r.b + 1)) and len(r.out) <= 2 * max(1, (r.b - r.a + 1).bit_length())
