@@ -266,6 +266,37 @@ def _carry(spark, sf):
     return windows.carry_forward(e, ["user_id"], "event_id", "mark", "since", default=-1, chunk=CHUNK).select("event_id", "since")
 
 
+TIMED = """SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 3 END AS k, epoch_us(ts) AS us, concat(event_type, lpad(CAST(event_id AS VARCHAR), 9, '0')) AS name,
+   event_type, value FROM events"""
+
+
+def _timed(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", F.expr("CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 3 END").alias("k"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))").alias("us"),
+        F.concat("event_type", F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("name"), "event_type", "value")
+
+
+@query("previous_by_microsecond", f"""WITH e AS ({TIMED}) SELECT event_id, lag(event_id) OVER w AS previous, {r('lag(value) OVER w')} AS previous_value FROM e
+   WINDOW w AS (PARTITION BY k ORDER BY us, event_id)""")
+def _by_time(spark, sf):
+    e = _timed(spark, sf).withColumn("at", F.struct("us", "event_id"))
+    return windows.with_previous(e, ["k"], "at", {"previous": "event_id", "previous_value": "value"}, CHUNK).select("event_id", "previous", "previous_value")
+
+
+@query("changes_by_microsecond", f"""WITH e AS ({TIMED}) SELECT event_id, CASE WHEN coalesce(lag(event_type) OVER w, 'click') <> event_type THEN event_type END AS changed FROM e
+   WINDOW w AS (PARTITION BY k ORDER BY us, event_id)""")
+def _changes_by_time(spark, sf):
+    e = _timed(spark, sf).withColumn("at", F.struct("us", "event_id"))
+    return windows.mark_changes(e, ["k"], "at", "event_type", "changed", "click", CHUNK).select("event_id", "changed")
+
+
+@query("carry_by_text", f"""WITH e AS ({TIMED}) SELECT event_id, last_value(CASE WHEN value > 90 THEN event_id END IGNORE NULLS) OVER
+   (PARTITION BY k ORDER BY name ROWS UNBOUNDED PRECEDING) AS since FROM e""")
+def _carry_by_text(spark, sf):
+    e = _timed(spark, sf).withColumn("mark", F.when(F.col("value") > 90, F.col("event_id")))
+    return windows.carry_forward(e, ["k"], "name", "mark", "since", chunk=CHUNK).select("event_id", "since")
+
+
 @query("pair_status", with_views("""WITH p AS (SELECT o_orderkey AS k, o_orderkey % 97 AS A, o_custkey % 89 AS B FROM orders),
    l AS (SELECT l_orderkey % 97 AS A, l_suppkey % 89 AS B FROM lineitem WHERE l_quantity < 5)
    SELECT k, A, B, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.A = p.A AND l.B = p.B) THEN 'OK' WHEN EXISTS (SELECT 1 FROM l WHERE l.A = p.B AND l.B = p.A)

@@ -152,6 +152,15 @@ def _cumsd(spark, sf):
     return W.cumulative_stddev(table(spark, sf, "events"), "user_id", "value", "std_dev")
 
 
+@query("cumulative_stddev_far_from_zero", f"""WITH e AS (SELECT event_type, user_id, value + 1e9 AS v FROM events)
+   SELECT DISTINCT event_type, user_id, count(*) OVER (PARTITION BY event_type, user_id) AS cnt,
+   {r('round(stddev_samp(v - 1e9) OVER (PARTITION BY event_type ORDER BY user_id), 3)')} AS std_dev FROM e""")
+def _cumsd_far(spark, sf):
+    e = table(spark, sf, "events").select("event_type", "user_id", (F.col("value") + 1e9).alias("v"))
+    out = W.cumulative_stddev(e, "user_id", "v", "std_dev", ["event_type"], chunk=20)
+    return out.drop("avg").withColumn("std_dev", F.round("std_dev", 3))
+
+
 @query("harmonic_mean", f"SELECT event_type, {r('count(*) / sum(1.0 / nullif(value, 0))')} AS h FROM events GROUP BY 1")
 def _harm(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(A.harmonic_mean("value").alias("h"))

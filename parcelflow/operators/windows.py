@@ -1,14 +1,23 @@
-"""Order-dependent operators. Keys of the operators that cut groups into runs must not be NULL."""
+"""Order-dependent operators, for groups of any size, orders of any type and keys with NULLs.
+
+A group that one task can order is a plain window. Larger groups are dealt by sampled bounds on key and order to range partitions of about
+equal size; the window works inside a group's part of a partition, each part leaves one carry, and the carries, added up in order, are joined
+back. Keys compare as in a grouping: NULL equals NULL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators.joins import join_same
 from parcelflow.session import materialize
 
-CHUNK = 100_000
+#: Rows of a group that one task puts in order.
+CHUNK = 1_000_000
+PART = "__part"
 
 
 def rank_groups(df: DataFrame, keys: list[str], order, out: str = "rank") -> DataFrame:
@@ -44,29 +53,62 @@ def group_stats(df: DataFrame, keys: list[str], stats: dict) -> DataFrame:
     return join_same(df, materialize(df.groupBy(*keys).agg(*[e.alias(n) for n, e in stats.items()]), "group-stats"), keys)
 
 
-def with_previous(df: DataFrame, keys: list[str], order: str, cols: dict[str, str], chunk: int = CHUNK) -> DataFrame:
-    """Previous row's values along an integer order, for groups of any size.
+def in_parts(df: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None]:
+    """The rows with ``__part``, and those of them whose group has several parts, or None if there are none.
 
-    The group is cut into runs of ``chunk`` consecutive order numbers, the window works inside a run, and
-    the last row of the previous non-empty run is joined in for each run's first row.
+    Parts of a group follow one another in the given order. Groups of more than ``chunk`` rows are range partitioned; the sort needs no value
+    to be of any type or scale, and equal orders stay in one part. All others are part 0 and not moved.
     """
-    df = df.withColumn("__run", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
-    inside = Window.partitionBy(*keys, "__run").orderBy(order)
-    out = df.withColumns({n: F.lag(c).over(inside) for n, c in cols.items()})
-    out = out.withColumn("__first", F.row_number().over(inside) == 1)
-    tails = df.groupBy(*keys, "__run").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in cols.items()]), order).alias("__tail"))
-    runs = Window.partitionBy(*keys).orderBy("__run")
-    heads = tails.withColumn("__prev", F.lag("__tail").over(runs)).select(*keys, "__run", "__prev")
-    out = out.join(heads, [*keys, "__run"], "left")
-    return out.withColumns({n: F.when(F.col("__first"), F.col(f"__prev.{n}")).otherwise(F.col(n)) for n in cols}
-                           ).drop("__run", "__first", "__prev")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk)
+    sizes = materialize(sizes, "large-groups")
+    n = sizes.agg(F.sum("__n")).first()[0]  # one number
+    if n is None:
+        return df.withColumn(PART, F.lit(0)), None
+    if keys:
+        large, rest = join_same(df, sizes.select(*keys), keys, "left_semi"), join_same(df, sizes.select(*keys), keys, "left_anti")
+    else:
+        large, rest = df, None
+    ranged = large.repartitionByRange(-(-int(n) // chunk), *keys, order)
+    large = materialize(ranged.withColumn(PART, F.spark_partition_id()), "ranges")
+    return (large if rest is None else large.unionByName(rest.withColumn(PART, F.lit(0)))), large
+
+
+def part_window(keys: list[str], order: str):
+    return Window.partitionBy(*keys, PART).orderBy(order)
+
+
+def carry(large: DataFrame, keys: list[str], tails: dict[str, Column], heads: Callable) -> DataFrame:
+    """(keys, part, what the earlier parts leave), small: one row per part of a large group. ``heads`` maps a window over the parts to columns."""
+    left = large.groupBy(*keys, PART).agg(*[c.alias(n) for n, c in tails.items()])
+    return materialize(left.select(*keys, PART, *[c.alias(n) for n, c in heads(Window.partitionBy(*keys).orderBy(PART)).items()]), "carries")
+
+
+def _upto(w):
+    return w.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _before(w):
+    return w.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_previous(df: DataFrame, keys: list[str], order: str, cols: dict[str, str], chunk: int = CHUNK) -> DataFrame:
+    """Previous row's values along an order."""
+    rows, large = in_parts(df, keys, order, chunk)
+    inside = part_window(keys, order)
+    out = rows.withColumns({n: F.lag(c).over(inside) for n, c in cols.items()})
+    if large is None:
+        return out.drop(PART)
+    last = F.max_by(F.struct(*[F.col(c).alias(n) for n, c in cols.items()]), F.struct(order))
+    heads = carry(large, keys, {"__tail": last}, lambda parts: {"__prev": F.lag("__tail").over(parts)})
+    out = join_same(out.withColumn("__first", F.row_number().over(inside) == 1), heads, [*keys, PART], "left")
+    return out.withColumns({n: F.when(F.col("__first"), F.col(f"__prev.{n}")).otherwise(F.col(n)) for n in cols}).drop(PART, "__first", "__prev")
 
 
 def consecutive_pairs(df: DataFrame, keys: list[str], order: str, node: str, a: str = "A", b: str = "B",
                       chunk: int = CHUNK) -> DataFrame:
     """(previous node, node) along each group."""
-    out = with_previous(df, keys, order, {"__prev_node": node, "__prev_seq": order}, chunk)
-    return out.where(F.col("__prev_seq").isNotNull()).select(
+    out = with_previous(df.withColumn("__row", F.lit(True)), keys, order, {"__prev_node": node, "__prev_row": "__row"}, chunk)
+    return out.where(F.col("__prev_row").isNotNull()).select(
         *keys, order, F.col("__prev_node").alias(a), F.col(node).alias(b))
 
 
@@ -78,42 +120,62 @@ def mark_changes(df: DataFrame, keys: list[str], order: str, value: str, out: st
 
 
 def carry_forward(df: DataFrame, keys: list[str], order: str, value: str, out: str, default=None, chunk: int = CHUNK) -> DataFrame:
-    """Last non-NULL value up to and including the row, for groups of any size."""
-    df = df.withColumn("__run", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
-    inside = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = df.withColumn(out, F.last(value, ignorenulls=True).over(inside))
-    last = df.groupBy(*keys, "__run").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("__last"))
-    earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = last.withColumn("__seed", F.last("__last", ignorenulls=True).over(earlier)).select(*keys, "__run", "__seed")
-    filled = filled.join(seeds, [*keys, "__run"], "left")
-    value_out = F.coalesce(F.col(out), F.col("__seed"), *([F.lit(default)] if default is not None else []))
-    return filled.withColumn(out, value_out).drop("__run", "__seed")
+    """Last non-NULL value up to and including the row."""
+    rows, large = in_parts(df, keys, order, chunk)
+    filled = rows.withColumn(out, F.last(value, ignorenulls=True).over(_upto(part_window(keys, order))))
+    found = [F.col(out)]
+    if large is not None:
+        last = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order)))
+        seeds = carry(large, keys, {"__last": last}, lambda parts: {"__seed": F.last("__last", ignorenulls=True).over(_before(parts))})
+        filled = join_same(filled, seeds, [*keys, PART], "left")
+        found.append(F.col("__seed"))
+    return filled.withColumn(out, F.coalesce(*found, *([F.lit(default)] if default is not None else []))).drop(PART, "__seed")
+
+
+def _totals(rows: DataFrame, large: DataFrame | None, keys: list[str], order: str, totals: dict[str, str]) -> DataFrame:
+    """Running sums over rows that have their part."""
+    out = rows.withColumns({n: F.sum(c).over(_upto(part_window(keys, order))) for n, c in totals.items()})
+    if large is None:
+        return out
+    seeds = carry(large, keys, {f"__s_{n}": F.sum(c) for n, c in totals.items()},
+                  lambda parts: {f"__b_{n}": F.sum(f"__s_{n}").over(_before(parts)) for n in totals})
+    out = join_same(out, seeds, [*keys, PART], "left")
+    both = {n: F.when(F.col(n).isNull(), F.col(f"__b_{n}")).otherwise(F.col(n) + F.coalesce(F.col(f"__b_{n}"), F.lit(0))) for n in totals}
+    return out.withColumns(both).drop(*[f"__b_{n}" for n in totals])
 
 
 def running_total(df: DataFrame, keys: list[str], order: str, totals: dict[str, str], chunk: int = CHUNK) -> DataFrame:
-    """Sums up to and including the row along a numeric order, for groups of any size.
-
-    Inside a run of ``chunk`` order numbers a window adds up; the totals of earlier runs are joined in.
-    """
-    df = df.withColumn("__run", F.floor(F.col(order) / F.lit(chunk)).cast("bigint"))
-    inside = Window.partitionBy(*keys, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
-    runs = df.groupBy(*keys, "__run").agg(*[F.sum(c).alias(f"__s_{n}") for n, c in totals.items()])
-    earlier = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    seeds = runs.select(*keys, "__run", *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in totals])
-    out = out.join(seeds, [*keys, "__run"], "left")
-    return out.withColumns({n: F.col(n) + F.coalesce(F.col(f"__b_{n}"), F.lit(0)) for n in totals}).drop("__run", *[f"__b_{n}" for n in totals])
+    """Sums up to and including the row along an order; NULL until the first value."""
+    rows, large = in_parts(df, keys, order, chunk)
+    return _totals(rows, large, keys, order, totals).drop(PART)
 
 
 def cumulative_stddev(df: DataFrame, order: str, value: str, out: str, partition_by: list[str] = (), chunk: int = CHUNK) -> DataFrame:
     """Sample standard deviation of all values up to and including each order value (peers together).
 
-    The values are reduced to their moments per order value, and only those are added up in order.
+    The values are reduced to mergeable moments per order value: count, mean and sum of squared distances from the mean. Merged in order, a
+    moment adds its own squares and ``d * d * n1 * n2 / (n1 + n2)``, where ``d`` is the distance of its mean from the mean of all before it.
+    Both are never negative, so nothing cancels, however far the values lie from zero. Means are added up relative to a group's least value.
     """
     keys, v = list(partition_by), F.col(value).cast("double")
-    m = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("cnt"), F.avg(v).alias("avg"), F.count(v).alias("__n"),
-                                     F.sum(v).alias("__s"), F.sum(v * v).alias("__q"))
-    m = running_total(m, keys, order, {"__cn": "__n", "__cs": "__s", "__cq": "__q"}, chunk)
-    n, s, q = F.col("__cn"), F.col("__cs"), F.col("__cq")
-    var = F.try_divide(q - F.try_divide(s * s, n), n - 1)
-    return m.select(*keys, order, "cnt", "avg", F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias(out))
+    m = df.groupBy(*keys, order).agg(F.count(F.lit(1)).alias("cnt"), F.avg(v).alias("avg"), F.count(v).cast("double").alias("__n"),
+                                     (F.var_pop(v) * F.count(v)).alias("__q"), F.min(v).alias("__low"))
+    m = materialize(m, "moments")
+    least = m.groupBy(*keys).agg(F.min("__low").alias("__base"))
+    if keys:
+        m = join_same(m, materialize(least, "bases"), keys)
+    else:
+        m = m.withColumn("__base", F.lit(least.first()[0]).cast("double"))  # one number
+    m = m.withColumn("__s", F.col("__n") * (F.col("avg") - F.col("__base")))
+    rows, large = in_parts(m, keys, order, chunk)
+    sums = _totals(rows, large, keys, order, {"__cn": "__n", "__cs": "__s"})
+    n, before = F.col("__n"), F.col("__cn") - F.col("__n")
+    d = F.col("avg") - F.col("__base") - F.try_divide(F.col("__cs") - F.col("__s"), before)
+    added = F.coalesce(F.col("__q"), F.lit(0.0)) + F.when((before > 0) & (n > 0), d * d * F.try_divide(before * n, F.col("__cn"))).otherwise(F.lit(0.0))
+    terms = sums.withColumn("__term", added)
+    if large is not None:
+        terms = materialize(terms, "moment-terms")
+        large = join_same(terms, large.select(*keys, PART).distinct(), [*keys, PART], "left_semi")
+    done = _totals(terms, large, keys, order, {"__cq": "__term"})
+    sd = F.when(F.col("__cn") > 1, F.sqrt(F.try_divide(F.col("__cq"), F.col("__cn") - 1)))
+    return done.select(*keys, order, "cnt", "avg", sd.alias(out))

@@ -204,6 +204,55 @@ def test_chunked_operators_equal_plain_windows(spark):
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def test_ordered_operators_of_any_key_and_order(spark):
+    """NULL keys, orders by microseconds and by text, a NULL order, keys of two columns, no key at all."""
+    from pyspark.sql import Window
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), i % 2 if i % 7 else None, 1_700_000_000_000_000 + i * 7 if i else None, f"{rng.random():.9f}", rng.choice([None, "x", "y"]), i % 5)
+            for i in rng.sample(range(0, 5000), 700)]
+    df = spark.createDataFrame(rows, "k string, j int, o long, t string, v string, n int")
+    for keys, order, chunk in ((["k"], "o", 40), (["k", "j"], "t", 25), ([], "o", 100), (["k"], "t", 10_000)):
+        w = Window.partitionBy(*keys).orderBy(order)
+        want = df.select("o", "t", F.lag("n").over(w).alias("p"), F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("c"),
+                         F.sum("n").over(w).alias("s"), F.when(F.coalesce(F.lag("n").over(w), F.lit(9)) != F.col("n"), F.col("n")).alias("m"))
+        got = W.with_previous(df, keys, order, {"p": "n"}, chunk)
+        got = W.carry_forward(got, keys, order, "v", "c", chunk=chunk)
+        got = W.running_total(got, keys, order, {"s": "n"}, chunk)
+        got = W.mark_changes(got, keys, order, "n", "m", 9, chunk).select("o", "t", "p", "c", "s", "m")
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty(), (keys, order)
+        pairs = W.consecutive_pairs(df, keys, order, "n", chunk=chunk)
+        assert pairs.count() == len(rows) - max(1, df.select(*keys, F.lit(1)).distinct().count())
+
+
+def test_no_task_orders_a_whole_large_group(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE NULL END AS k", "CAST(1e15 AS BIGINT) + id * id AS o")  # two thirds under a NULL key
+    rows, large = W.in_parts(df, ["k"], "o", 1000)
+    sizes = [r["count"] for r in large.groupBy("k", W.PART).count().collect()]
+    assert len(sizes) >= 13 and max(sizes) <= 2000 and sum(sizes) == 13_333
+    assert rows.count() == 20_000 and rows.where(f"k IS NOT NULL AND {W.PART} <> 0").isEmpty()
+    ends = large.groupBy(W.PART).agg(F.min("o").alias("a"), F.max("o").alias("b")).orderBy(W.PART).collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+    assert W.in_parts(df.where("k IS NOT NULL"), ["k"], "o", 1000)[1] is None
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 10_000])
+def test_moments_do_not_cancel(spark, chunk):
+    rng = np.random.default_rng(9)
+    values = [1e9, 1e9 + 1, 1e9 + 2] + rng.uniform(-1, 1, 30).tolist() + [1e12, 1e12 + 1] + [-1e9 + x for x in range(5)]
+    df = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate(values)] + [("a", 1, None), ("c", 1, None), ("c", 2, 5.0)], "k string, o int, v double")
+    got = {(r.k, r.o): r for r in W.cumulative_stddev(df, "o", "v", "sd", ["k"], chunk).collect()}
+    for k in ("a", None):
+        assert got[k, 0].sd is None and math.isclose(got[k, 1].sd, math.sqrt(0.5), rel_tol=1e-12) and math.isclose(got[k, 2].sd, 1.0, rel_tol=1e-12)
+        from decimal import Decimal
+        for i in range(1, len(values)):
+            d = [Decimal(v) for v in values[:i + 1]]
+            mean = sum(d) / len(d)
+            assert math.isclose(got[k, i].sd, float((sum((x - mean) ** 2 for x in d) / (len(d) - 1)).sqrt()), rel_tol=1e-7)
+    assert got["a", 1].cnt == 2 and got["c", 1].sd is None and got["c", 2].sd is None
+    whole = {r.o: r.sd for r in W.cumulative_stddev(df.where("k = 'a'"), "o", "v", "sd", (), chunk).collect()}
+    assert math.isclose(whole[2], 1.0, rel_tol=1e-12)
+
+
 def test_cumulative_stddev_literals(spark):
     rng = np.random.default_rng(5)
     vals = {k: rng.uniform(0, 50, n).tolist() for k, n in (("a", 4), ("b", 1), ("c", 9))}
