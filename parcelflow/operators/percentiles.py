@@ -1,10 +1,9 @@
 """Exact grouped percentiles that never gather a group in one task.
 
-Pass 1 counts rows per group and value bucket (a monotone, roughly relative-width bucket), which combines
-on the map side. The bucket counts tell which buckets hold the wanted ranks. Pass 2 keeps the rows of those
-buckets only and counts equal values. Between the least and the greatest value that a bucket really holds these are
-counted by even steps, and only the steps with a wanted rank are put in order: values that share a bucket, such as
-times of one day or small fractions, are no large group either.
+Numbers are put in order as 64-bit integers, a double's sign, exponent and fraction. The first scan counts rows per group and leading bits,
+which combines on the map side; the counts tell which leading bits hold the wanted ranks. The second scan keeps the rows with those bits only
+and counts equal values. Where more than ``COUNTERS`` different values are left under the same bits, they are counted by the next twelve bits, and so on: radix
+selection, with a fixed number of steps whatever the values, and never more than ``COUNTERS`` rows in a window.
 """
 
 from __future__ import annotations
@@ -15,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators.joins import join_same
-from parcelflow.session import materialize
+from parcelflow.session import materialize, release
 
 BUCKETS_PER_DOUBLING = 512
-STEPS = 4096
 INFINITE, NAN = 1 << 40, 1 << 41
+#: Fixed values of the format: bits of a double's fraction, offset of its exponent, the exponent of infinity.
+FRACTION, OFFSET, TOP = 52, 1023, 2047
+DIGIT = 12
+COUNTERS = 1 << DIGIT
 
 
 def value_bucket(v: Column, per_doubling: int = BUCKETS_PER_DOUBLING) -> Column:
@@ -28,6 +30,19 @@ def value_bucket(v: Column, per_doubling: int = BUCKETS_PER_DOUBLING) -> Column:
     return F.when(F.isnan(v), F.lit(NAN)).when(v < 0, -mag).otherwise(mag).cast("bigint")
 
 
+def ordered_bits(v: Column) -> Column:
+    """A double as a 64-bit integer of the same order: the bits of its size, negative for negative numbers; NaN comes last."""
+    two = F.lit(2.0)
+    size = F.abs(v)
+    guess = F.floor(F.log2(size))
+    exponent = guess - F.when(F.pow(two, guess) > size, 1).otherwise(0) + F.when(F.pow(two, guess + 1) <= size, 1).otherwise(0)
+    fraction = ((size / F.pow(two, exponent) - 1) * float(1 << FRACTION)).cast("bigint")
+    normal = F.shiftleft((exponent + OFFSET).cast("bigint"), FRACTION) + fraction
+    tiny = (size * F.lit(2.0 ** 537) * F.lit(2.0 ** 537)).cast("bigint")  # below the least normal number the bits are a multiple of the least one
+    bits = F.when(size == float("inf"), F.lit(TOP << FRACTION)).when(size < F.lit(2.0 ** (1 - OFFSET)), tiny).otherwise(normal)
+    return F.when(F.isnan(v), F.lit((TOP << FRACTION) + (1 << (FRACTION - 1)))).when(v < 0, -bits).otherwise(bits)
+
+
 def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
     """0-based lower rank, upper rank and interpolation weight."""
     if method == "disc":
@@ -38,38 +53,56 @@ def _ranks(n: Column, p: float, method: str) -> tuple[Column, Column, Column]:
     return lo.cast("bigint"), F.ceil(pos).cast("bigint"), pos - lo
 
 
+def _holding(counts: DataFrame, within: list[str], holds: Column) -> DataFrame:
+    """The rows of (within, __prefix, __n, __before, __total) that hold a wanted rank, ``__before`` moved to what precedes each of them."""
+    before = F.sum("__n").over(Window.partitionBy(*within).orderBy("__prefix").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("__before", F.col("__before") + F.coalesce(before, F.lit(0))).where(holds)
+
+
+def _under(rows: DataFrame, chosen: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """The rows whose leading bits are chosen, with what ``chosen`` knows."""
+    c = chosen.select(*keys, "__prefix", "__before", "__total")
+    return join_same(rows.withColumn("__prefix", F.shiftright("__u", shift)), c, [*keys, "__prefix"])
+
+
 def grouped_percentiles(df: DataFrame, keys: list[str], value: str, targets: dict[str, tuple[float, str]],
                         per_doubling: int = BUCKETS_PER_DOUBLING) -> DataFrame:
     """One row per group; ``targets`` maps an output to (fraction, 'cont' or 'disc'). NULL values are ignored."""
-    rows = df.select(*keys, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
-    rows = rows.withColumn("__b", value_bucket(F.col("__v"), per_doubling))
-    hist = rows.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    # a group has as many rows here as it has buckets, whatever its size
-    group = Window.partitionBy(*keys)
-    before = F.sum("__n").over(group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
-    hist = hist.select(*keys, "__b", "__n", "__low", "__high", F.coalesce(before, F.lit(0)).alias("__before"),
-                       F.sum("__n").over(group).alias("__total"))
+    shift = FRACTION - (per_doubling.bit_length() - 1)
+    rows = df.select(*keys, (F.col(value).cast("double") + F.lit(0.0)).alias("__v")).where(F.col("__v").isNotNull())  # no negative zero
+    rows = rows.withColumn("__u", ordered_bits(F.col("__v")))
     wanted = []
     for p, method in targets.values():
         lo, hi, _ = _ranks(F.col("__total"), p, method)
         wanted += [lo, hi]
     holds = reduce(lambda a, b: a | b, [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__n")) for r in wanted])
-    # written, so that its true size is known: when it is small the second pass filters rows without a shuffle
-    chosen = materialize(hist.where(holds).drop("__n"), "percentile-buckets")
-    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
-    near = rows.alias("r").join(chosen.alias("c"), reduce(lambda a, b: a & b, on + [F.col("r.__b") == F.col("c.__b")]))
-    step = F.when(F.col("c.__high") > F.col("c.__low"), F.floor((F.col("r.__v") - F.col("c.__low")) / (F.col("c.__high") - F.col("c.__low")) * STEPS))
-    near = near.groupBy(*[F.col(f"r.{k}").alias(k) for k in keys], F.col("r.__b").alias("__b"), F.coalesce(step, F.lit(0)).alias("__step"),
-                        "__v", "__before", "__total").agg(F.count(F.lit(1)).alias("__n"))
+
+    # first by sign and exponent, then by the leading bits of the fraction, from one scan
+    hist = materialize(rows.groupBy(*keys, F.shiftright("__u", shift).alias("__prefix")).agg(F.count(F.lit(1)).alias("__n")), "percentile-counts")
+    totals = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    broad = hist.groupBy(*keys, F.shiftright("__prefix", FRACTION - shift).alias("__prefix")).agg(F.sum("__n").alias("__n"))
+    broad = _holding(join_same(broad, totals, keys).withColumn("__before", F.lit(0).cast("bigint")) if keys else
+                     broad.withColumns({"__total": F.lit(totals.first()[0]), "__before": F.lit(0).cast("bigint")}), keys, holds)
+    broad = broad.select(*keys, F.col("__prefix").alias("__broad"), "__before", "__total")
+    fine = join_same(hist.withColumn("__broad", F.shiftright("__prefix", FRACTION - shift)), broad, [*keys, "__broad"])
+    # written, so that its true size is known: when it is small the second scan filters rows without a shuffle
+    chosen = materialize(_holding(fine, [*keys, "__broad"], holds).select(*keys, "__prefix", "__before", "__total"), "percentile-bits")
+
+    near = _under(rows, chosen, keys, shift).groupBy(*keys, "__u", "__v").agg(F.count(F.lit(1)).alias("__n"))
     near = materialize(near, "percentile-values")
-    steps = near.groupBy(*keys, "__b", "__step", "__before", "__total").agg(F.sum("__n").alias("__n"))
-    in_bucket = Window.partitionBy(*keys, "__b").orderBy("__step").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(in_bucket), F.lit(0)))
-    steps = steps.where(holds).select(*keys, "__b", "__step", F.col("__before").alias("__start"))
-    same = [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "__b", "__step"]]
-    near = near.alias("v").join(steps.alias("s"), reduce(lambda a, b: a & b, same)).select("v.*", "s.__start")
-    in_step = Window.partitionBy(*keys, "__b", "__step").orderBy("__v")
-    upto = F.col("__start") + F.sum("__n").over(in_step.rowsBetween(Window.unboundedPreceding, 0))
+    release(hist)
+
+    def most() -> int:
+        left = _under(near, chosen, keys, shift).groupBy(*keys, "__prefix").agg(F.count(F.lit(1)).alias("n"))
+        return left.agg(F.max("n")).first()[0] or 0  # one number
+    while shift > 0 and most() > COUNTERS:
+        lower = max(0, shift - DIGIT)
+        counts = _under(near, chosen, keys, shift).groupBy(*keys, F.col("__prefix").alias("__broad"), F.shiftright("__u", lower).alias("__prefix"), "__before", "__total").agg(
+            F.sum("__n").alias("__n"))
+        chosen, shift = materialize(_holding(counts, [*keys, "__broad"], holds).select(*keys, "__prefix", "__before", "__total"), "percentile-bits"), lower
+
+    near = _under(near, chosen, keys, shift)
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(*keys, "__prefix").orderBy("__u").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("__to", upto).withColumn("__from", F.col("__to") - F.col("__n"))
     aggs, finals = [], []
     for out, (p, method) in targets.items():

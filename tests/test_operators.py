@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -181,6 +182,38 @@ def test_percentiles_of_values_that_share_a_bucket(spark):
         assert math.isclose(got.x, want.x, rel_tol=1e-12) and got.y == want.y
 
 
+def test_ordered_bits(spark):
+    rng = random.Random(4)
+    values = [0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.0 - 2 ** -53, 2.0, 1.7976931348623157e308, float("inf"), float("-inf"), 0.1, 2 ** 52 + 1.0]
+    values += [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    values += [2.0 ** rng.randint(-1070, 1020) * (1 + rng.choice([0, 1, -1]) * 2 ** -52) for _ in range(500)]
+    values = [v for v in values if not math.isnan(v)]
+    df = spark.createDataFrame([(v,) for v in values] + [(float("nan"),)], "v double").select("v", P.ordered_bits(F.col("v")).alias("u")).collect()
+    for r in df:
+        if not math.isnan(r.v):
+            bits = struct.unpack("<q", struct.pack("<d", abs(r.v)))[0]
+            assert r.u == (-bits if r.v < 0 else bits), r.v
+    assert max(df, key=lambda r: r.u).v != max(df, key=lambda r: r.u).v  # NaN
+
+
+def test_percentiles_of_many_values_under_the_same_bits(spark):
+    """Log-spread fractions, neighbours of one number, one hot value: no window over more than 4096 rows, by the event counts of each step."""
+    df = spark.range(30_000).selectExpr("id % 2 AS k", "CASE WHEN id % 2 = 0 THEN 1 + id * pow(2D, -52) WHEN id % 3 = 0 THEN pow(10D, -(id % 997)) ELSE 7.5 END AS v")
+    seen, plain = [], P._holding
+    try:
+        P._holding = lambda counts, within, holds: seen.append(counts.groupBy(*within).count().agg(F.max("count")).first()[0]) or plain(counts, within, holds)
+        got = {r.k: r for r in P.grouped_percentiles(df, ["k"], "v", {"a": (0.31, "cont"), "b": (0.9, "disc"), "c": (0.0, "cont")}).collect()}
+    finally:
+        P._holding = plain
+    want = {r.k: r for r in df.groupBy("k").agg(F.expr("percentile(v, 0.31)").alias("a"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)").alias("b"),
+                                                F.min("v").alias("c")).collect()}
+    for k in (0, 1):
+        assert math.isclose(got[k].a, want[k].a, rel_tol=1e-15) and got[k].b == want[k].b and got[k].c == want[k].c
+    assert max(seen) <= P.COUNTERS and len(seen) >= 3
+    whole = P.grouped_percentiles(df, [], "v", {"a": (0.5, "cont")}).first().a
+    assert math.isclose(whole, df.selectExpr("percentile(v, 0.5) AS a").first().a, rel_tol=1e-15)
+
+
 def test_percentiles_null_key_and_coarse_buckets(spark):
     df = spark.createDataFrame([(None, float(i)) for i in range(101)] + [("a", 1.0)], "k string, v double")
     got = {r.k: r.m for r in P.grouped_percentiles(df, ["k"], "v", {"m": (0.5, "cont")}, per_doubling=1).collect()}
