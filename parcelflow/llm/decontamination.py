@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .rows import attach, core
+from .rows import attach, core, free_name, split_likely
 
 #: Characters between words: ASCII other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -133,5 +133,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.0,
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     marked = contaminated_words(docs, benchmark, **options)
-    bad = marked.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("doc_id").alias("_bad_id"), F.col("key").alias("_bad_key")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad_id"]) & (_key(docs[text_col]) == bad["_bad_key"]), "left_anti")
+    name = free_name(docs, "key")
+    bad = marked.where(F.col("n_hit") > F.col("n_words") * F.lit(max_share)).select(F.col("doc_id").alias("bad_id"), F.col("key").alias(name)).distinct()
+    bad = materialize(bad, "contaminated")
+    maybe, clean = split_likely(docs.withColumn(name, _key(docs[text_col])), name, bad)  # only rows that may go are joined
+    bad = bad.toDF("bad_id", name)  # under new names, as the bitmap is made of it too
+    kept = maybe.join(bad, maybe[id_col].eqNullSafe(bad["bad_id"]) & (maybe[name] == bad[name]), "left_anti")
+    return clean.unionByName(kept).drop(name)

@@ -13,9 +13,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from . import minhash
-from .rows import attach, core, likely_in, same, text_key
+from .rows import attach, core, likely_in, same, split_likely, text_key
 
 #: What a line's ends may have without being another line.
 BLANK = " \t\r\x0b\x0c"
@@ -94,8 +94,12 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_sha
         F.min(F.when(goes, origin)).alias("low"), F.max(F.when(goes, origin)).alias("high")), "line-gone")
     copies = _copies(keyed, by_doc, min_words, max_share, copy_words, copy_percent)
 
-    by_doc = attach(by_doc.where(F.size("gone") > 0).select("doc_id", "key", "gone"), copies, ("doc_id", "key"))
-    whole = attach(keyed, by_doc, ("doc_id", "key"))
+    by_doc = materialize(attach(by_doc.where(F.size("gone") > 0).select("doc_id", "key", "gone"), copies, ("doc_id", "key")).withColumn("a", F.col("key.a")), "line-texts")
+    release(hits, first, copies)
+    maybe, others = split_likely(keyed.withColumn("a", F.col("key.a")), "a", by_doc)  # only texts that may change are joined
+    none = by_doc.schema
+    whole = attach(maybe.drop("a"), by_doc.drop("a").toDF(*by_doc.columns[:-1]), ("doc_id", "key")).unionByName(others.drop("a").withColumns(
+        {c: F.lit(None).cast(none[c].dataType) for c in ("gone", "whole")}))
     lines_of = whole.select("doc_id", "key", "site", "text", "gone", "whole", split_lines(F.col("text")).alias("lines"))
     strip = F.col("gone").isNotNull() & F.col("whole").isNull()
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))

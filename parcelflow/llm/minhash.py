@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .rows import core, likely_in, map_slices, own_cache
+from ..session import materialize, release
+from .rows import core, free_name, likely_in, map_slices, own_cache, split_likely
 
 CACHED_WORDS = 200_000
 SIGNATURE_COLUMNS = 2048
@@ -106,25 +106,37 @@ def band_keys(signatures: Column, rows: int) -> Column:
     return F.pandas_udf(run, "array<long>")(signatures)
 
 
+#: Edges that one task takes in a round of ``components``.
+EDGES_A_TASK = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of undirected edges (a, b): the smallest node that can be reached.
+    """(node, root) of undirected edges (a, b): the smallest node that can be reached; a written table.
 
-    Alternating large-star and small-star steps, each written to the shared folder, until nothing changes.
+    Alternating large-star and small-star steps, each written to the shared folder, until nothing changes. A round's edges go when the next
+    ones are written, and few edges are handled by few tasks.
     """
+    def sized(df: DataFrame, n: int) -> DataFrame:
+        return df.coalesce(max(1, math.ceil(n / EDGES_A_TASK)))
+
+    def known(df: DataFrame):
+        return df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
     edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    state, now = None, known(edges)
+    while now != state:
+        n = 2 * now[0]
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = sized(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), n).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = now
+        fresh = materialize(sized(sized(small.unionByName(low.select("a", F.col("m").alias("b"))), n).distinct(), n), "edges")
+        release(edges)
+        edges, state, now = fresh, now, known(fresh)
+    out = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        sized(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct(), now[0])), "components")
+    release(edges)
+    return out
 
 
 def _across(coordinates: int, percent: int):
@@ -177,17 +189,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     in_band = materialize(in_band, "bands")
     crowded = in_band.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = materialize(in_band.join(crowded, "bucket"), "members")
+    release(in_band)
     shared = members.groupBy("class").agg(F.sum("members").alias("shared"))
     hubs = members.join(shared, "class").groupBy("bucket").agg(F.max(F.struct("shared", "class")).alias("hub")).select("bucket", F.col("hub.class").alias("hub"))
     stars = members.join(hubs, "bucket").where("class <> hub").select(F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")).distinct()
     stars = materialize(stars, "stars")
+    release(members)
     sets = shingle_sets(stars, classes, text, size)
     links = verified(stars, sets, percent)
-    found = materialize(components(links), "components")
+    found = components(links)
 
     # groups that hold several components: blocks against blocks
-    groups = materialize(components(stars), "groups").withColumnRenamed("root", "group")
-    rooted = groups.join(found, "node", "left").select(F.col("node").alias("class"), "group", F.coalesce("root", "node").alias("root"))
+    groups = components(stars)
+    release(stars)
+    rooted = groups.withColumnRenamed("root", "group").join(found, "node", "left").select(F.col("node").alias("class"), "group", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("group").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
     rest = rooted.join(mixed.select("group", "members"), "group").join(classes.select("class", "n_shingles", "signature"), "class").join(sets, "class")
     n_blocks = F.ceil(F.col("members") / block).cast("int")
@@ -196,12 +211,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, coordinat
     tasks = dealt.select("*", F.explode(others).alias("t")).select("group", "t.i", "t.j", "block", "class", "root", "n_shingles", "signature", "hashes")
     more = materialize(tasks.groupBy("group", "i", "j").applyInPandas(_across(coordinates, percent), "a binary, b binary"), "across")
     if not more.isEmpty():
-        found = materialize(components(links.unionByName(more)), "components")
+        release(found)
+        found = components(links.unionByName(more))
+    release(sets, links, groups, more)
 
     rooted = classes.join(found, classes["class"] == found["node"], "left").select(
         classes["class"], "doc_id", F.coalesce("root", classes["class"]).alias("root"))
     ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialize(rooted.join(ids, "root").select("class", F.hex("root").alias("component"), "component_id"), "named")
+    release(classes, found)
     whole = sketch.join(named, "class", "left")
     alone = F.concat_ws("-", F.lit("alone"), F.col("doc_id").cast("string"))
     empty = F.col("n_shingles") == 0
@@ -221,7 +239,9 @@ def shingle_sets(pairs: DataFrame, classes: DataFrame, text: DataFrame, size: in
     text = likely_in(text, "key", wanted)  # few texts are wanted: the others needn't be shuffled
     texts = text.join(wanted, text["doc_id"].eqNullSafe(wanted["doc_id"]) & (text["key"] == wanted["key"])).select(
         "class", F.col("text").cast("binary").alias("text"))
-    return materialize(map_slices(texts.dropDuplicates(["class"]), sets, "class binary, hashes array<long>", arrow), "sets")
+    made = materialize(map_slices(texts.dropDuplicates(["class"]), sets, "class binary, hashes array<long>", arrow), "sets")
+    release(wanted)
+    return made
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,12 +255,25 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component of ``near_duplicates``, the one with the smallest id, with all its columns; rows without words all stay."""
-    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    first = materialize(marked.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("component").agg(
-        F.min(F.struct(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))).alias("_first")).select("_first.*"), "first")
-    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    wordless = ~F.coalesce(docs[text_col], F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
-    kept = docs.where(~wordless).withColumn("_key", key)
-    kept = kept.join(first, kept[id_col].eqNullSafe(first["_id"]) & (kept["_key"] == first["_key"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key").unionByName(docs.where(wordless))
+    """One row of each component of ``near_duplicates``, the one with the smallest id, with all its columns; rows without words all stay.
+
+    Of rows with equal ids and texts one stays. Only rows that may go are joined; the others are neither moved nor read twice. Columns of any
+    name stay as they are.
+    """
+    marked = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("n_shingles > 0")
+    each = marked.groupBy("component", "doc_id", "key").agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("lowest"))
+    each = materialize(each, "members")
+    first = each.where("lowest").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    goes = ~F.struct("doc_id", "key").eqNullSafe(F.col("first"))
+    spare = materialize(each.join(first, "component").where(goes | (F.col("n") > 1)).select("doc_id", "key", goes.alias("goes")), "spare")
+    release(each)
+
+    name = free_name(docs, "key")
+    keyed = docs.withColumn(name, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    known = spare.select(F.col("doc_id").alias("its_id"), F.col("key").alias(name), "goes")
+    maybe, stays = split_likely(keyed, name, known)
+    lost = known.where("goes").toDF("its_id", name, "goes")  # under new names, as the bitmap is made of it too
+    maybe = maybe.join(lost, maybe[id_col].eqNullSafe(lost["its_id"]) & (maybe[name] == lost[name]), "left_anti")
+    wordless = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    single = maybe.where(~wordless).dropDuplicates([id_col, name])
+    return stays.unionByName(single).unionByName(maybe.where(wordless)).drop(name)

@@ -44,22 +44,43 @@ def map_slices(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     return df.mapInArrow(run, schema)
 
 
-#: Bits of the map in ``likely_in``: 1 MB.
-MAP_BITS = 1 << 23
+#: Bits of the map in ``likely_in``: 32 or more for each wanted key, but 128 KB at least and 16 MB at most.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 27
+
+
+def _in_map(rows: DataFrame, key: str, wanted: DataFrame) -> Column:
+    """Whether the bit of ``key`` is set in a map of the wanted keys."""
+    n = wanted.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_KEY * n).bit_length()))
+    place = F.pmod(F.col(key), F.lit(size))
+    word, bit = F.shiftright(place, 6).cast("int"), F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, 64) AS INT))")
+    zeros = rows.sparkSession.range(size // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = zeros.unionByName(wanted.select(word.alias("word"), bit.alias("bit"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bitmap"))
+    return F.get(bitmap.scalar(), word).bitwiseAND(bit) != 0
 
 
 def likely_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """The rows whose ``key``, a long hash, is in the column of the same name of ``wanted``, and few others; to be joined afterwards.
 
-    A bitmap of the wanted keys, of ``MAP_BITS`` bits whatever their number, goes to the tasks, so most other rows need no shuffle. With far
-    more keys than bits it lets all rows pass.
+    A bitmap of the wanted keys goes to the tasks, so most other rows need no shuffle. With far more keys than bits it lets more rows pass.
+    ``wanted`` is counted and read: pass a written table.
     """
-    place = F.pmod(F.col(key), F.lit(MAP_BITS))
-    word, bit = F.shiftright(place, 6).cast("int"), F.expr(f"shiftleft(1L, CAST(pmod(`{key}`, 64) AS INT))")
-    zeros = rows.sparkSession.range(MAP_BITS // 64).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
-    words = zeros.unionByName(wanted.select(word.alias("word"), bit.alias("bit"))).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    bitmap = words.agg(F.transform(F.sort_array(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bitmap"))
-    return rows.where(F.get(bitmap.scalar(), word).bitwiseAND(bit) != 0)
+    return rows.where(_in_map(rows, key, wanted))
+
+
+def split_likely(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``likely_in``, and all other rows, none of which is wanted: they need no join."""
+    found = _in_map(rows, key, wanted)
+    return rows.where(found), rows.where(~found)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def attach(left: DataFrame, right: DataFrame, keys: tuple, how: str = "left") -> DataFrame:
