@@ -21,7 +21,7 @@ def _radius(radii: dict[str, float]) -> Column:
 
 
 def conflate(links: DataFrame, segments: DataFrame, link_class: str = "capc", seg_class: str = "fwytag",
-             radii=K.MATCH_RADIUS_FT, wide_radii=K.WIDE_MATCH_RADIUS_FT, dense: int = 50_000) -> DataFrame:
+             radii=K.MATCH_RADIUS_FT, wide_radii=K.WIDE_MATCH_RADIUS_FT, dense: int = 256) -> DataFrame:
     """Every link with the segment it lies on, how far away that is, and which search found it.
 
     ``links``: link_id, points and a class; ``segments``: seg_id, points, miles, a class and optionally a

@@ -423,6 +423,47 @@ def test_nearest_line_brute_force(spark, dense):
         assert got[i].tied == (len(best) > 1 and best[0][1] == best[1][1])
 
 
+def crowd(spark, n_edges, n_points, seed=5, spread=100.0):
+    rng = np.random.default_rng(seed)
+    a, turn = rng.random((n_edges, 2)) * spread, rng.integers(0, 4, n_edges)
+    step = np.array([[1, 0.1], [0.1, 1], [-1, 0.1], [0.1, -1]])[turn]
+    lines = [(i, "NESW"[t], float(i % 5), float(t * 90), [pt(*map(float, p)), pt(*map(float, p + d))]) for i, (p, d, t) in enumerate(zip(a, step, turn))]
+    pts = [(i, "NESW"[i % 4], float(i % 4 * 90), float(x), float(y)) for i, (x, y) in enumerate(rng.random((n_points, 2)) * spread)]
+    return (spark.createDataFrame(pts, "link_id int, dir string, angle double, x double, y double").withColumn("c", F.lit(1)),
+            spark.createDataFrame(lines, "seg_id int, dir string, miles double, angle double, points array<struct<x:double,y:double>>").withColumn("c", F.lit(1)), pts, lines)
+
+
+def test_searches_read_few_candidates(spark):
+    """Each search reads few edges a point: its own keys, and only cells within the bound; same results for any size of cell."""
+    P_, L_, pts, lines = crowd(spark, 3000, 300)
+    s = [spatial.Search(6.0, same=("dir",)), spatial.Search(6.0, angle_tolerance=10), spatial.Search(12.0, angle_tolerance=10)]
+    seen, plain, found = [], spatial._candidates, []
+    try:
+        for dense in (256, 8):
+            spatial._candidates = lambda a, b, on: seen.append(plain(a, b, on).count()) or plain(a, b, on)
+            found.append(sorted(map(tuple, spatial.nearest_line(P_, L_, ["c"], s, dense=dense).collect())))
+            if dense == 256:
+                first = sum(seen)
+    finally:
+        spatial._candidates = plain
+    assert found[0] == found[1] and len(found[0]) == 300 and {r[4] for r in found[0]} == {1}
+    pairs = sum(abs(px - q["x"]) <= 12 and abs(py - q["y"]) <= 12 for *_, px, py in pts for q in (line[4][0] for line in lines))
+    assert 4 * first <= pairs and 4 * (sum(seen) - first) <= pairs
+
+
+def test_directory_splits_crowded_cells(spark):
+    _, L_, _, _ = crowd(spark, 4000, 1, spread=20.0)
+    e = L_.select("c", F.explode(G.edges("points")).alias("e")).select("c", "e.*")
+    cells = spatial._directory(e, ["c"], F.lit(16.0), 50)
+    sizes = cells.groupBy("c", "level", "__cx", "__cy").count().collect()
+    assert max(r["count"] for r in sizes) <= 50 and len({r.level for r in sizes}) > 1
+    boxes = sorted((r["__cx"] * 16 / 2 ** r.level, r["__cy"] * 16 / 2 ** r.level, 16 / 2 ** r.level) for r in sizes)
+    assert not any(x < u + v and u < x + w and y < z + v and z < y + w for i, (x, y, w) in enumerate(boxes) for u, z, v in boxes[i + 1:i + 60])  # none overlap
+    assert cells.select("x1", "y1", "x2", "y2").distinct().count() == e.distinct().count()
+    knot = spark.createDataFrame([(1, 0.0, 0.0, math.cos(a), math.sin(a)) for a in range(40)], "c int, x1 double, y1 double, x2 double, y2 double")
+    assert spatial._directory(knot, ["c"], F.lit(8.0), 10).where(f"level = {spatial.DEEPEST}").count() >= 10  # edges that meet in one point
+
+
 def test_search_order_angle_and_radius(spark):
     L_ = spark.createDataFrame([(1, "E", 1.0, 0.0, [pt(0, 3), pt(10, 3)]), (2, "N", 1.0, 8.0, [pt(0, 1), pt(10, 1)]), (3, "N", 1.0, 179.0, [pt(0, 90), pt(10, 90)])],
                                "seg_id int, dir string, miles double, angle double, points array<struct<x:double,y:double>>").withColumn("c", F.lit(1))
