@@ -154,6 +154,28 @@ def _log(spark, sf):
     return log.join(shared, "scenario_code", "left").select("scenario_code", "table_status", F.coalesce("shared", F.lit(False)).alias("shared"))
 
 
+@query("publish_guarded", """SELECT c_custkey, c_nationkey % 3 AS scenario_id, CASE WHEN c_nationkey % 3 = 1 THEN 2 ELSE 1 END AS edition FROM customer""")
+def _guarded(spark, sf):
+    """Scenario 0 is shared after its first edition, so only scenario 1 gets a second one."""
+    base = scratch_path(spark, "guarded")
+    c = table(spark, sf, "customer")
+    for edition, ids in ((1, (0, 1, 2)), (2, (0, 1))):
+        for i in ids:
+            part = c.where(F.col("c_nationkey") % 3 == i).select("c_custkey", F.lit(edition).alias("edition"))
+            try:
+                sinks.publish_guarded(part, f"{base}/data", f"{base}/log", 2020, i, "base", shared_externally=int(i == 0))
+            except sinks.PublishRefused:
+                assert (i, edition) == (0, 2)
+    return spark.read.parquet(f"{base}/data").select("c_custkey", "scenario_id", "edition")
+
+
+@query("ordered_sink", "SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY o_orderpriority, o_custkey, o_orderkey) AS row_number FROM orders")
+def _ordered(spark, sf):
+    path, order = scratch_path(spark, "ordered"), ["o_orderpriority", "o_custkey", "o_orderkey"]
+    sinks.write_ordered(table(spark, sf, "orders").select(*order), order, path, parts=7)
+    return sinks.read_ordered(spark, path, order).select("o_orderkey", "o_orderpriority", "row_number")
+
+
 # ------------------------------------------------------------------ run catalogue
 
 VIEWS["run_files"] = ("events", {
@@ -230,6 +252,26 @@ def _read_gtfs(spark, sf):
                                                 F.min("departure_time").alias("first_departure"), F.max("monday").alias("monday"))
 
 
+BROKEN = """SELECT agency, trip_id, CASE WHEN trip_id % 7 = 0 THEN 'x' || stop_sequence WHEN trip_id % 11 = 0 THEN '' ELSE CAST(stop_sequence AS VARCHAR(9)) END AS stop_sequence,
+   CAST(stop_id AS VARCHAR(9)) || CASE WHEN trip_id % 13 = 0 THEN ',more' ELSE '' END AS stop_id, departure_time FROM g_stop_times"""
+
+
+@query("read_gtfs_rejects", with_views(f"""SELECT agency, CASE WHEN trip_id % 13 = 0 THEN 'not 4 fields' WHEN trip_id % 7 = 0 THEN 'stop_sequence is no int' ELSE 'read' END AS reason,
+   count(*) AS n, count(CASE WHEN trip_id % 13 <> 0 AND trip_id % 7 <> 0 AND trip_id % 11 <> 0 THEN stop_sequence END) AS n_sequences FROM g_stop_times GROUP BY 1, 2""", "g_stop_times"))
+def _rejects(spark, sf):
+    """Stop times with letters in a number, empty numbers and too many fields."""
+    base = scratch_path(spark, "gtfs")
+    broken = spark.sql(BROKEN.replace("FROM g_stop_times", "FROM {t}"), t=view(spark, sf, "g_stop_times"))
+    text = broken.select("agency", F.concat_ws(",", F.col("trip_id").cast("string"), F.coalesce("stop_sequence", F.lit("")), F.col("stop_id"),
+                                               F.coalesce("departure_time", F.lit(""))).alias("trip_id,stop_sequence,stop_id,departure_time"))
+    text.write.partitionBy("agency").option("quote", "").csv(f"{base}/stop_times", header=True)
+    spec = {f"AG{i}": {"stop_times": f"../stop_times/agency=AG{i}"} for i in range(5)}
+    tables, rejects = gtfs.read_gtfs_checked(spark, base, spec)
+    read = tables["stop_times"].groupBy("agency").agg(F.lit("read").alias("reason"), F.count(F.lit(1)).alias("n"), F.count("stop_sequence").alias("n_sequences"))
+    lost = rejects.groupBy("agency", F.substring_index("reason", ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("n_sequences"))
+    return read.unionByName(lost)
+
+
 @query("read_shapes", with_views(f"""SELECT agency, concat(agency, shape_id) AS shape_uid, count(*) AS n, {r('max(shape_pt_lat)')} AS top FROM g_shapes GROUP BY 1, 2""", "g_shapes"))
 def _shapes(spark, sf):
     base = scratch_path(spark, "gtfs")

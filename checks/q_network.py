@@ -217,6 +217,15 @@ def _contained(spark, sf):
     return J.contained_sets(table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
 
 
+@query("contained_large_sets", """WITH i AS (SELECT DISTINCT l_suppkey % 40 + 40 * (l_orderkey % 3) AS o, l_partkey % 211 AS s FROM lineitem
+     WHERE l_partkey % 211 % (l_suppkey % 40 + 1) <= 3 * (l_orderkey % 3) + 5), n AS (SELECT o, count(*) AS c FROM i GROUP BY 1),
+   p AS (SELECT x.o AS a, y.o AS b, count(*) AS c FROM i x JOIN i y ON x.s = y.s AND x.o <> y.o GROUP BY 1, 2),
+   q AS (SELECT a, b FROM p JOIN n ON n.o = p.a AND n.c = p.c) SELECT a, b FROM q UNION SELECT b, a FROM q""")
+def _contained_large(spark, sf):
+    i = table(spark, sf, "lineitem").where("l_partkey % 211 % (l_suppkey % 40 + 1) <= 3 * (l_orderkey % 3) + 5")
+    return J.contained_sets(i.selectExpr("l_suppkey % 40 + 40 * (l_orderkey % 3) AS o", "l_partkey % 211 AS s"), "o", "s")
+
+
 @query("rank_groups", f"""SELECT l_suppkey, l_linenumber, {r('q')} AS q, CAST(rank() OVER (PARTITION BY l_suppkey ORDER BY q) AS INT) AS k FROM
    (SELECT l_suppkey, l_linenumber, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) t""")
 def _rank(spark, sf):

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelflow.session import materialize
+
 
 def keep_all(dimension: DataFrame, summary: DataFrame, key: str, summary_key: str | None = None,
              zero: list[str] = ()) -> DataFrame:
@@ -100,20 +102,49 @@ def calc_field(df: DataFrame, out: str, op: str, *args) -> DataFrame:
     return df.withColumn(out, value)
 
 
-def contained_sets(items: DataFrame, owner: str, item: str) -> DataFrame:
-    """Ordered pairs (a, b) of different owners where one's items are a subset of the other's.
+def _set_classes(u: DataFrame) -> DataFrame:
+    """(owner, class, size): owners with equal sets have one class, known by its size and two sums of hashes of its items."""
+    h = lambda *c: F.xxhash64(*c, F.col("__i"))
+    key = u.groupBy("__o").agg(F.count(F.lit(1)).alias("__size"), F.bit_xor(h()).alias("x"), F.bit_xor(h(F.lit(1))).alias("y"))
+    return key.select("__o", F.struct("__size", "x", "y").alias("__class"), "__size")
+
+
+def _rarest(sets: DataFrame, prefix: int) -> DataFrame:
+    """(class, size, item, at): the ``prefix`` rarest items of each set, numbered from 1."""
+    freq = sets.groupBy("__i").agg(F.count(F.lit(1)).alias("__f"))
+    order = Window.partitionBy("__class").orderBy("__f", "__i")
+    return sets.join(freq, "__i").withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= prefix).select("__class", "__size", "__i", "__at")
+
+
+def _containers(sets: DataFrame, rare: DataFrame, prefix: int) -> DataFrame:
+    """(small, big, size): pairs of sets where the larger one has all rarest items of the smaller one."""
+    big = sets.select(F.col("__class").alias("__big"), "__i", F.col("__size").alias("__room"))
+    small = rare.select(F.col("__class").alias("__small"), "__size", "__i", "__at")
+    pairs = small.where("__at = 1").join(big, "__i").where("__room > __size").select("__small", "__big", "__size")
+    for k in range(2, prefix + 1):
+        item = small.where(F.col("__at") == k).select("__small", "__i")
+        pairs = pairs.join(item, "__small", "left").join(big.select("__big", "__i", F.lit(True).alias("__has")), ["__big", "__i"], "left").where(
+            "__i IS NULL OR __has").select("__small", "__big", "__size")
+    return pairs
+
+
+def contained_sets(items: DataFrame, owner: str, item: str, prefix: int = 4) -> DataFrame:
+    """Ordered pairs (a, b) of different owners where one's items are a subset of the other's. NULL items count for nothing.
 
-    A superset must own the subset's rarest item, so candidates come from that item only and are then
-    verified by counting common items. Pairs that merely share a common item are never formed.
+    Owners with equal sets are one set while sets are compared. A set that contains another is larger and has all of its ``prefix`` rarest
+    items: the rarest one gives the pairs, each further one leaves only those that have it too, and what is left is decided by counting
+    common items. Sets that merely share a common item never meet.
     """
-    u = items.select(F.col(owner).alias("__o"), F.col(item).alias("__i")).distinct()
-    freq = u.groupBy("__i").agg(F.count(F.lit(1)).alias("__f"))
-    rare = (u.join(freq, "__i").groupBy("__o")
-            .agg(F.min(F.struct("__f", "__i")).alias("__r"), F.count(F.lit(1)).alias("__size"))
-            .select(F.col("__o").alias("__small"), F.col("__r.__i").alias("__i"), "__size"))
-    cand = rare.join(u.withColumnRenamed("__o", "__big"), "__i").where("__small != __big").drop("__i")
-    common = (cand.join(u.withColumnRenamed("__o", "__small"), "__small")
-              .join(u.withColumnRenamed("__o", "__big"), ["__big", "__i"])
+    u = materialize(items.select(F.col(owner).alias("__o"), F.col(item).alias("__i")).where(F.col("__i").isNotNull()).distinct(), "set-items")
+    classes = materialize(_set_classes(u), "set-classes")
+    one = classes.groupBy("__class", "__size").agg(F.min("__o").alias("__o"))
+    sets = materialize(u.join(one, "__o").select("__class", "__size", "__i"), "sets")
+    rare = materialize(_rarest(sets, prefix), "rarest")
+    cand = materialize(_containers(sets, rare, prefix), "containers")
+    has = sets.select(F.col("__class").alias("__big"), "__i")
+    common = (cand.join(sets.select(F.col("__class").alias("__small"), "__i"), "__small").join(has, ["__big", "__i"])
               .groupBy("__small", "__big", "__size").agg(F.count(F.lit(1)).alias("__c")).where("__c = __size"))
-    pairs = common.select(F.col("__small").alias("a"), F.col("__big").alias("b"))
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    member = lambda c, o: classes.select(F.col("__class").alias(c), F.col("__o").alias(o))
+    pairs = common.select("__small", "__big").join(member("__small", "a"), "__small").join(member("__big", "b"), "__big").select("a", "b")
+    equal = member("__class", "a").join(member("__class", "b"), "__class").where("a != b").select("a", "b")
+    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(equal)

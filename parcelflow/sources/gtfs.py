@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.operators.joins import union_all
@@ -35,6 +35,47 @@ def read_gtfs(spark: SparkSession, folder: str, spec: dict[str, dict[str, str]])
     return {t: read_gtfs_table(spark, folder, spec, t) for t in GTFS_COLUMNS if all(t in f for f in spec.values())}
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the text lines of one file, or of a folder's files, numbered from 1 in each file, however it is split."""
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value",
+                                        F.monotonically_increasing_id().alias("id"))
+    blocks = text.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per split
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return text.join(blocks, ["file", "block"]).select("file", (F.col("id") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def read_checked_table(spark: SparkSession, folder: str, spec: dict[str, dict[str, str]], table: str) -> tuple[DataFrame, DataFrame]:
+    """One feed table over all agencies, and the rows that cannot be read.
+
+    The second is (agency, table, file, line, reason): one row per line that has not as many fields as its header, or a text where a number is due;
+    the first such column is named. These lines are left out of the table. Lines without any text are neither. A record is one line.
+    """
+    wanted = [c.split() for c in GTFS_COLUMNS[table].split(", ")]
+    good, bad = [], []
+    for agency, files in spec.items():
+        path = f"{folder}/{agency}/{files[table]}"
+        header = spark.read.csv(path, header=True).columns  # header read only
+        shape = ", ".join(f"`{c}` string" for c in header) + ", `__corrupt` string"
+        fields = F.from_csv("value", F.lit(shape), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+        lines = numbered_lines(spark, path).where((F.col("line") > 1) & (F.trim("value") != "")).withColumn("r", fields)
+        value = {c: F.col("r").getField(c) for c in header}
+        typed = [F.when(value[c].isNotNull() & (F.trim(value[c]) != "") & value[c].try_cast(t).isNull(), F.concat(F.lit(f"{c} is no {t}: "), value[c]))
+                 for c, t in wanted if t != "string" and c in header]
+        reason = F.coalesce(F.when(F.col("r").getField("__corrupt").isNotNull(), F.lit(f"not {len(header)} fields")), *typed, F.lit(None).cast("string"))
+        lines = lines.withColumn("reason", reason)
+        cols = [value[c].try_cast(t).alias(c) if c in header else F.lit(None).cast(t).alias(c) for c, t in wanted]
+        good.append(lines.where("reason IS NULL").select(F.lit(agency).alias("agency"), *cols))
+        bad.append(lines.where("reason IS NOT NULL").select(F.lit(agency).alias("agency"), F.lit(table).alias("table"), "file", "line", "reason"))
+    return union_all(good), union_all(bad)
+
+
+def read_gtfs_checked(spark: SparkSession, folder: str, spec: dict[str, dict[str, str]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The feed tables as ``read_gtfs`` gives them, and all lines of the feeds that cannot be read."""
+    found = {t: read_checked_table(spark, folder, spec, t) for t in GTFS_COLUMNS if all(t in f for f in spec.values())}
+    return {t: good for t, (good, _) in found.items()}, union_all([bad for _, bad in found.values()])
+
+
 def read_spec(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
     """Agency file list: agency, route_file, trip_file, stop_time_file, calendar_file, stops_file, shapes_file."""
     names = {"routes": "route_file", "trips": "trip_file", "stop_times": "stop_time_file", "calendar": "calendar_file",

@@ -329,6 +329,23 @@ def test_contained_sets_brute_force(spark):
     assert got == {(a, b) for a in sets for b in sets if a != b and (sets[a] <= sets[b] or sets[b] <= sets[a])}
 
 
+def test_contained_large_sets_meet_few_others(spark):
+    """Sets of 50 and more with many common items, copies of one set: few pairs are formed."""
+    rng = random.Random(2)
+    big = {i: set(rng.sample(range(400), 120)) | set(range(1000, 1030)) for i in range(60)}
+    sets = big | {100 + i: set(rng.sample(sorted(big[i]), 60)) for i in range(30)} | {200 + i: set(big[0]) for i in range(20)} | {300: {1000}, 301: set()}
+    df = spark.createDataFrame([(o, x) for o, s in sets.items() for x in s] + [(301, None), (5, None)], "o int, i int")
+    seen, plain = [], J._containers
+    try:
+        J._containers = lambda *a: seen.append(plain(*a).count()) or plain(*a)
+        got = [tuple(r) for r in J.contained_sets(df, "o", "i").collect()]
+    finally:
+        J._containers = plain
+    some = {o: s for o, s in sets.items() if s}
+    assert sorted(got) == sorted((a, b) for a in some for b in some if a != b and (some[a] <= some[b] or some[b] <= some[a]))
+    assert seen[0] < 200 + len(big) + 30  # the set {1000} is in all; of the 30 others each is in one or two
+
+
 def test_keep_all(spark):
     dim = spark.createDataFrame([(1,), (2,)], "k int")
     s = spark.createDataFrame([(1, None, 4)], "k int, a int, b int")

@@ -254,3 +254,77 @@ def test_manifest_and_ledger(spark, tmp_path):
     assert spark.read.parquet(led).count() == 6
     plan = {r.target_file for r in catalog.rebuild_plan(m, str(tmp_path / "r1"), "L", "D").collect()}
     assert plan == {"D/in.net", "D/2035_daynet.net", "D/own_r1.txt"}
+
+
+def test_publish_guarded(spark, tmp_path):
+    """A shared scenario, a failed write and a second writer change nothing."""
+    from parcelflow.sources import sinks
+    path, log = f"{tmp_path}/data", f"{tmp_path}/log"
+    frame = lambda v: spark.createDataFrame([(v,)], "v int")
+    read = lambda: sorted((r.scenario_id, r.v) for r in spark.read.parquet(path).collect())
+    sinks.publish_guarded(frame(1), path, log, 2020, 1, "base")
+    sinks.publish_guarded(frame(2), path, log, 2020, 2, "base", shared_externally=1)
+    sinks.publish_guarded(frame(3), path, log, 2020, 1, "base")
+    assert read() == [(1, 3), (2, 2)] and sinks.read_log(spark, log).count() == 3
+    with pytest.raises(sinks.PublishRefused, match="shared"):
+        sinks.publish_guarded(frame(4), path, log, 2020, 2, "base")
+    failing = frame(5).selectExpr("raise_error('no') AS v")
+    with pytest.raises(Exception, match="no"):
+        sinks.publish_guarded(failing, path, log, 2020, 1, "base")
+    p, fs = sinks._file_system(spark, f"{path}/_locks/scenario_year=2020-scenario_id=1-lu_scenario=base")
+    assert not fs.exists(p) and sinks._create(fs, p)  # another writer
+    with pytest.raises(sinks.PublishRefused, match="being written"):
+        sinks.publish_guarded(frame(6), path, log, 2020, 1, "base")
+    fs.delete(p, False)
+    assert read() == [(1, 3), (2, 2)] and sinks.read_log(spark, log).count() == 3
+    assert not list((tmp_path / "data/_staging").iterdir()) and not list((tmp_path / "data/_replaced").iterdir())
+
+    class Shares:  # the scenario gets shared while it is written
+        def __init__(self, df):
+            self.df, self.sparkSession = df, df.sparkSession
+
+        @property
+        def write(self):
+            sinks.scenario_log_append(spark, log, scenario_year=2020, scenario_code=1, shared_externally=1)
+            return self.df.write
+    with pytest.raises(sinks.PublishRefused, match="shared"):
+        sinks.publish_guarded(Shares(frame(7)), path, log, 2020, 1, "base")
+    assert read() == [(1, 3), (2, 2)]
+
+
+def test_ordered_sink(spark, tmp_path):
+    from parcelflow.sources import sinks
+    rows = [(None if i % 9 == 0 else f"k{i * 7919 % 500:03d}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int").repartition(5)
+    sinks.write_ordered(df, ["k", "i"], f"{tmp_path}/o", parts=6)
+    got = sinks.read_ordered(spark, f"{tmp_path}/o", ["k", "i"]).orderBy("row_number").collect()
+    assert [(r.k, r.i) for r in got] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])) and [r.row_number for r in got] == list(range(1, 3001))
+    assert spark.read.parquet(f"{tmp_path}/o").select("__part").distinct().count() >= 5
+    for change in ("__part", "__row"):
+        path = f"{tmp_path}/{change}"
+        spark.read.parquet(f"{tmp_path}/o").withColumn(change, -F.col(change)).write.parquet(path)
+        with pytest.raises(sinks.OutOfOrder):
+            sinks.read_ordered(spark, path, ["k", "i"])
+    sinks.write_ordered(df.limit(0), ["k"], f"{tmp_path}/e")
+    assert sinks.read_ordered(spark, f"{tmp_path}/e", ["k"]).count() == 0
+
+
+def test_gtfs_rejects(spark, tmp_path):
+    from parcelflow.sources import gtfs
+    (tmp_path / "A").mkdir()
+    lines = ["service_id,monday,saturday,sunday", "S1,1,0,0", "S2,one,0,0", "", "S3,1,0", '"S,4",0,,1', "S5,0,1,9,9", "S6,1,x,y"]
+    (tmp_path / "A/c.txt").write_text("\n".join(lines) + "\n")
+    tables, rejects = gtfs.read_gtfs_checked(spark, str(tmp_path), {"A": {"calendar": "c.txt"}})
+    assert [tuple(r) for r in tables["calendar"].orderBy("service_id").collect()] == [("A", "S,4", 0, None, 1), ("A", "S1", 1, 0, 0)]
+    got = [(r.line, r.reason, r.file.rsplit("/", 1)[1], r.table) for r in rejects.orderBy("line").collect()]
+    assert got == [(3, "monday is no int: one", "c.txt", "calendar"), (5, "not 4 fields", "c.txt", "calendar"), (7, "not 4 fields", "c.txt", "calendar"),
+                   (8, "saturday is no int: x", "c.txt", "calendar")]
+    many = [f"T{i},{i % 3},0,0" if i != 40_000 else "T40000,bad,0,0" for i in range(60_000)]
+    (tmp_path / "A/m.txt").write_text("\n".join([lines[0], *many]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")  # the file is many splits
+    try:
+        tables, rejects = gtfs.read_gtfs_checked(spark, str(tmp_path), {"A": {"calendar": "m.txt"}})
+        assert [(r.line, r.reason) for r in rejects.collect()] == [(40_002, "monday is no int: bad")] and tables["calendar"].count() == 59_999
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
