@@ -1,4 +1,4 @@
-"""Relational chat formatting: turns are ordered, merged and concatenated with Spark expressions only.
+"""Relational chat formatting: collected turn structs are sorted, adjacent ones of one role merged, and all concatenated with Spark expressions only.
 
 A message is ``<|im_start|>role<|im_sep|>text<|im_end|>`` and a line end. Adjacent turns of one role are one message, their texts joined by
 ``<|im_next|>``. In roles and texts ``<``, any backslashes and ``|`` get one backslash more, so no text can hold a control string, and
@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .rows import core
+from .secrets import running_before
 
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>\n"
 
@@ -32,20 +32,28 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant", conv_col: str =
     conversation ids are one conversation, other columns are left out, an empty table gives no rows.
     """
     rows = core(turns, conv_id=conv_col, turn=turn_col, role=role_col, text=text_col)
-    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    marked = rows.withColumns({"before": F.lag("role").over(order), "place": F.row_number().over(order), "shown": escape(F.col("text"))})
-    opening = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP))
-    head = F.when(F.col("before").isNull(), opening).when(F.col("before") == F.col("role"), F.lit(NEXT)).otherwise(F.concat(F.lit(END), opening))
-    pieces = marked.select("conv_id", "place", "role", F.struct("place", F.concat(head, "shown").alias("piece")).alias("piece"),
-                           F.length(head).alias("head"), F.length("shown").alias("length"))
-    to_place = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = pieces.withColumn("end", F.sum(F.col("head") + F.col("length")).over(to_place))
-    span = F.struct((F.col("end") - F.col("length")).alias("start"), F.col("end").alias("end"))
-    chats = ends.groupBy("conv_id").agg(F.array_sort(F.collect_list("piece")).alias("pieces"),
-                                        F.array_sort(F.collect_list(F.when(F.col("role") == loss_role, span))).alias("loss_spans"))
-    joined = F.concat(F.array_join(F.transform("pieces", lambda p: p["piece"]), ""), F.lit(END))
-    return chats.select("conv_id", joined.alias("formatted"), "loss_spans")
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))  # nulls first
+    # each turn escaped, and whether it opens a message
+    opens = lambda t, i: (i == 0) | (t["role"] != F.get("turns", i - 1)["role"])
+    marked = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), escape(t["text"]).alias("shown"), opens(t, i).alias("opens")))
+    chats = chats.select("conv_id", marked.alias("turns"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: F.get("turns", i)["opens"])
+    chats = chats.select("conv_id", "turns", starts.alias("starts"))
+    # messages: runs of turns of one role, merged
+    opening = lambda role: F.concat(F.lit(START), escape(role), F.lit(SEP))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size("turns")))
+    merged = lambda a, b: F.array_join(F.transform(F.slice("turns", a + 1, b - a), lambda t: t["shown"]), NEXT)
+    messages = F.zip_with("starts", ends, lambda a, b: F.concat(opening(F.get("turns", a)["role"]), merged(a, b), F.lit(END)))
+    # where each text stands: behind what comes before it and the control strings in front of it
+    head = F.transform("turns", lambda t, i: F.when(t["opens"], F.length(opening(t["role"])) + F.when(i == 0, 0).otherwise(len(END))).otherwise(len(NEXT)))
+    lengths = F.zip_with(head, F.col("turns"), lambda h, t: F.struct(h.alias("head"), F.length(t["shown"]).alias("length"), t["role"].alias("role")))
+    chats = chats.select("conv_id", F.array_join(messages, "").alias("formatted"), lengths.alias("lengths"))
+    before = running_before(F.transform("lengths", lambda x: x["head"] + x["length"]))
+    places = F.zip_with("lengths", before, lambda x, b: F.struct(x["role"].alias("role"), (b + x["head"]).cast("long").alias("start"),
+                                                               (b + x["head"] + x["length"]).cast("long").alias("end")))
+    spans = F.transform(F.filter(places, lambda x: x["role"] == loss_role), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return chats.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
