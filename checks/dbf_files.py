@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def write_dbf(df: DataFrame, fields: list[tuple[str, str, int, int]], path: str) -> None:
-    """``fields``: (name, type N or C, width, decimals). Missing values become blanks."""
+def write_dbf(df: DataFrame, fields: list[tuple[str, str, int, int]], path: str, kinds: dict[str, str] | None = None) -> None:
+    """``fields``: (name, type N or C, width, decimals). Missing values become blanks. ``kinds`` declares a field as of another type than it is written."""
     def text(name, kind, width, dec):
         c = F.col(name)
         if kind == "N":
@@ -19,26 +19,28 @@ def write_dbf(df: DataFrame, fields: list[tuple[str, str, int, int]], path: str)
         return F.rpad(F.coalesce(c, F.lit("")), width, " ")
 
     rows = df.select(F.concat(F.lit(" "), *[text(*f) for f in fields]).alias("record"))
-    parts = rows.mapInPandas(_writer(fields, path), "path string, n bigint")
+    declared = [(n, (kinds or {}).get(n, k), w, d) for n, k, w, d in fields]
+    parts = rows.mapInPandas(_writer(declared, path), "path string, n bigint")
     parts.agg(F.sum("n")).collect()
 
 
 def _writer(fields, path):
     def run(batches):
-        import os
         import struct
         import uuid
 
         import pandas as pd
-        os.makedirs(path, exist_ok=True)
+        from pyarrow import fs
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system.create_dir(folder)
         records = [r.encode("ascii") for b in batches for r in b["record"]]
-        out = f"{path}/part-{uuid.uuid4().hex}"
-        with open(out, "wb") as f:
+        out = f"{folder}/part-{uuid.uuid4().hex}"
+        with system.open_output_stream(out) as f:
             length = 1 + sum(w for _, _, w, _ in fields)
             f.write(struct.pack("<BBBBIHH20x", 3, 24, 1, 1, len(records), 33 + 32 * len(fields), length))
             for name, kind, width, dec in fields:
                 f.write(struct.pack("<11sc4xBB14x", name.encode(), kind.encode(), width, dec))
             f.write(b"\r" + b"".join(records) + b"\x1a")
-        os.rename(out, out + ".dbf")  # a failed attempt leaves no .dbf behind
+        system.move(out, out + ".dbf")  # a failed attempt leaves no .dbf behind
         yield pd.DataFrame({"path": [out + ".dbf"], "n": [len(records)]})
     return run

@@ -12,7 +12,7 @@ from parcelflow.plans import catalog as C
 from parcelflow.plans import themes
 from parcelflow.session import scratch_path
 from parcelflow.sources import delimited, gtfs, manifest, raw_tables, sinks
-from parcelflow.sources.dbf import register_dbf
+from parcelflow.sources.dbf import read_dbf, register_dbf
 
 CUSTOMER = T.StructType([T.StructField("c_custkey", T.LongType()), T.StructField("c_name", T.StringType()),
                          T.StructField("c_nationkey", T.IntegerType()), T.StructField("c_acctbal", T.DoubleType())])
@@ -62,6 +62,15 @@ def _dbf(spark, sf):
     return spark.read.format("dbf").option("records_per_partition", 20000).load(path)
 
 
+@query("dbf_two_passes", f"SELECT l_orderkey AS ORDERKEY, {r('l_extendedprice')} AS PRICE, {r('l_quantity')} AS QUANTITY FROM lineitem")
+def _dbf_two_passes(spark, sf):
+    """The price stands in a field declared without decimals."""
+    path = scratch_path(spark, "lineitem") + ".dbf"
+    src = table(spark, sf, "lineitem").selectExpr("l_orderkey AS ORDERKEY", "lpad(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS STRING), 14, ' ') AS PRICE", "l_quantity AS QUANTITY")
+    write_dbf(src, [("ORDERKEY", "N", 12, 0), ("PRICE", "C", 14, 0), ("QUANTITY", "N", 10, 0)], path, kinds={"PRICE": "N"})
+    return read_dbf(spark, path, 5000).withColumn("QUANTITY", F.col("QUANTITY").cast("double"))
+
+
 @query("dbf_topline", f"SELECT {r('sum(l_extendedprice)')} AS SUM_PRICE FROM lineitem")
 def _dbf_topline(spark, sf):
     path = scratch_path(spark, "lineitem") + ".dbf"
@@ -92,6 +101,39 @@ def _load_cv(spark, sf):
     return cv.select(F.col("I").cast("bigint").alias("I"), *[F.round(F.col(c).cast("double"), 1).alias(c) for c in CV_NAMES])
 
 
+def _fitting(kind: str) -> dict[str, str]:
+    """A raw table's derived columns, brought into the range of their published types."""
+    fit = {"int": "({}) % 2000000000", "smallint": "({}) % 30000", "float": "CAST(floor({}) AS BIGINT) % 1000"}
+    return {f.name: fit[f.dataType.simpleString()].format(f.name) for f in raw_tables.RAW_SCHEMAS[kind].fields if f.name in VIEWS[kind][1]}
+
+
+RAW_SUMS = " UNION ALL ".join(f"SELECT '{k}' AS kind, '{c}' AS name, count({c}) AS n, CAST(sum({e}) AS DOUBLE) AS total FROM {k}"
+                              for k in raw_tables.RAW_SCHEMAS for c, e in _fitting(k).items())
+
+
+@query("load_raw_kinds", with_views(f"SELECT kind, name, n, {r('total')} AS total FROM ({RAW_SUMS}) q", *raw_tables.RAW_SCHEMAS))
+def _load_kinds(spark, sf):
+    """All nine kinds of raw tables, written as the files of one run folder and loaded."""
+    run = scratch_path(spark, "run")
+    for kind, schema in raw_tables.RAW_SCHEMAS.items():
+        own = view(spark, sf, kind).selectExpr(*[f"{e} AS {c}" for c, e in _fitting(kind).items()])
+        path = f"{run}/{raw_tables.RAW_FILES[kind].format(year=2020)}"
+        if path.endswith(".dbf"):
+            write_dbf(own, [(c, "N", 16, 0) for c in own.columns], path)
+            continue
+        cols = own.select(*[F.col(f.name) if f.name in own.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+        text = path.rsplit(".", 1)[-1]
+        cols.write.csv(path, sep=delimited.SEPARATORS.get(text, " "), header=text != "dat")
+    loaded = raw_tables.load_raw(spark, run, 2020)
+    sums = []
+    for kind, df in loaded.items():
+        have = list(_fitting(kind))
+        one = df.agg(*[F.count(c).alias(f"n_{c}") for c in have], *[F.sum(F.col(c).cast("double")).alias(f"t_{c}") for c in have])
+        each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"n_{c}").alias("n"), F.col(f"t_{c}").alias("total")) for c in have])
+        sums.append(one.select(F.lit(kind).alias("kind"), F.inline(each)))
+    return J.union_all(sums)
+
+
 @query("load_with_fallback", "SELECT o_orderkey, o_custkey, CAST(0 AS DOUBLE) AS distau FROM orders")
 def _fallback(spark, sf):
     base = scratch_path(spark, "fallback")
@@ -229,13 +271,15 @@ def _ledger(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("list_run_files", "SELECT count(DISTINCT o_orderstatus) AS n_folders, count(DISTINCT o_orderstatus) AS n_started FROM orders")
+@query("list_run_files", """SELECT concat('run=run', o_orderstatus) AS folder, '.txt' AS ext, CAST(1 AS BIGINT) AS n_files, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + 1) AS BIGINT) AS length
+   FROM orders GROUP BY 1""")
 def _list(spark, sf):
+    """One file per folder, listed with its length."""
     base = scratch_path(spark, "runs")
-    parts = table(spark, sf, "orders").select(F.concat(F.col("o_orderkey").cast("string")).alias("value"), F.concat(F.lit("run"), "o_orderstatus").alias("run"))
-    parts.write.partitionBy("run").text(base)
+    parts = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("value"), F.concat(F.lit("run"), "o_orderstatus").alias("run"))
+    parts.repartition("run").write.partitionBy("run").text(base)
     files = manifest.list_run_files(spark, [f"{base}/run=run{s}" for s in "FOP"])
-    return files.where("length > 0").agg(F.count_distinct("folder").alias("n_folders"), F.count_distinct(F.when(F.col("ext") == ".txt", F.col("folder"))).alias("n_started"))
+    return files.groupBy(F.substring_index("folder", "/", -1).alias("folder"), "ext").agg(F.count("name").alias("n_files"), F.sum("length").alias("length"))
 
 
 @query("read_gtfs", with_views("""SELECT r.agency, r.route_id, count(*) AS n_events, count(s.stop_id) AS n_stops, min(s.departure_time) AS first_departure, max(c.monday) AS monday

@@ -184,12 +184,13 @@ def _joined(spark, sf):
     return j.groupBy("n_regionkey").agg(A.joined_names("n_name").alias("all_names"), A.joined_names("n_name", F.col("s") > 0).alias("with_suppliers"))
 
 
-@query("only_in_each", """SELECT DISTINCT o_custkey AS k, '95' AS side FROM orders WHERE year(o_orderdate) = 1995 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996)
-   UNION ALL SELECT DISTINCT o_custkey, '96' FROM orders WHERE year(o_orderdate) = 1996 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995)""")
+@query("only_in_each", """WITH a AS (SELECT DISTINCT o_orderkey AS k, o_custkey % 5 AS m FROM orders), b AS (SELECT DISTINCT l_orderkey AS k, l_suppkey % 5 AS m FROM lineitem)
+   SELECT k, m, 'orders' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.m = a.m)
+   UNION ALL SELECT k, m, 'lines' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.k = a.k AND b.m = a.m)""")
 def _only(spark, sf):
-    o = table(spark, sf, "orders")
-    pick = lambda y: o.where(F.year("o_orderdate") == y).select(F.col("o_custkey").alias("k")).distinct()
-    return J.only_in_each(pick(1995), pick(1996), ["k"], ("95", "96"))
+    a = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 5 AS m").distinct()
+    b = table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "l_suppkey % 5 AS m").distinct()
+    return J.only_in_each(a, b, ["k", "m"], ("orders", "lines"))
 
 
 @query("in_set", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
@@ -306,13 +307,13 @@ def _carry_by_text(spark, sf):
     return windows.carry_forward(e, ["k"], "name", "mark", "since", chunk=CHUNK).select("event_id", "since")
 
 
-@query("pair_status", with_views("""WITH p AS (SELECT o_orderkey AS k, o_orderkey % 97 AS A, o_custkey % 89 AS B FROM orders),
-   l AS (SELECT l_orderkey % 97 AS A, l_suppkey % 89 AS B FROM lineitem WHERE l_quantity < 5)
+@query("pair_status", with_views("""WITH p AS (SELECT o_orderkey AS k, o_orderkey % 997 AS A, o_custkey % 887 AS B FROM orders),
+   l AS (SELECT l_orderkey % 997 AS A, l_partkey % 887 AS B FROM lineitem)
    SELECT k, A, B, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.A = p.A AND l.B = p.B) THEN 'OK' WHEN EXISTS (SELECT 1 FROM l WHERE l.A = p.B AND l.B = p.A)
    THEN 'CHECK_DIR' ELSE 'LINK_MISSING' END AS LINK_HWYNET_STATUS FROM p""", "raw_ixworker"))
 def _pair_status(spark, sf):
-    p = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_orderkey % 97 AS A", "o_custkey % 89 AS B")
-    links = table(spark, sf, "lineitem").where("l_quantity < 5").selectExpr("l_orderkey % 97 AS A", "l_suppkey % 89 AS B")
+    p = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_orderkey % 997 AS A", "o_custkey % 887 AS B")
+    links = table(spark, sf, "lineitem").selectExpr("l_orderkey % 997 AS A", "l_partkey % 887 AS B")
     return J.pair_status(p, links)
 
 
@@ -371,8 +372,22 @@ def _profile(spark, sf):
     return profiles.column_profile(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
 
 
-@query("narrow_types", "SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def _int_type(c):
+    return f"""(SELECT CASE WHEN min({c}) >= -128 AND max({c}) <= 127 THEN 'tinyint' WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'smallint'
+     WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'int' ELSE 'bigint' END FROM lineitem)"""
+
+
+def _real_type(c):
+    return f"(SELECT CASE WHEN max(abs({c} - {c}::FLOAT::DOUBLE)) = 0 THEN 'float' ELSE 'double' END FROM lineitem)"
+
+
+NARROWED = {"l_orderkey": _int_type, "l_partkey": _int_type, "l_suppkey": _int_type, "l_linenumber": _int_type, "l_quantity": _real_type, "l_extendedprice": _real_type}
+
+
+@query("narrow_types", f"""SELECT l_returnflag, l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, {r('l_quantity')} AS l_quantity,
+   {r('l_extendedprice')} AS l_extendedprice, {', '.join(f'{f(c)} AS type_{c}' for c, f in NARROWED.items())} FROM lineitem""")
 def _narrow(spark, sf):
-    d, _ = profiles.narrow_types(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"))
-    wide = d.withColumns({"l_orderkey": F.col("l_orderkey").cast("bigint"), "l_linenumber": F.col("l_linenumber").cast("int")})
-    return wide.withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    """Values as they come back from the narrow types, each with the name of its type."""
+    d, _ = profiles.narrow_types(table(spark, sf, "lineitem").select("l_returnflag", *NARROWED))
+    return d.select("l_returnflag", *[F.col(c).cast("double" if f is _real_type else "bigint").alias(c) for c, f in NARROWED.items()],
+                    *[F.typeof(F.col(c)).alias(f"type_{c}") for c in NARROWED])

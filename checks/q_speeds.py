@@ -48,13 +48,15 @@ for _slim in (False, True):
         return V.period_speed_stats(view(spark, sf, "segments"), view(spark, sf, "epochs"), months=MONTHS, slim=slim)
 
 
-@query("merge_periods", with_views(f"""SELECT a.tmc_code, {r('a.v')} AS v_7, {r('b.v')} AS v_8 FROM
-     (SELECT tmc_code, {HARM} AS v FROM epochs WHERE hour(measurement_tstamp) = 7 GROUP BY 1) a JOIN
-     (SELECT tmc_code, {HARM} AS v FROM epochs WHERE hour(measurement_tstamp) = 8 GROUP BY 1) b ON a.tmc_code = b.tmc_code""", "epochs"))
+FRAMES = {n: f"(SELECT tmc_code, {HARM} AS v FROM epochs WHERE hour(measurement_tstamp) IN ({', '.join(map(str, h))}) GROUP BY 1)" for n, h in K.MODEL_PERIODS.items()}
+
+
+@query("merge_periods", with_views(f"""SELECT tmc_code, {', '.join(f"{r(f'{n}.v')} AS v_{n}" for n in FRAMES)} FROM
+   {' JOIN '.join(f'{q} {n}' + (' USING (tmc_code)' if i else '') for i, (n, q) in enumerate(FRAMES.items()))}""", "epochs"))
 def _merge(spark, sf):
     e = view(spark, sf, "epochs")
-    one = lambda h: e.where(F.hour("measurement_tstamp") == h).groupBy("tmc_code").agg(A.harmonic_mean("speed").alias(f"v_{h}"))
-    return J.merge_on_key([one(7), one(8)], "tmc_code")
+    one = lambda n, h: e.where(F.hour("measurement_tstamp").isin(h)).groupBy("tmc_code").agg(A.harmonic_mean("speed").alias(f"v_{n}"))
+    return J.merge_on_key([one(n, h) for n, h in K.MODEL_PERIODS.items()], "tmc_code")
 
 
 @query("period_percentile_bands", with_views(f"""SELECT s.tmc, {r('p.a')} AS pctlspd25_n11, {r('p.b')} AS pctlspd75_n11 FROM segments s LEFT JOIN

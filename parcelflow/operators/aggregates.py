@@ -76,6 +76,7 @@ def rate_then_apply(units: DataFrame, activity: DataFrame, group: str, rates: di
     per = acts.join(base, group, "left").select(group, *[
         F.when(F.col(f"__{b}") > 0, F.try_divide(F.col(f"__{a}"), F.col(f"__{b}"))).otherwise(F.lit(0.0)).alias(f"__r_{o}")
         for o, (a, b) in rates.items()])
+    per = materialize(per, "rates")  # its true size known, a few groups don't make the units move
     out = units.join(per, group, "left").withColumns({o: F.col(f"__r_{o}") * F.col(b) for o, (_, b) in rates.items()})
     return out.drop(*[f"__r_{o}" for o in rates])
 

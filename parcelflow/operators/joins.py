@@ -72,11 +72,12 @@ def pair_status(pairs: DataFrame, links: DataFrame, a="A", b="B", out="LINK_HWYN
     return out_df.withColumn(out, status).drop("__lo", "__hi", "__has_up", "__has_down")
 
 
-def base_future(base: DataFrame, future: DataFrame, key: str, shared: list[str], by="BY", fy="FY") -> DataFrame:
-    """Inner join of two years on a key, columns prefixed except the shared ones of the future year."""
-    b = base.select(key, *[F.col(c).alias(by + c) for c in base.columns if c != key and c not in shared])
-    f = future.select(key, *[F.col(c).alias(c if c in shared else fy + c) for c in future.columns if c != key])
-    return b.join(f, key)
+def base_future(base: DataFrame, future: DataFrame, key: str | list[str], shared: list[str], by="BY", fy="FY") -> DataFrame:
+    """Inner join of two years on one or more keys, columns prefixed except the shared ones of the future year."""
+    keys = [key] if isinstance(key, str) else key
+    b = base.select(*keys, *[F.col(c).alias(by + c) for c in base.columns if c not in keys and c not in shared])
+    f = future.select(*keys, *[F.col(c).alias(c if c in shared else fy + c) for c in future.columns if c not in keys])
+    return b.join(f, keys)
 
 
 def merge_on_key(frames: list[DataFrame], key: str) -> DataFrame:

@@ -52,9 +52,9 @@ def change_flags(df: DataFrame) -> DataFrame:
 def link_compare(base: DataFrame, future: DataFrame) -> DataFrame:
     """Links present in both years with BY/FY columns, changes, and a phasing code."""
     b, f = link_metrics(base), link_metrics(future)
-    joined = base_future(b.select("A_B", *[c for c in COMPARED if c in b.columns]),
-                         f.select("A_B", *[c for c in DESCRIPTIVE + COMPARED if c in f.columns]), "A_B", DESCRIPTIVE)
-    out = change_flags(joined)
+    joined = base_future(b.select("A", "B", *[c for c in COMPARED if c in b.columns]),
+                         f.select("A", "B", "A_B", *[c for c in DESCRIPTIVE + COMPARED if c in f.columns]), ["A", "B"], ["A_B", *DESCRIPTIVE])
+    out = change_flags(joined.drop("A", "B"))
     return out.withColumn("phasing", S.phasing_code("BYconglev", "FYconglev", "proj_IN", "newroad", "fybydyv_p", "FYA3VC", "FYP3VC"))
 
 

@@ -143,6 +143,7 @@ def congested_hours(segments: DataFrame, epochs: DataFrame, ratio: float = K.CON
     """Average daily congested hours and hours with data per segment, working days; -1 where unknown."""
     ff = (segments.select(F.col("tmc").alias("tmc_code"), "f_system").join(free_flow_by_class(epochs), "tmc_code")
           .select("tmc_code", by_class().alias("ff")))
+    ff = materialize(ff, "free-flow")  # used twice, and small beside the epochs: these needn't be shuffled to meet it
     picked = epochs.where(S.weekday_filter("measurement_tstamp", K.WORKING_DAYS)).select(
         "tmc_code", "speed", F.dayofyear("measurement_tstamp").alias("doy")).join(ff, "tmc_code", "left")
     slow = F.try_divide("speed", "ff") <= ratio

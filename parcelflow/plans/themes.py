@@ -135,12 +135,12 @@ def _home_columns() -> list[Column]:
                total("GMI", "GMI_TOT_RES")])
 
 
-# zero, not NULL, for a parcel without trips
-_ZERO_WITHOUT_TRIPS = (
+_TRIP_COUNTS = (
     [f"{m}_TOT_RES" for m in ["PT", "VT", "SOV", "HOV", "TRN", "BIK", "WLK", "SCB", "TNC"]]
     + ["TRN_LBUS_RES", "TRN_LRT_RES", "TRN_EBUS_RES", "PT_WRK_RES", "VT_WRK_RES"]
-    + [f"{m}_WRK_RES" for m in ["SOV", "HOV", "TRN", "BIK", "WLK", "TNC"]]
-    + ["VMT_WRK_RES", "CVMT_WRK_RES", "PHR_WRK_RES", "VHR_WRK_RES", "GMI_TOT_RES"])
+    + [f"{m}_WRK_RES" for m in ["SOV", "HOV", "TRN", "BIK", "WLK", "TNC"]])
+# zero, not NULL, for a parcel without trips
+_ZERO_WITHOUT_TRIPS = _TRIP_COUNTS + ["VMT_WRK_RES", "CVMT_WRK_RES", "PHR_WRK_RES", "VHR_WRK_RES", "GMI_TOT_RES"]
 
 
 def _role_rows(tours: DataFrame, subtours_by_origin: bool) -> DataFrame:
@@ -195,8 +195,7 @@ def tour_summary(tour: DataFrame, hh: DataFrame) -> DataFrame:
 
 
 TRIPTOUR_COLUMNS = (
-    _ZERO_WITHOUT_TRIPS[:14]
-    + _ZERO_WITHOUT_TRIPS[14:20] + ["PTO_TOT_RES", "PTO_WRK_RES"]
+    _TRIP_COUNTS + ["PTO_TOT_RES", "PTO_WRK_RES"]
     + [f"PTOUR{n}" for n in TOUR_MODES] + [f"WTOUR{n}" for n in TOUR_MODES if n != "SCB"]
     + ["II_VMT_RES", "VMT_WRK_RES", "II_CVMT_RES", "CVMT_WRK_RES", "PHR_TOT_RES", "VHR_TOT_RES", "PHR_WRK_RES",
        "VHR_WRK_RES", "GMI_TOT_RES", "JOB_ExWorker"] + [f"{m}_wrk_tourend" for m in WORK_END])

@@ -10,6 +10,7 @@ from parcelflow.functions import geometry as G
 from parcelflow.functions import scalars as S
 from parcelflow.operators import joins, spatial, windows
 from parcelflow.operators.aggregates import count_if, joined_names
+from parcelflow.session import materialize
 
 
 def major_transit_stops(lines: DataFrame, nodes: DataFrame, hf_minutes: float = K.HIGH_FREQUENCY_MINUTES,
@@ -28,7 +29,7 @@ def major_transit_stops(lines: DataFrame, nodes: DataFrame, hf_minutes: float =
     brt = F.coalesce(F.col("color") == K.BRT_COLOR, F.lit(False))
     often = lambda c: (F.col(c) > 0) & (F.col(c) <= hf_minutes)
     frequent = ~rail & ~brt & F.coalesce(often("headway1") & often("headway3"), F.lit(False))
-    served = served.withColumns({"rail": rail, "brt": brt, "hf": frequent})
+    served = materialize(served.withColumns({"rail": rail, "brt": brt, "hf": frequent}), "served-stops")  # used three times
     per = served.groupBy("node").agg(
         joined_names("line").alias("all_lines"), joined_names("line", F.col("rail")).alias("rail_lines"),
         joined_names("line", F.col("brt")).alias("brt_lines"), joined_names("line", F.col("hf")).alias("hifreq_lines"),

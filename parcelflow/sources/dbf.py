@@ -5,12 +5,18 @@ blocks, turns each block into whole columns and returns Arrow batches.
 
 Options: ``path`` (file, folder or glob on storage all executors see), ``encoding`` (default ascii),
 ``columns`` (comma-separated, only these are decoded), ``records_per_partition``.
+
+A file ends at its first end mark, which may stand before the file's end, and a number field may hold decimals that its declaration doesn't
+mention. ``read_dbf`` finds both in a first pass over the ranges, side by side, and reads the ranges in a second one.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -176,18 +182,76 @@ def records_before_mark(path: str, header: dict) -> int:
     return header["records"]
 
 
+def _size_ranges(path: str, encoding: str, per_task: int, ends: dict[str, int | None]) -> list[RecordRange]:
+    """Ranges of records by the files' sizes, up to the known ends."""
+    out = []
+    for f in _list_files(path):
+        n = read_header(f, encoding)["records"]
+        n = n if ends.get(f) is None else min(n, ends[f])
+        out += [RecordRange(f, first, max(0, min(per_task, n - first))) for first in range(0, max(n, 1), per_task)]
+    return out
+
+
+def holds_decimals(cells) -> bool:
+    """Whether a number field's cells hold anything but whole numbers and blanks."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    if not np.isin(cells, [0x2E, 0x2C]).any():  # no point, no comma
+        return False
+    try:
+        real = decode_column("N", 1, cells)
+    except pa.ArrowInvalid:
+        return False
+    return bool(pc.any(pc.not_equal(pc.floor(real), real)).as_py())
+
+
+class DbfSurvey(DataSourceReader):
+    """First pass: the first end mark of each range, and the whole-number fields that hold decimals before it."""
+
+    def __init__(self, options: dict, path: str):
+        self.path, self.encoding, self.per_task = path, options.get("encoding", "ascii"), int(options["records_per_partition"])
+
+    def partitions(self):
+        return _size_ranges(self.path, self.encoding, self.per_task, {})
+
+    def read(self, part):
+        import numpy as np
+        h = read_header(part.path, self.encoding)
+        size, mark, real = h["length"], None, set()
+        numbers = [(name, length, at) for name, kind, length, decimals, at in h["fields"] if kind == "N" and not decimals]
+        system, p = _filesystem(part.path)
+        with system.open_input_file(p) as f:
+            for done in range(0, part.count, BLOCK_RECORDS):
+                f.seek(h["data_at"] + (part.first + done) * size)
+                raw = f.read(min(BLOCK_RECORDS, part.count - done) * size)
+                rows = np.frombuffer(raw, dtype=np.uint8)[: len(raw) // size * size].reshape(-1, size)
+                end = np.flatnonzero(rows[:, 0] == 0x1A)
+                rows = rows[: end[0]] if len(end) else rows
+                kept = rows[rows[:, 0] == 0x20]
+                real |= {name for name, length, at in numbers if name not in real and len(kept) and holds_decimals(kept[:, at:at + length])}
+                if len(end):
+                    mark = part.first + done + int(end[0])
+                    break
+        yield (part.path, part.first, mark, sorted(real))
+
+
 class DbfReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict, path: str):
         self.names = [f.name for f in schema.fields]
         self.path, self.encoding = path, options.get("encoding", "ascii")
         self.real = _real_fields(options)
         self.per_task = int(options["records_per_partition"]) if "records_per_partition" in options else None
+        self.ends = json.loads(options["ends"]) if "ends" in options else None
         memo = [f.name for f in schema.fields if (f.metadata or {}).get("dbf_kind") in ("M", "G", "P")]
         if memo and options.get("ignore_missing_memofile", "false").lower() != "true":
             raise ValueError(f"memo files are not read: leave out {', '.join(memo)}, or set ignore_missing_memofile for NULLs")
 
     def partitions(self):
-        """A task per file, which reads to the end mark; with ``records_per_partition``, ranges up to the mark, which is looked for first."""
+        """Ranges up to the known ends after a survey. Else a task per file, which reads to the end mark; or, with ``records_per_partition``, ranges
+        up to the mark, which is looked for first."""
+        if self.ends is not None:
+            return _size_ranges(self.path, self.encoding, self.per_task, self.ends)
         out = []
         for f in _list_files(self.path):
             h = read_header(f, self.encoding)
@@ -232,6 +296,8 @@ class DbfDataSource(DataSource):
         return "dbf"
 
     def schema(self):
+        if self.options.get("survey") == "true":
+            return "file string, first long, mark long, real array<string>"
         h = read_header(_list_files(self.options["path"])[0], self.options.get("encoding", "ascii"))
         wanted = [c.strip() for c in self.options.get("columns", "").split(",") if c.strip()]
         real = _real_fields(self.options)
@@ -241,6 +307,8 @@ class DbfDataSource(DataSource):
         return T.StructType(fields)
 
     def reader(self, schema):
+        if self.options.get("survey") == "true":
+            return DbfSurvey(self.options, self.options["path"])
         return DbfReader(schema, self.options, self.options["path"])
 
 
@@ -249,3 +317,21 @@ def register_dbf(spark: SparkSession) -> None:
     import sys
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(DbfDataSource)
+
+
+def read_dbf(spark: SparkSession, path: str, records_a_task: int = 1_000_000, **options) -> DataFrame:
+    """DBF files as a table, in two passes over ranges of ``records_a_task`` records; ``options`` are those of the source.
+
+    The first pass looks in all ranges at once for end marks and for number fields that hold decimals without saying so; per file the smallest
+    mark is its end. The second pass reads the ranges before the ends, such fields as doubles. One row per file and the fields' names reach the driver.
+    """
+    from parcelflow.session import materialize, release
+    register_dbf(spark)
+    reader = lambda more: spark.read.format("dbf").options(**options, records_per_partition=records_a_task, **more).load(path)
+    seen = materialize(reader({"survey": "true"}), "dbf-survey")
+    ends = seen.groupBy("file").agg(F.min("mark").alias("end"))
+    known = {r["file"]: r["end"] for r in ends.collect()}
+    before = seen.join(ends, "file").where(F.col("end").isNull() | (F.col("first") < F.col("end")))
+    real = {r["name"] for r in before.select(F.explode("real").alias("name")).distinct().collect()} | _real_fields(options)
+    release(seen)
+    return reader({"ends": json.dumps(known), "real_fields": ",".join(sorted(real))})

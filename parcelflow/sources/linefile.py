@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parcelflow.constants import LINE_FILE_ITEMS_PER_ROW
-from parcelflow.operators.windows import mark_changes, running_total
 from parcelflow.sources.sinks import write_text_parts
 
 # --- fixed values: attribute names of the line file, in output order ------------------------------
@@ -101,21 +100,24 @@ def line_file_rows(lines: DataFrame, nodes: DataFrame) -> DataFrame:
         lambda k: F.concat(F.array_join(F.slice(attrs, k * per + 1, F.lit(per)), ", "), F.lit(",")))).alias("row", "text"))
     head = head.select("line_name", F.lit(0).alias("section"), F.col("row").cast("bigint").alias("row"), "text")
 
+    # a line is one record of the reader, so its nodes fit one task: one window a line
     known = nodes.join(lines.select("line_name"), "line_name", "left_semi")
-    marked = mark_changes(known, ["line_name"], "seq", "tf", "new_tf", "0")
-    marked = marked.withColumns({"one": F.lit(1), "width": F.when(F.col("new_tf").isNull(), 1).otherwise(2)})
-    marked = running_total(marked, ["line_name"], "seq", {"number": "one", "upto": "width"})
-    marked = marked.withColumns({"first": F.col("number") == 1, "before": F.col("upto") - F.col("width")})
+    line = Window.partitionBy("line_name")
+    order = line.orderBy("seq")
+    marked = known.withColumns({"first": F.row_number().over(order) == 1, "__pv": F.lag("tf").over(order)})
+    marked = marked.withColumn("new_tf", F.when(F.coalesce("__pv", F.lit("0")) != F.col("tf"), F.col("tf")))
+    marked = marked.withColumn("width", F.when(F.col("new_tf").isNull(), 1).otherwise(2))
+    upto, all_of = F.sum("width").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.sum("width").over(line)
+    marked = marked.withColumns({"before": upto - F.col("width"), "last": F.floor((all_of - 1) / per).cast("bigint")})
     sign = F.when(F.col("stop") == "N", F.lit("-")).otherwise(F.lit(""))
     node, tf = F.concat(F.lit("N="), sign, F.col("node").cast("string")), F.concat(F.lit("TF="), F.col("new_tf"))
     items = F.when(F.col("new_tf").isNull(), F.array(node)).when(F.col("first"), F.array(node, tf)).otherwise(F.array(tf, node))
-    each = marked.select("line_name", "before", F.posexplode(items).alias("k", "item")).withColumn("at", F.col("before") + F.col("k"))
+    each = marked.select("line_name", "before", "last", F.posexplode(items).alias("k", "item")).withColumn("at", F.col("before") + F.col("k"))
     rows = each.groupBy("line_name", F.floor(F.col("at") / per).cast("bigint").alias("row")).agg(
-        F.sort_array(F.collect_list(F.struct("at", "item"))).alias("items"))  # at most eight
-    total = each.groupBy("line_name").agg(F.max(F.floor(F.col("at") / per)).alias("last"))
+        F.sort_array(F.collect_list(F.struct("at", "item"))).alias("items"), F.max("last").alias("last"))  # at most eight
     text = F.concat(F.lit("\t"), F.array_join(F.transform("items", lambda t: t["item"]), ", "),
                     F.when(F.col("row") < F.col("last"), F.lit(",")).otherwise(F.lit("")))
-    body = rows.join(total, "line_name").select("line_name", F.lit(1).alias("section"), "row", text.alias("text"))
+    body = rows.select("line_name", F.lit(1).alias("section"), "row", text.alias("text"))
     return head.unionByName(body)
 
 

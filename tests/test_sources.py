@@ -328,3 +328,29 @@ def test_gtfs_rejects(spark, tmp_path):
         assert [(r.line, r.reason) for r in rejects.collect()] == [(40_002, "monday is no int: bad")] and tables["calendar"].count() == 59_999
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_read_dbf_in_two_passes(spark, tmp_path):
+    """Three split sizes give equal rows; ends at early marks, decimals in whole-number fields, deleted records, several files."""
+    folder = tmp_path / "many"
+    folder.mkdir()
+    rows = lambda k, n: [[str(k * 1000 + i).rjust(6).encode(), (f"{i / 4:6.2f}" if k == 1 else f"{i:6d}").encode()] for i in range(n)]
+    fields = [("ID", "N", 6, 0), ("V", "N", 6, 0)]
+    for k, n in ((0, 50), (1, 41), (2, 0), (3, 30)):
+        write_dbf(str(folder / f"f{k}.dbf"), fields, rows(k, n), deleted=(3,) if n else ())
+    data = bytearray((folder / "f3.dbf").read_bytes())
+    at = 33 + 32 * 2
+    data[at + 13 * 12] = 0x1A  # the twelfth record ends the file; behind it are decimals that don't count
+    data[at + 13 * 20 + 7:at + 13 * 20 + 13] = b"  1.25"
+    data[at + 13 * 25] = 0x1A
+    (folder / "f3.dbf").write_bytes(bytes(data))
+    want = sorted((k * 1000 + i, i / 4 if k == 1 else float(i)) for k, n in ((0, 50), (1, 41), (3, 12)) for i in range(n) if i != 3)
+    for size in (7, 20, 1_000_000):
+        df = dbf.read_dbf(spark, str(folder), size)
+        assert sorted(map(tuple, df.collect())) == want and dict(df.dtypes) == {"ID": "bigint", "V": "double"}
+    only = dbf.read_dbf(spark, str(folder / "f3.dbf"), 5, columns="V")
+    assert sorted(r.V for r in only.collect()) == [i for i in range(12) if i != 3] and dict(only.dtypes) == {"V": "bigint"}
+    import unittest.mock
+    reader = dbf.DbfReader(only.schema, {"ends": "{}", "records_per_partition": "5"}, str(folder / "f3.dbf"))
+    with unittest.mock.patch.object(dbf, "records_before_mark", side_effect=AssertionError):  # no sequential look while planning
+        assert len(reader.partitions()) == 6
