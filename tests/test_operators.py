@@ -471,14 +471,15 @@ def test_searches_read_few_candidates(spark):
 def test_directory_splits_crowded_cells(spark):
     _, L_, _, _ = crowd(spark, 4000, 1, spread=20.0)
     e = L_.select("c", F.explode(G.edges("points")).alias("e")).select("c", "e.*")
-    cells = spatial._directory(e, ["c"], F.lit(16.0), 50)
+    cells, levels = spatial._directory(e, ["c"], F.lit(16.0), 50)
+    assert levels[-1] == cells.agg(F.max("level")).first()[0]
     sizes = cells.groupBy("c", "level", "__cx", "__cy").count().collect()
     assert max(r["count"] for r in sizes) <= 50 and len({r.level for r in sizes}) > 1
     boxes = sorted((r["__cx"] * 16 / 2 ** r.level, r["__cy"] * 16 / 2 ** r.level, 16 / 2 ** r.level) for r in sizes)
     assert not any(x < u + v and u < x + w and y < z + v and z < y + w for i, (x, y, w) in enumerate(boxes) for u, z, v in boxes[i + 1:i + 60])  # none overlap
     assert cells.select("x1", "y1", "x2", "y2").distinct().count() == e.distinct().count()
     knot = spark.createDataFrame([(1, 0.0, 0.0, math.cos(a), math.sin(a)) for a in range(40)], "c int, x1 double, y1 double, x2 double, y2 double")
-    assert spatial._directory(knot, ["c"], F.lit(8.0), 10).where(f"level = {spatial.DEEPEST}").count() >= 10  # edges that meet in one point
+    assert spatial._directory(knot, ["c"], F.lit(8.0), 10)[0].where(f"level = {spatial.DEEPEST}").count() >= 10  # edges that meet in one point
 
 
 def test_search_order_angle_and_radius(spark):

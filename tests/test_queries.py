@@ -10,7 +10,9 @@ from checks import compare, registry
 SF = "/root/testdata/sf0.001"
 SHORT = ["theme_household", "theme_person", "theme_telework", "theme_external_travel", "mix_density", "qa_reconcile", "topline_summary",
          "free_flow_speeds", "percentiles_hot_groups", "attribute_change_years", "check_transit_links", "line_tables_round_trip",
-         "overlay", "buffered_zone_sums", "compare_runs", "malformed_report"]
+         "overlay", "buffered_zone_sums", "compare_runs", "malformed_report", "overlay_polygons", "buffered_zone_polygons", "previous_by_microsecond",
+         "carry_by_text", "cumulative_stddev_far_from_zero", "contained_large_sets", "ordered_sink", "publish_guarded", "read_gtfs_rejects", "dbf_two_passes",
+         "load_raw_kinds"]
 
 
 def test_every_query_has_a_check():
