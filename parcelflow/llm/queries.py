@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontamination, line_dedup, minhash, negatives, packing, personal, quality, repair, secrets, sharding, toxicity, warc
+from . import chat, decontamination, line_dedup, minhash, negatives, packing, personal, quality, repair, secrets, sharding, sql, toxicity, warc
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -43,7 +43,7 @@ def op1(spark, sf_dir):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-@query("op2_decontamination")
+@query("op2_decontamination", sql.OP2)
 def op2(spark, sf_dir):
     found = decontamination.contaminated_words(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -78,7 +78,7 @@ def op6(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-@query("op7_warc_normaliser")
+@query("op7_warc_normaliser", sql.OP7)
 def op7(spark, sf_dir):
     read = warc.archive_pages(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -91,7 +91,7 @@ def op8(spark, sf_dir):
     return chain.score(docs).select("doc_id", "p_quality", "p_toxic", F.col("rejected").alias("toxic"))
 
 
-@query("op9_chat_formatting")
+@query("op9_chat_formatting", sql.OP9)
 def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -105,33 +105,13 @@ def op9(spark, sf_dir):
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-@query("op10_circulant_minhash")
+@query("op10_circulant_minhash", sql.OP10)
 def op10(spark, sf_dir):
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-#: Every anchor against every row: fast on small tables only.
-OP11_SQL = """
-WITH fine AS (
-  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
-  FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-scored AS (
-  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
-  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
-positives AS (
-  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scored WHERE alike
-  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
-ranked AS (
-  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank, id AS negative_id,
-    positive_score, score AS negative_score
-  FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT alike AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
-SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
-"""
-
-
-@query("op11_hard_negatives", OP11_SQL)
+@query("op11_hard_negatives", sql.OP11)
 def op11(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
