@@ -354,3 +354,22 @@ def test_read_dbf_in_two_passes(spark, tmp_path):
     reader = dbf.DbfReader(only.schema, {"ends": "{}", "records_per_partition": "5"}, str(folder / "f3.dbf"))
     with unittest.mock.patch.object(dbf, "records_before_mark", side_effect=AssertionError):  # no sequential look while planning
         assert len(reader.partitions()) == 6
+
+
+def test_dbf_writer_holds_one_file_at_a_time(tmp_path):
+    """A partition of any size goes out in files of a bounded number of records, each while the rows come in."""
+    import pandas as pd
+    from checks import dbf_files
+    drawn = []
+
+    def batches():
+        for i in range(6):
+            drawn.append(i)
+            yield pd.DataFrame({"record": [f" {i * 100_000 + j:8d}" for j in range(100_000)]})
+    out = dbf_files._writer([("ID", "N", 8, 0)], str(tmp_path / "d"))(batches())
+    first = next(out)
+    assert first["n"][0] == dbf_files.FILE_RECORDS and len(drawn) < 6
+    rest = [x for x in out]
+    assert sum(x["n"][0] for x in rest) + first["n"][0] == 600_000 and len(list((tmp_path / "d").glob("*.dbf"))) == 3
+    empty = list(dbf_files._writer([("ID", "N", 8, 0)], str(tmp_path / "e"))(iter([])))
+    assert [x["n"][0] for x in empty] == [0]
