@@ -600,3 +600,30 @@ def test_dyadic_blocks(spark):
     for r in df.withColumn("out", dyadic_blocks(F.col("a"), F.col("b"))).collect():
         cells = sorted(c for k in r.out for c in range(k.at << k.level, (k.at + 1) << k.level))
         assert cells == list(range(r.a, r.b + 1)) and len(r.out) <= 2 * max(1, (r.b - r.a + 1).bit_length())
+
+
+def test_sum_within_looks_only_along_the_outline(spark):
+    """Cells within reach of an edge are whole or crossed by the outline; the crossed ones grow with its length, not with the area."""
+    corners = [(0.0, 0.0, 40.0, 20.0), (0.0, 0.0, 0.0, 30.0), (3.0, 4.0, -50.0, 4.0), (5.5, 5.5, 5.5, 5.5), (60.0, 3.0, 5.0, 77.0)]
+    edges = spark.createDataFrame([(i, *c) for i, c in enumerate(corners)], "i int, x1 double, y1 double, x2 double, y2 double")
+    counts = {}
+    for cell in (8.0, 2.0):
+        got = {}
+        for r in spatial._reach_rows(edges, F.lit(13.0), F.lit(cell)).withColumn("mixed", spatial._mixed()).collect():
+            for cx in r.mixed:
+                assert got.setdefault((r.i, cx, r.cy), "mixed") == "mixed"
+            for cx in range(r.f0, r.f1 + 1) if r.f0 is not None else ():
+                assert (r.i, cx, r.cy) not in got
+                got[r.i, cx, r.cy] = "whole"
+        for i, (x1, y1, x2, y2) in enumerate(corners):
+            for cx in range(int(-80 / cell), int(90 / cell)):
+                for cy in range(int(-30 / cell), int(100 / cell)):
+                    far = [edge_d((cx + a) * cell, (cy + b) * cell, (x1, y1), (x2, y2)) for a in (0, 1) for b in (0, 1)] if (x1, y1) != (x2, y2) else [
+                        math.hypot((cx + a) * cell - x1, (cy + b) * cell - y1) for a in (0, 1) for b in (0, 1)]
+                    kind = got.get((i, cx, cy))
+                    assert (max(far) <= 13.0) or kind != "whole", (i, cx, cy, far)
+                    assert min(far) > 13.0 - 1e-9 or kind, (i, cx, cy, far)
+        counts[cell] = sum(k == "mixed" for k in got.values())
+    assert counts[2.0] < 6 * counts[8.0]
+    dense = spark.createDataFrame([(float(i % 100), float(i // 100)) for i in range(10000)], "x double, y double")
+    assert spatial._finer(dense, 128.0) <= 8.0 and spatial._finer(dense.where("x < 1 AND y < 1"), 128.0) == 128.0
