@@ -627,3 +627,16 @@ def test_sum_within_looks_only_along_the_outline(spark):
     assert counts[2.0] < 6 * counts[8.0]
     dense = spark.createDataFrame([(float(i % 100), float(i // 100)) for i in range(10000)], "x double, y double")
     assert spatial._finer(dense, 128.0) <= 8.0 and spatial._finer(dense.where("x < 1 AND y < 1"), 128.0) == 128.0
+
+
+def test_overlay_slots_list_few_strips_twice(spark):
+    """Crowded cells: the strips' places in slots grow as the strips, however many share a cell."""
+    for n, mean in ((100, 0.001), (2000, 0.25), (50_000, 0.25), (50_000, 1.0)):
+        slots = spark.range(1).select(spatial._slots(F.lit(n), F.lit(n * mean)).alias("s")).first().s
+        assert 1 <= slots <= -(-n // 16) and slots * mean <= 4.0
+    parts = polygons(spark, {i: [box(i % 40, 0, i % 40 + 20, 10)] for i in range(200)}).withColumnsRenamed({"id": "parcelid", "rings": "part_ring"})
+    zones = polygons(spark, {0: [box(5, 2, 45, 8)], 1: [box(30, -5, 90, 5)]}).withColumnsRenamed({"id": "zone_id", "rings": "zone_ring"})
+    got = {(r.parcelid, r.zone_id): r.piece_area for r in spatial.overlay(parts, zones, 100.0).collect()}
+    for i in range(200):
+        for z, (x0, x1, h) in {0: (5, 45, 6.0), 1: (30, 90, 5.0)}.items():
+            assert math.isclose(got.get((i, z), 0.0), max(0, min(i % 40 + 20, x1) - max(i % 40, x0)) * h, abs_tol=1e-9)
