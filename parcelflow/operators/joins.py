@@ -104,24 +104,32 @@ def calc_field(df: DataFrame, out: str, op: str, *args) -> DataFrame:
 
 
 def _set_classes(u: DataFrame) -> DataFrame:
-    """(owner, class, size): owners with equal sets have one class, known by its size and two sums of hashes of its items."""
+    """(class, owner, size, bits): owners with equal sets, known by their size and two sums of hashes of their items, have the least of them as class.
+
+    ``bits`` has one of 64 bits set for each item, by its hash: a set that contains another has all of its bits.
+    """
     h = lambda *c: F.xxhash64(*c, F.col("__i"))
-    key = u.groupBy("__o").agg(F.count(F.lit(1)).alias("__size"), F.bit_xor(h()).alias("x"), F.bit_xor(h(F.lit(1))).alias("y"))
-    return key.select("__o", F.struct("__size", "x", "y").alias("__class"), "__size")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h(F.lit(2)), F.lit(64)).cast("int"))
+    known = u.groupBy("__o").agg(F.count(F.lit(1)).alias("__size"), F.bit_xor(h()).alias("__x"), F.bit_xor(h(F.lit(1))).alias("__y"), F.bit_or(bit).alias("__bits"))
+    known = materialize(known, "set-hashes")
+    least = known.groupBy("__size", "__x", "__y").agg(F.min("__o").alias("__class"))
+    return known.join(least, ["__size", "__x", "__y"]).select("__class", "__o", "__size", "__bits")
 
 
 def _rarest(sets: DataFrame, prefix: int) -> DataFrame:
-    """(class, size, item, at): the ``prefix`` rarest items of each set, numbered from 1."""
+    """(class, size, bits, item, at): the ``prefix`` rarest items of each set, numbered from 1."""
     freq = sets.groupBy("__i").agg(F.count(F.lit(1)).alias("__f"))
     order = Window.partitionBy("__class").orderBy("__f", "__i")
-    return sets.join(freq, "__i").withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= prefix).select("__class", "__size", "__i", "__at")
+    rare = sets.join(freq, "__i").withColumn("__at", F.row_number().over(order)).where(F.col("__at") <= prefix)
+    return rare.select("__class", "__size", "__bits", "__i", "__at")
 
 
 def _containers(sets: DataFrame, rare: DataFrame, prefix: int) -> DataFrame:
-    """(small, big, size): pairs of sets where the larger one has all rarest items of the smaller one."""
-    big = sets.select(F.col("__class").alias("__big"), "__i", F.col("__size").alias("__room"))
-    small = rare.select(F.col("__class").alias("__small"), "__size", "__i", "__at")
-    pairs = small.where("__at = 1").join(big, "__i").where("__room > __size").select("__small", "__big", "__size")
+    """(small, big, size): pairs of sets where the larger one has all bits and all rarest items of the smaller one."""
+    big = sets.select(F.col("__class").alias("__big"), "__i")
+    room = sets.select(F.col("__class").alias("__big"), "__i", F.col("__size").alias("__room"), F.col("__bits").alias("__has"))
+    small = rare.select(F.col("__class").alias("__small"), "__size", "__bits", "__i", "__at")
+    pairs = small.where("__at = 1").join(room, "__i").where("__room > __size AND (__bits & __has) = __bits").select("__small", "__big", "__size")
     for k in range(2, prefix + 1):
         item = small.where(F.col("__at") == k).select("__small", "__i")
         pairs = pairs.join(item, "__small", "left").join(big.select("__big", "__i", F.lit(True).alias("__has")), ["__big", "__i"], "left").where(
@@ -132,14 +140,15 @@ def _containers(sets: DataFrame, rare: DataFrame, prefix: int) -> DataFrame:
 def contained_sets(items: DataFrame, owner: str, item: str, prefix: int = 4) -> DataFrame:
     """Ordered pairs (a, b) of different owners where one's items are a subset of the other's. NULL items count for nothing.
 
-    Owners with equal sets are one set while sets are compared. A set that contains another is larger and has all of its ``prefix`` rarest
-    items: the rarest one gives the pairs, each further one leaves only those that have it too, and what is left is decided by counting
-    common items. Sets that merely share a common item never meet.
+    Owners with equal sets are one set, named by the least of them, while sets are compared. A set that contains another is larger, has all bits
+    of its hashed items and all of its ``prefix`` rarest items: the rarest one gives the pairs, of which only those with all bits leave the join,
+    each further one leaves only those that have it too, and what is left is decided by counting common items. Sets that merely share a common
+    item never meet.
     """
     u = materialize(items.select(F.col(owner).alias("__o"), F.col(item).alias("__i")).where(F.col("__i").isNotNull()).distinct(), "set-items")
     classes = materialize(_set_classes(u), "set-classes")
-    one = classes.groupBy("__class", "__size").agg(F.min("__o").alias("__o"))
-    sets = materialize(u.join(one, "__o").select("__class", "__size", "__i"), "sets")
+    one = classes.where("__o = __class").drop("__class")
+    sets = materialize(u.join(one, "__o").select(F.col("__o").alias("__class"), "__size", "__bits", "__i"), "sets")
     rare = materialize(_rarest(sets, prefix), "rarest")
     cand = materialize(_containers(sets, rare, prefix), "containers")
     has = sets.select(F.col("__class").alias("__big"), "__i")

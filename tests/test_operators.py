@@ -346,6 +346,20 @@ def test_contained_large_sets_meet_few_others(spark):
     assert seen[0] < 200 + len(big) + 30  # the set {1000} is in all; of the 30 others each is in one or two
 
 
+def test_sets_with_one_item_in_common_leave_no_pair(spark):
+    """Sets of several items that share their rarest one: the hashed items tell them apart before pairs are moved."""
+    sets = {i: {0, *range(1 + 3 * i, 4 + 3 * i)} for i in range(40)} | {100: {0}, 101: {0, 1, 2}, 102: {0, 1, 2}}
+    df = spark.createDataFrame([(o, x) for o, s in sets.items() for x in s], "o int, i int")
+    classes = J._set_classes(df.toDF("__o", "__i"))
+    assert {r["__o"]: r["__class"] for r in classes.collect()}[102] == 101
+    one = classes.where("__o = __class").drop("__class")
+    all_sets = df.toDF("__o", "__i").join(one, "__o").withColumnRenamed("__o", "__class")
+    rare = all_sets.where("__i = 0").withColumn("__at", F.lit(1))
+    assert J._containers(all_sets, rare, 1).count() < 100  # of 1722 pairs by the item alone; 42 are for the set {0}
+    got = {tuple(r) for r in J.contained_sets(df, "o", "i").collect()}
+    assert got == {(a, b) for a in sets for b in sets if a != b and (sets[a] <= sets[b] or sets[b] <= sets[a])}
+
+
 def test_keep_all(spark):
     dim = spark.createDataFrame([(1,), (2,)], "k int")
     s = spark.createDataFrame([(1, None, 4)], "k int, a int, b int")
