@@ -57,7 +57,8 @@ def in_parts(df: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) ->
     """The rows with ``__part``, and those of them whose group has several parts, or None if there are none.
 
     Parts of a group follow one another in the given order. Groups of more than ``chunk`` rows are range partitioned; the sort needs no value
-    to be of any type or scale, and equal orders stay in one part. All others are part 0 and not moved.
+    to be of any type or scale, and equal orders stay in one part. All others are part 0 and not moved. There are no more parts than a shuffle
+    has tasks as long as these have at most ``CHUNK`` rows: far smaller parts, each a task and a file, cost more than what is in them.
     """
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > chunk)
     n = sizes.agg(F.sum("__n")).first()[0]  # one number
@@ -68,7 +69,9 @@ def in_parts(df: DataFrame, keys: list[str], order: str, chunk: int = CHUNK) ->
         large, rest = join_same(df, sizes.select(*keys), keys, "left_semi"), join_same(df, sizes.select(*keys), keys, "left_anti")
     else:
         large, rest = df, None
-    ranged = large.repartitionByRange(-(-int(n) // chunk), *keys, order)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(-(-int(n) // chunk), max(tasks, -(-int(n) // CHUNK)))
+    ranged = large.repartitionByRange(parts, *keys, order)
     large = materialize(ranged.withColumn(PART, F.spark_partition_id()), "ranges")
     return (large if rest is None else large.unionByName(rest.withColumn(PART, F.lit(0)))), large
 

@@ -257,6 +257,15 @@ def test_ordered_operators_of_any_key_and_order(spark):
         assert pairs.count() == len(rows) - max(1, df.select(*keys, F.lit(1)).distinct().count())
 
 
+def test_parts_of_a_large_group_are_no_more_than_tasks(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS k", "id AS o", "CAST(id AS DOUBLE) AS v")
+    rows, large = W.in_parts(df, ["k"], "o", chunk=1)
+    assert 1 < large.select(W.PART).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.count() == 3000
+    total = W.running_total(df, ["k"], "o", {"t": "v"}, chunk=1)
+    assert {(r.o, r.t) for r in total.collect()} == {(o, float(sum(range(o % 2, o + 1, 2)))) for o in range(3000)}
+
+
 def test_no_task_orders_a_whole_large_group(spark):
     df = spark.range(20_000).selectExpr("CASE WHEN id % 3 = 0 THEN id ELSE NULL END AS k", "CAST(1e15 AS BIGINT) + id * id AS o")  # two thirds under a NULL key
     rows, large = W.in_parts(df, ["k"], "o", 1000)
