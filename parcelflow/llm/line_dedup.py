@@ -82,10 +82,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = 3, min_words: int = 3, max_sha
     """
     keyed = core(docs, doc_id=id_col, text=text_col, site=site_col).withColumn("site", F.col("site").cast("string"))
     keyed = keyed.withColumn("key", text_key(F.col("text")))
-    lines = _line_rows(keyed, min_words)
+    lines = materialize(_line_rows(keyed, min_words), "lines")  # read three times below; texts are cut and hashed once
     common = spread_lines(lines, min_sites)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key.a", "key.b", "at")
     hits = materialize(lines.join(common, "line", "left_semi").select("line", "doc_id", "key", "at", "n_words").distinct(), "line-hits")
+    release(lines)
     first = materialize(hits.groupBy("line").agg(F.min(order).alias("first")), "first-lines")
     kept = hits.select("*", order.alias("place")).join(first, "line").withColumn("goes", ~F.col("place").eqNullSafe(F.col("first")))
     goes, origin = F.col("goes"), F.struct("first.last", "first.doc_id", "first.a", "first.b")

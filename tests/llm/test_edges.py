@@ -114,6 +114,15 @@ def test_lines(spark, docs, empty):
     assert line_dedup.dedup_lines(docs).count() == docs.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_lines_are_cut_once(spark, monkeypatch):
+    """What counts sites reads written lines, not the texts again."""
+    df = spark.createDataFrame([(i, "one line of several sites\nown line of page %d" % i, f"s{i}") for i in range(6)], "doc_id long, text string, source string")
+    plain_spread, read = line_dedup.spread_lines, []
+    monkeypatch.setattr(line_dedup, "spread_lines", lambda lines, *a: read.extend(lines.inputFiles()) or plain_spread(lines, *a))
+    assert sorted((r.doc_id, r.n_removed) for r in line_dedup.dedup_lines(df).collect()) == [(i, int(i > 0)) for i in range(6)]
+    assert read and all("/lines-" in path for path in read)
+
+
 def test_lines_go_whatever_their_share(spark):
     """A 60-word passage on 15 sites in documents of 80 words and of 65 to 119 goes; copies of a page, one with a word changed, stay whole."""
     rng = random.Random(8)
