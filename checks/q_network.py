@@ -188,8 +188,8 @@ def _joined(spark, sf):
    SELECT k, m, 'orders' AS side FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.k = a.k AND b.m = a.m)
    UNION ALL SELECT k, m, 'lines' FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.k = a.k AND b.m = a.m)""")
 def _only(spark, sf):
-    a = table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 5 AS m").distinct()
-    b = table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "l_suppkey % 5 AS m").distinct()
+    a = J.dealt(table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 5 AS m"), ["k", "m"]).distinct()
+    b = J.dealt(table(spark, sf, "lineitem").selectExpr("l_orderkey AS k", "l_suppkey % 5 AS m"), ["k", "m"]).distinct()
     return J.only_in_each(a, b, ["k", "m"], ("orders", "lines"))
 
 

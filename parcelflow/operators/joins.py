@@ -42,11 +42,22 @@ def compare_vintages(old: DataFrame, new: DataFrame, key: str, value: str, tags=
     return out.withColumn(change, F.col(f"{value}_{b}") - F.col(f"{value}_{a}"))
 
 
+def dealt(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows by key in as many tasks as a shuffle has: for steps whose tasks hold what they read, and so must not be put together by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def only_in_each(left: DataFrame, right: DataFrame, on: list[str], names=("first", "second"), side: str = "side") -> DataFrame:
-    """Rows of either table without partner in the other."""
-    a = left.join(right.select(*on), on, "left_anti").withColumn(side, F.lit(names[0]))
-    b = right.join(left.select(*on), on, "left_anti").withColumn(side, F.lit(names[1]))
-    return a.unionByName(b)
+    """Rows of either table without partner in the other; a row with a NULL key has none.
+
+    Both tables are sorted once, together: a key is kept where all its rows are of one side. The tables are dealt out to all tasks.
+    """
+    tag = lambda df, name, first: dealt(df, on).withColumns({side: F.lit(name), "__first": F.lit(first)})
+    both = tag(left, names[0], True).unionByName(tag(right, names[1], False))
+    of_key = Window.partitionBy(*on)
+    marked = both.withColumns({"__any": F.max("__first").over(of_key), "__all": F.min("__first").over(of_key)})
+    alone = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on], F.col("__any") == F.col("__all"))
+    return marked.where(alone).drop("__first", "__any", "__all")
 
 
 def in_set(df: DataFrame, members: DataFrame, on: list[str]) -> DataFrame:

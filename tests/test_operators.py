@@ -369,6 +369,16 @@ def test_sets_with_one_item_in_common_leave_no_pair(spark):
     assert got == {(a, b) for a in sets for b in sets if a != b and (sets[a] <= sets[b] or sets[b] <= sets[a])}
 
 
+def test_only_in_each_sorts_once_in_all_tasks(spark):
+    """Repeated rows, NULL keys and other columns stay; one sort, and no partition is put together with others."""
+    left = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (2, "b", 2), (None, "c", 3), (3, "d", 4)], "k int, m string, v int")
+    right = spark.createDataFrame([(2, "b", 9), (3, "x", 8), (None, "c", 7), (3, "x", 6)], "k int, m string, v int")
+    out = J.only_in_each(left, right, ["k", "m"], ("same", "same"))
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [
+        (1, "a", 1, "same"), (1, "a", 1, "same"), (None, "c", 3, "same"), (3, "d", 4, "same"), (3, "x", 8, "same"), (None, "c", 7, "same"), (3, "x", 6, "same")]))
+    assert out.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_keep_all(spark):
     dim = spark.createDataFrame([(1,), (2,)], "k int")
     s = spark.createDataFrame([(1, None, 4)], "k int, a int, b int")
