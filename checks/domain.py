@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parcelflow.operators.joins import dealt
+
 
 def _d(e: str) -> str:
     return f"CAST({e} AS DOUBLE)"
@@ -172,6 +174,8 @@ DERIVED = {
 }
 DERIVED_NEEDS = {"g_routes": ["g_routes_raw"], "g_calendar": ["g_calendar_raw", "g_trips"], "g_stop_times": ["g_stops_raw", "g_trips"],
                  "t_node_xy": ["t_coords"]}
+#: The key that a view's tables are joined on, where both are large: they are dealt out to all tasks by it.
+DERIVED_BY = {"g_stop_times": "trip_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,6 +188,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         source, cols = VIEWS[name]
         return table(spark, sf_dir, source).selectExpr(*[f"{e} AS {c}" for c, e in cols.items()])
     needs = {n: view(spark, sf_dir, n) for n in DERIVED_NEEDS[name]}
+    if name in DERIVED_BY:
+        needs = {n: dealt(v, [DERIVED_BY[name]]) for n, v in needs.items()}
     text = DERIVED[name]
     for n in needs:
         text = text.replace(f"FROM {n}", "FROM {" + n + "}").replace(f"JOIN {n} ", "JOIN {" + n + "} ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelflow.operators.joins import union_all
+from parcelflow.operators.joins import dealt, union_all
 
 # --- fixed values: feed columns in use ---------------------------------------------------------
 GTFS_COLUMNS = {
@@ -91,8 +91,8 @@ def read_shapes(spark: SparkSession, folder: str, spec: dict[str, dict[str, str]
 
 
 def stop_events(tables: dict[str, DataFrame]) -> DataFrame:
-    """Routes with their trips, stop times and service days, as one wide table."""
-    t = tables
-    return (t["routes"].join(t["trips"], ["agency", "route_id"], "left")
-            .join(t["stop_times"], ["agency", "trip_id"], "left")
+    """Routes with their trips, stop times and service days, as one wide table. Trips and stop times meet in as many tasks as a shuffle has."""
+    t, trip = tables, ["agency", "trip_id"]
+    return (dealt(t["routes"].join(t["trips"], ["agency", "route_id"], "left"), trip)
+            .join(dealt(t["stop_times"], trip), trip, "left")
             .join(t["calendar"], ["agency", "service_id"], "left"))

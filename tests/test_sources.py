@@ -373,3 +373,23 @@ def test_dbf_writer_holds_one_file_at_a_time(tmp_path):
     assert sum(x["n"][0] for x in rest) + first["n"][0] == 600_000 and len(list((tmp_path / "d").glob("*.dbf"))) == 3
     empty = list(dbf_files._writer([("ID", "N", 8, 0)], str(tmp_path / "e"))(iter([])))
     assert [x["n"][0] for x in empty] == [0]
+
+
+def test_stop_times_meet_trips_in_all_tasks(spark, tmp_path):
+    """Partitions of the large joins of a feed are not put together by their size, as a task holds what it reads."""
+    from checks.domain import view
+    spark.range(50).selectExpr("id AS o_orderkey", "id * 7 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(200).selectExpr("id % 60 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "id AS l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    times = view(spark, str(tmp_path), "g_stop_times")
+    least = {}
+    for i in range(200):
+        key = (i % 60, i % 4)
+        if key[0] < 50:
+            least[key] = min(least.get(key, i), i)
+    assert {(r.trip_id, r.stop_sequence): r.stop_id for r in times.collect()} == least and times.count() == len(least)
+    assert times.rdd.getNumPartitions() == tasks
+    feed = {"routes": spark.sql("SELECT 'a' AS agency, 'r' AS route_id"), "trips": spark.range(9).selectExpr("'a' AS agency", "'r' AS route_id", "id AS trip_id", "'s' AS service_id"),
+            "stop_times": spark.range(27).selectExpr("'a' AS agency", "id % 9 AS trip_id", "id AS stop_id"), "calendar": spark.sql("SELECT 'a' AS agency, 's' AS service_id, 1 AS monday")}
+    events = gtfs.stop_events(feed)
+    assert events.count() == 27 and events.rdd.getNumPartitions() >= tasks
