@@ -501,6 +501,22 @@ def test_searches_read_few_candidates(spark):
     assert 4 * first <= pairs and 4 * (sum(seen) - first) <= pairs
 
 
+def test_only_edges_within_the_bound_are_sorted(spark):
+    """Of the edges within reach of a place, only those as near as the nearest of its own cell go on to be sorted, however many there are."""
+    P_, L_, pts, lines = crowd(spark, 3000, 300, spread=30.0)
+    seen, plain = [], spatial._best
+    spatial._best = lambda near, loc: seen.append(near.count()) or plain(near, loc)
+    try:
+        got = {r.link_id: r.distance for r in spatial.nearest_line(P_, L_, ["c"], [spatial.Search(6.0)]).collect()}
+    finally:
+        spatial._best = plain
+    ends = [tuple((q["x"], q["y"]) for q in line[4]) for line in lines]
+    each = [[edge_d(x, y, a, b) for a, b in ends] for *_, x, y in pts[:20]]
+    assert sum(d <= 6.0 for ds in each for d in ds) > 100 * len(each)
+    assert all(math.isclose(got[p[0]], min(ds), abs_tol=1e-9) for p, ds in zip(pts, each))
+    assert seen[0] <= 3 * len(pts)
+
+
 def test_directory_splits_crowded_cells(spark):
     _, L_, _, _ = crowd(spark, 4000, 1, spread=20.0)
     e = L_.select("c", F.explode(G.edges("points")).alias("e")).select("c", "e.*")
