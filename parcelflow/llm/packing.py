@@ -26,7 +26,7 @@ from ..session import materialize
 from .rows import core, map_slices, own_cache
 
 CACHED_WORDS = 1_000_000
-BLOCK_CHARACTERS = 4_000_000
+BLOCK_CHARACTERS = 500_000
 MARKS = string.punctuation
 
 
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
 
     def cut(part: pd.DataFrame) -> pd.DataFrame:
         encode = tokenizer(vocabulary)
-        own_cache("tokens", encode.words)
+        own_cache("tokens", _TOKENIZERS)
         rows = []
         for doc_id, ids in zip(part["doc_id"].array, encode(list(part["text"].array)), strict=True):
             ids += end

@@ -1,5 +1,7 @@
 """What the operators share: keys of rows, and columns kept out of the way of the caller's."""
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -30,9 +32,20 @@ _CACHES: dict[str, dict] = {}
 
 def own_cache(name: str, cache: dict) -> None:
     """Empty what other operators remember in this Python worker, which Spark uses again for one operator after another."""
-    for other in set(_CACHES) - {name}:
+    others = set(_CACHES) - {name}
+    for other in others:
         _CACHES.pop(other).clear()
     _CACHES[name] = cache
+    if others:
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free again back to the system: what a worker's allocators keep counts as the executor's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # not every C library has it
+        trim(0)
 
 
 def map_slices(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, arrow: pa.Schema, rows: int = 512) -> DataFrame:

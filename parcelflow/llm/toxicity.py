@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,6 +129,7 @@ def _predicted(words: Column, fold: Column, known: list[Column], names: list[str
 
     @F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
     def predict(words: pa.Array, fold: pa.Array, *known: pa.Array) -> pa.Array:
+        own_cache("chain", {})
         folds, known = fold.to_numpy(zero_copy_only=False), [x.to_numpy(zero_copy_only=False) for x in known]
         parts = [part(words.slice(i, rows), folds[i:i + rows], [x[i:i + rows] for x in known]) for i in range(0, len(words), rows)]
         return pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(names))], names=names)
@@ -137,11 +137,15 @@ def _predicted(words: Column, fold: Column, known: list[Column], names: list[str
 
 
 def _fitter(before: list[str], wanted: str, dimensions: int):
-    def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         own_cache("chain", {})
-        rows = rows.sort_values("_order", kind="stable")
-        earlier = rows[before].to_numpy(dtype=float).reshape(len(rows), len(before))
-        return pd.DataFrame({"model": [key[0]], "weights": [fit_weights(list(rows["_words"]), earlier, rows[wanted].to_numpy(), dimensions)]})
+        # the words stay in their Arrow buffer; rows are views of it
+        words = rows["_words"].combine_chunks()
+        values, offsets = words.values.to_numpy(), words.offsets.to_numpy()
+        order = np.argsort(rows["_order"].to_numpy(), kind="stable")
+        earlier = np.column_stack([*(rows[b].to_numpy()[order] for b in before), np.empty((len(order), 0))])
+        fitted = fit_weights([values[offsets[i]:offsets[i + 1]] for i in order], earlier, rows[wanted].to_numpy()[order], dimensions)
+        return pa.table({"model": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([fitted], pa.list_(pa.float64()))})
     return fit
 
 
@@ -164,7 +168,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], max_lab
     for k, name in enumerate(categories):
         # model m leaves out fold m; the last one leaves out none
         uses = F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda m: m != F.col("_fold"))
-        fitted = data.withColumn("model", F.explode(uses)).groupBy("model").applyInPandas(
+        fitted = data.withColumn("model", F.explode(uses)).groupBy("model").applyInArrow(
             _fitter(names[:k], f"y_{name}", dimensions), "model int, weights array<double>")
         models = {r["model"]: np.asarray(r["weights"]) for r in fitted.collect()}
         chain.append(models.get(folds))
