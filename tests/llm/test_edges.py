@@ -207,7 +207,7 @@ def held():
 before = held()
 encode = packing.tokenizer(vocabulary())
 list(encode([" ".join(f"w{i}x{i * 7919 % 10007}" for i in range(k, k + 100_000)) for k in range(0, 300_000, 100_000)]))
-rows.own_cache("tokens", getattr(packing, "_TOKENIZERS"))
+rows.own_cache("tokens", packing._TOKENIZERS)
 del encode
 most = held()
 rows.own_cache("other", {})
