@@ -8,12 +8,11 @@ that most documents share is no hot group.
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,18 +25,25 @@ from ..session import materialize
 from .rows import core, map_slices, own_cache
 
 CACHED_WORDS = 1_000_000
-BLOCK_CHARACTERS = 500_000
-MARKS = string.punctuation
+BLOCK_CHARACTERS = 1_000_000
+#: What a byte, or the character it belongs to, is. Some engines take MAYBE for a blank, some don't: no cut depends on it.
+OTHER, BLANK, MAYBE, MARK, ALNUM = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """The kind of each character of one to three bytes, by its number."""
+    kinds = np.full(1 << 16, OTHER, dtype=np.uint8)
+    for kind, wanted in ((ALNUM, str.isalnum), (MAYBE, str.isspace), (MARK, string.punctuation.__contains__), (BLANK, " \t\n\v\f\r".__contains__)):
+        kinds[[i for i in range(1 << 16) if wanted(chr(i))]] = kind
+    return kinds
 
 
 class WordTokenizer:
     """Token ids of whole texts, as the bytes of little-endian unsigned 32-bit ids.
 
-    A byte-level BPE vocabulary never merges across a space or a line end that stands between two other characters, and the token before
-    doesn't depend on what follows. So a text is cut there, and what lies between is encoded once and remembered. New words are encoded
-    together, as one text, and told apart by their number of bytes.
-
-    A part is named by its text without the space before it; ``"\\nword"`` is one after a line end, ``" word"`` one with nothing before it.
+    A byte-level BPE vocabulary merges inside the pieces alone that a pattern finds in a text, from left to right. So a text is cut at places
+    where a piece must end, see ``cuts``; what lies between is encoded once and remembered. New words are encoded together, as one
+    text, and told apart by their number of bytes. Texts are cut, and ids gathered, as arrays over a block of texts.
     """
 
     def __init__(self, path: str):
@@ -47,59 +53,70 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.lengths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.lengths[list(vocabulary.values())] = list(map(len, vocabulary))  # a character stands for a byte
-        self.other_blank = re.compile(r"[^\S \n]")
-        self.cut = re.compile(r"(?<=\S) (?=\S)")
+        self.kinds = _kinds()
         self.line_end = self.encode("\n").tobytes()
         self.words: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def parts(self, text: str) -> list[str]:
-        if not text:
-            return []
-        unusual = ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
-                   or self.other_blank.search(text))  # then not every blank is a place to cut
-        found = self.cut.split(text) if unusual else text.replace("\n", " \n").split(" ")
-        found[0] = " " + found[0]
-        return found
-
-    def learn(self, parts: set[str]) -> None:
-        """Remember the ids of ``parts``."""
+    def cuts(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Where to cut the UTF-8 bytes ``data`` of texts that meet at ``bounds``, first and last place included.
+
+        Of a run of blanks all but the last are a piece, and the last one is too, unless it is a space: that begins the next piece. A run at the
+        end of a text is one piece. Letters and digits are apart from a mark behind them.
+        """
+        kinds = self.kinds[data]
+        kinds[data >= 0x80] = OTHER
+        for size, mask, lead in ((2, 0xE0, 0xC0), (3, 0xF0, 0xE0)):
+            at = np.flatnonzero(data & mask == lead)
+            if len(at):
+                number = (data[at] & (0xFF ^ mask)).astype(np.int32)
+                for k in range(1, size):
+                    number = number << 6 | data[at + k] & 0x3F
+                for k in range(size):
+                    kinds[at + k] = self.kinds[number]
+        blank = kinds == BLANK
+        solid = ~blank & (kinds != MAYBE)
+        last = np.zeros(len(data), dtype=bool)
+        last[:-1] = blank[:-1] & solid[1:]
+        last[bounds[bounds > 0] - 1] = False  # the next text doesn't count
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = blank[1:] & (solid[:-1] | last[1:]) | (kinds[1:] == MARK) & (kinds[:-1] == ALNUM)
+        cut[1:] |= last & (data != 0x20)
+        cut[bounds] = True
+        return np.flatnonzero(cut)
+
+    def ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of ``parts``, which are distinct; those of new ones are remembered."""
         words = self.words
         if len(words) > CACHED_WORDS:
             words.clear()
-        composed = []  # (part, what comes first, what follows)
-        single = set()
-        for part in parts.difference(words):
-            whole = part
-            if part[0] == "\n":
-                part = " " + part[1:]
-                composed.append((whole, None, part))
-                if part in words:
-                    continue
-            stem = part.rstrip(MARKS)
-            if len(stem) < len(part) and stem and stem[-1].isalnum():  # a letter or digit, and then marks: they are apart
-                marks = " " + part[len(stem):]
-                composed.append((part, stem, marks))
-                single.add(stem)
-                single.add(marks)
+        known = list(map(words.get, parts))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        if new:
+            self.learn([parts[i] for i in new])
+            for i in new:
+                known[i] = words[parts[i]]
+        return known
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the ids of ``parts``."""
+        words = self.words
+        spaced, bare = [], []
+        for part in parts:
+            if part[-1].isspace() or part[part[0] == " "].isspace():  # it would not be apart from others
+                words[part] = self.encode(part).tobytes()
             else:
-                single.add(part)
-        single = single.difference(words)
-        inner = [p for p in single if not p[-1].isspace() and not p[:2].isspace()]
-        for part in single.difference(inner):
-            words[part] = self.encode(part[1:] if part[0] == " " else " " + part).tobytes()
-        if inner:
-            ids = self.encode("".join(["\n" + p[1:] if p[0] == " " else " " + p for p in inner]))
-            ends = np.cumsum([len(p.encode()) + (p[0] != " ") for p in inner])
+                (spaced if part[0] == " " else bare).append(part)
+        if spaced or bare:
+            ids = self.encode("".join(spaced) + "".join(["\n" + part for part in bare]))
+            ends = np.cumsum([len(part.encode()) for part in spaced] + [len(part.encode()) + 1 for part in bare])
             cuts = [0, *(4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)).tolist()]
             data = ids.tobytes()
-            skipped = len(self.line_end)
-            for part, a, b in zip(inner, cuts, cuts[1:]):
-                words[part] = data[a + skipped:b] if part[0] == " " else data[a:b]
-        for part, stem, marks in reversed(composed):
-            words[part] = (self.line_end if stem is None else words[stem]) + words[marks]
+            words.update((part, data[a:b]) for part, a, b in zip(spaced, cuts, cuts[1:]))
+            cuts, skipped = cuts[len(spaced):], len(self.line_end)
+            words.update((part, data[a + skipped:b]) for part, a, b in zip(bare, cuts, cuts[1:]))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text; a block of texts at a time."""
@@ -107,12 +124,28 @@ class WordTokenizer:
         while i < len(texts):
             block, size = [], 0
             while i < len(texts) and size < BLOCK_CHARACTERS:
-                block.append(self.parts(texts[i]))
+                block.append((texts[i] or "").encode())
                 size += len(texts[i] or "")
                 i += 1
-            self.learn(set(chain.from_iterable(block)))
-            for parts in block:
-                yield b"".join(map(self.words.__getitem__, parts))
+            yield from self.block(block)
+
+    def block(self, texts: list[bytes]) -> Iterator[bytes]:
+        """Ids of each text. They are cut together, and each distinct part is looked up once."""
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not len(data):
+            yield from texts
+            return
+        bounds = np.cumsum([0, *map(len, texts)])
+        places = self.cuts(data, bounds)
+        found = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data)).dictionary_encode()
+        known = self.ids(found.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids, sizes = np.frombuffer(b"".join(known), dtype="<u4"), np.asarray(list(map(len, known))) // 4
+        which = found.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.cumsum(counts)
+        ids = ids[np.repeat((np.cumsum(sizes) - sizes)[which] - ends + counts, counts) + np.arange(ends[-1])]
+        for a, b in pairwise(np.append(0, ends)[np.searchsorted(places, bounds)].tolist()):
+            yield ids[a:b].tobytes()
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

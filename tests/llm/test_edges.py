@@ -294,6 +294,38 @@ def test_texts_cut_at_blanks_have_the_ids_of_whole_texts():
         assert next(words([text])) == words.encode(text).tobytes(), repr(text)
 
 
+def test_texts_of_any_characters_have_the_ids_of_whole_texts():
+    """Runs of blanks of every kind, contractions, marks inside words, and characters of one to four bytes."""
+    words = packing.WordTokenizer(vocabulary())
+    drawn = random.Random(8)
+    letters = [chr(i) for i in [*range(0x300), *range(0x2000, 0x2070), 0x1680, 0x3000, 0x660, 0x2160, 0x4e2d, 0xfeff, 0xfffd, 0x1f600, 0x10400, 0x1d7d8]]
+    bits = ["don't", "I'M", "'re", "x-y", "a.", *[" ", "\n", "\t"] * 2]
+    texts = ["".join(drawn.choices(bits, k=4) + drawn.choices(letters, k=4) + drawn.choices([*bits, *letters], k=drawn.randint(0, 6))) for _ in range(3000)]
+    texts += ["".join(drawn.sample(text, len(text))) for text in texts]
+    for text, ids in zip(texts, words(texts), strict=True):
+        assert ids == words.encode(text).tobytes(), repr(text)
+
+
+def test_repeated_words_are_looked_up_once():
+    """A word of a block costs a look-up and memory once, whatever stands around it: blanks in a row, line ends, marks."""
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, key):
+            self.looked_up += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            self.looked_up += 1
+            return super().get(key, default)
+
+    words = packing.WordTokenizer(vocabulary())
+    words.words = Counted()
+    text = "".join(f"one{a}two, three-four{b}" for a in (" ", ".\n\n", "  ", ":\n") for b in ("! ", "\n \n", " ")) * 200
+    assert list(words([text, None, text])) == [words.encode(text).tobytes(), b"", words.encode(text).tobytes()]
+    assert len(words.words) < 30 and words.words.looked_up < 100
+
+
 def test_pipeline_line_stage_rewrites_texts(spark):
     """The stage against the plain version: texts, their lengths, other columns, and documents of which nothing is left."""
     import corpus_pipeline
