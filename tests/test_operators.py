@@ -689,3 +689,28 @@ def test_overlay_slots_list_few_strips_twice(spark):
     for i in range(200):
         for z, (x0, x1, h) in {0: (5, 45, 6.0), 1: (30, 90, 5.0)}.items():
             assert math.isclose(got.get((i, z), 0.0), max(0, min(i % 40 + 20, x1) - max(i % 40, x0)) * h, abs_tol=1e-9)
+
+
+def test_overlay_pairs_are_added_up_where_they_meet(spark, monkeypatch):
+    """Pieces of parts that fit a cell aren't shuffled. Parts of all sizes, one with two rows and one without id, in windows dealt out to many tasks."""
+    monkeypatch.setattr(spatial, "TASK_ROWS", 512)
+    rng = random.Random(3)
+    side = lambda i: 45 if i % 10 == 0 else rng.choice([1, 2, 5])
+    boxes = [(i, rng.randrange(0, 60), rng.randrange(0, 60), side(i), side(i)) for i in range(60)] + [(7, 11, 12, 2, 3), (None, 30, 30, 4, 4)]
+    boxes = [(i, x, y, x + w, y + h) for i, x, y, w, h in boxes]
+    zoned = {j: (rng.randrange(-5, 50), rng.randrange(-5, 50), 20 + j % 7, 25) for j in range(30)}
+    zoned = {j: (x, y, x + w, y + h) for j, (x, y, w, h) in zoned.items()}
+    shape = "array<struct<x:double,y:double>>"
+    p = spark.createDataFrame([(i, [pt(*q) for q in box(*b)], 2.0) for i, *b in boxes], f"parcelid int, part_ring {shape}, worth double")
+    z = spark.createDataFrame([(j, [pt(*q) for q in box(*b)]) for j, b in zoned.items()], f"zone_id int, zone_ring {shape}")
+    want = {}
+    for i, *a in boxes:
+        for j, b in zoned.items():
+            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+            if w > 0 and h > 0:
+                want[i, j] = want.get((i, j), 0) + w * h
+    out = spatial.overlay(p, z, 20.0, carry=["worth"]).collect()
+    assert {(r.parcelid, r.zone_id): r.piece_area for r in out} == pytest.approx(want) and {r.worth for r in out} == {2.0}
+    alone = spatial.overlay(p.where("parcelid % 10 <> 0"), z, 20.0)._jdf.queryExecution().executedPlan().toString()
+    above, _, below = alone.partition("SortMergeJoin")
+    assert "HashAggregate" in above and "Exchange" not in above and "Exchange" in below
