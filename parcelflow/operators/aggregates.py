@@ -181,14 +181,24 @@ def match_rate(links: DataFrame, link_class: str, matched: str, taggable: list)
     return out.withColumn("pct_tagged", F.bround(F.try_divide(F.col("tagged_links") * 100, F.col("taggable_links")), 0))
 
 
-def area_weighted(pieces: DataFrame, data: DataFrame, zones: DataFrame, part: str, zone: str,
-                  fields: dict[str, tuple[str, str]], piece_area="piece_area", part_area="part_area") -> DataFrame:
-    """Values times the piece's share of its part's area (missing values count 0), SUM or MEAN per zone, all zones kept."""
+def totals_by_part(data: DataFrame, part: str, fields: list[str]) -> DataFrame:
+    """(part, fields, n_rows): what ``area_weighted`` needs of the values, one row a part."""
+    return data.groupBy(part).agg(*[F.sum(F.col(f).cast("double")).alias(f) for f in fields], F.count(F.lit(1)).alias("n_rows"))
+
+
+def area_weighted(pieces: DataFrame, data: DataFrame | None, zones: DataFrame, part: str, zone: str,
+                  fields: dict[str, tuple[str, str]], piece_area="piece_area", part_area="part_area", n_rows: str = "n_rows") -> DataFrame:
+    """Values times the piece's share of its part's area (missing values count 0), SUM or MEAN per zone, all zones kept.
+
+    Without ``data`` the pieces hold the columns of ``totals_by_part``, so that they meet no table and are not shuffled before they are added up.
+    """
     share = F.try_divide(F.col(piece_area), F.col(part_area))
-    joined = pieces.join(data.select(part, *fields), part, "left")
-    how = {"SUM": F.sum, "MEAN": F.avg}
+    joined = pieces if data is None else pieces.select(part, zone, piece_area, part_area).join(totals_by_part(data, part, [*fields]).withColumnRenamed("n_rows", n_rows), part, "left")
+    # a piece counts for a mean as often as its part has rows, or once if it has none
+    rows = F.sum(F.coalesce(F.col(n_rows), F.lit(1)))
+    how = {"SUM": lambda total: total, "MEAN": lambda total: F.try_divide(total, rows)}
     sums = joined.groupBy(zone).agg(*[
-        how[op](F.coalesce(F.col(f) * share, F.lit(0.0))).alias(out) for f, (out, op) in fields.items()])
+        how[op](F.sum(F.coalesce(F.col(f) * share, F.lit(0.0)))).alias(out) for f, (out, op) in fields.items()])
     return zones.select(zone).join(sums, zone, "left")
 
 

@@ -204,3 +204,21 @@ def test_zones(spark):
     d = spark.createDataFrame([(1, 10.0), (2, 4.0), (3, None)], "parcelid int, v double").withColumn("w", F.col("v"))
     r = rows(zones.aggregate_to_zones(p, d, z, {"v": ("SUMV", "SUM"), "w": ("AVGW", "MEAN")}, 5.0), "zone_id")
     assert (r[1].SUMV, r[1].AVGW, r[2].SUMV, r[3].SUMV) == (12.0, 6.0, 2.0, None)
+
+
+def test_zone_values_go_with_the_parcels(spark):
+    """Values come to the parcels before these meet the zones, so that pieces are not shuffled by parcel. Values and parcels that come twice count twice."""
+    shape = "array<struct<x:double,y:double>>"
+    ring = lambda x0, y0, x1, y1: [(float(x), float(y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))]
+    p = spark.createDataFrame([(1, ring(0, 0, 2, 2)), (2, ring(3, 0, 5, 2)), (4, ring(6, 0, 7, 1)), (4, ring(6, 0, 7, 1)), (None, ring(0, 4, 1, 5))], f"parcelid int, part_ring {shape}")
+    z = spark.createDataFrame([(1, ring(0, 0, 4, 9)), (2, ring(4, 0, 9, 9)), (3, ring(20, 20, 21, 21))], f"zone_id int, zone_ring {shape}")
+    d = spark.createDataFrame([(1, 10.0), (1, 2.0), (2, 4.0), (4, 3.0), (None, 9.0)], "parcelid int, v double").withColumn("w", F.col("v"))
+    fields = {"v": ("SUMV", "SUM"), "w": ("AVGW", "MEAN")}
+    out = zones.aggregate_to_zones(p, d, z, fields, 5.0)
+    got = {r.zone_id: (r.SUMV, r.AVGW) for r in out.collect()}
+    # zone 1: parcel 1 with 10 and 2, half of parcel 2, one without id; zone 2: half of parcel 2, parcel 4 with twice its area
+    assert got == {1: (14.0, 3.5), 2: (8.0, 4.0), 3: (None, None)}
+    above = out._jdf.queryExecution().executedPlan().toString().partition("SortMergeJoin")[0]
+    assert "HashAggregate" in above and not [x for x in above.splitlines() if "Exchange" in x and "parcelid" in x]
+    stored = zones.overlay(p, z, 5.0)
+    assert {r.zone_id: (r.SUMV, r.AVGW) for r in zones.aggregate_to_zones(p, d, z, fields, 5.0, pieces=stored).collect()} == got
